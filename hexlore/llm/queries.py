@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexlore.llm import chat, mixing, neardup, packing, tokens, vectordup
+from hexlore.llm import chat, mixing, neardup, packing, quality, tokens, vectordup
 from hexlore.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), quality.graded(table(spark, sf_dir, "labels")))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -47,6 +51,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_chat_formatting": op9_chat_formatting,
