@@ -15,6 +15,8 @@ from hexlore.llm.common import cut_lineage, words
 
 #: Intervals of the ranks of one source; the one with the cut is ordered in one task.
 BINS = 65_536
+#: A plan has a row per source; up to so many are broadcast, more are joined by shuffles.
+MOST_BROADCAST = 10_000
 #: The weights of the sources in order of their names.
 WEIGHTS = (3, 1, 2)
 
@@ -43,38 +45,64 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, most_copie
     return s.select("source", "source_size", F.when(F.col("fill") <= F.coalesce(level, F.col("fill")), F.col("cap").cast("double")).otherwise(level * F.col("w")).alias("target"))
 
 
-def mix(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ratio: float = 1.5, most_copies: int = 2, seed: int = 42, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, taken (and the columns named in carry).
+def drawn(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, source, size and the random number of each row, and the columns in carry as carry_*."""
+    u = uniform(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.lit(seed))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), u.alias("u"), *[F.col(c).alias(f"carry_{c}") for c in carry])
 
-    size is the number of words (null text: 0), taken that of the words that the mix takes, whole copies only and at
-    most most_copies of them. Within a source taken misses target by half a document at most. The draw depends on id,
-    text and seed alone; rows that repeat both are interchangeable. Null ids and null sources are values like others;
-    a source without words has target 0; an empty table gives no rows. Of docs only the named columns are read.
-    """
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), uniform(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.lit(seed)).alias("u"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    base = cut_lineage(base)
+
+def ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with their source's part of the plan, and the rank in (0, 1) and its interval."""
+    if plan.count() <= MOST_BROADCAST:
+        plan = F.broadcast(plan)
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
+    # A monotone image of the odds.
+    return rows.withColumn("rank", odds / (1 + odds)).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
+
+
+def planned(base: DataFrame, *, weights: tuple[int, ...], ratio: float, most_copies: int) -> DataFrame:
+    """For each source (name): source_size, target, whole copies, and where the draw of one more copy is cut."""
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aims = targets(sizes, weights, ratio, most_copies)
     rate = F.col("target") / F.greatest("source_size", F.lit(1))
     whole = F.floor(rate)
-    # A source with its cap takes most_copies of each; the rest of the rate is the inclusion probability.
-    aims = aims.select(F.col("source").alias("name"), "source_size", "target", whole.alias("whole"), (rate - whole).alias("p"), (F.col("target") - whole * F.col("source_size")).alias("missing"))
+    # The rest of the rate is the inclusion probability.
+    aims = targets(sizes, weights, ratio, most_copies).select(F.col("source").alias("name"), "source_size", "target", whole.alias("whole"), (rate - whole).alias("p"), (F.col("target") - whole * F.col("source_size")).alias("missing"))
     aims = cut_lineage(aims)
-    rows = base.join(aims, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
-    # A monotone image of the odds in (0, 1).
-    rows = cut_lineage(rows.withColumn("rank", odds / (1 + odds)).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int")))
-
+    rows = ranked(base, aims)
     sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.any_value("missing").alias("missing"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
     cut = sums.withColumn("upto", upto).where(F.col("upto") >= F.col("missing")).groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-    cut = cut.select(F.col("source").alias("name"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
-    rows = cut_lineage(rows.join(cut, F.col("source").eqNullSafe(F.col("name")), "left").drop("name"))
-    sure = rows.where("cut_bin is null or bin <> cut_bin").withColumn("more", F.when(F.col("bin") < F.coalesce("cut_bin", F.lit(BINS)), 1).otherwise(0))
-    place = Window.partitionBy("source").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("bin = cut_bin").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(place), F.lit(0)))
-    edge = edge.withColumn("more", F.when(F.col("ahead") + F.col("size") / 2 <= F.col("missing"), 1).otherwise(0)).drop("ahead")
-    out = sure.unionByName(edge)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", ((F.col("whole") + F.when(F.col("whole") < most_copies, F.col("more")).otherwise(0)) * F.col("size")).cast("long").alias("taken"), *[F.col(f"carry_{c}").alias(c) for c in carry])
+    aims = cut_lineage(aims.join(cut.select(F.col("source").alias("name_"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before")), F.col("name").eqNullSafe(F.col("name_")), "left").drop("name_"))
+    edge = ranked(base, aims).where("bin = cut_bin").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.any_value("missing").alias("missing"), F.any_value("before").alias("before"))
+    ahead = F.col("before") + F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = edge.withColumn("ahead", ahead).where(F.col("ahead") + F.col("words") / 2 <= F.col("missing")).groupBy("source").agg(F.max("rank").alias("cut_rank"))
+    return cut_lineage(aims.join(last.withColumnRenamed("source", "name_"), F.col("name").eqNullSafe(F.col("name_")), "left").drop("name_", "before"))
+
+
+def copies(most_copies: int) -> Column:
+    inside = (F.col("bin") < F.coalesce("cut_bin", F.lit(BINS))) | ((F.col("bin") == F.col("cut_bin")) & (F.col("rank") <= F.coalesce("cut_rank", F.lit(-1.0))))
+    return (F.col("whole") + F.when((F.col("whole") < most_copies) & (F.col("p") > 0) & inside, 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ratio: float = 1.5, most_copies: int = 2, seed: int = 42) -> DataFrame:
+    """One row per row of docs: id, size, source_size, target, taken, copies, source.
+
+    size is the number of words (null text: 0), copies the whole copies that the mix takes, most_copies at most, and
+    taken their words. Within a source taken misses target by half a document at most. The draw depends on id, text and
+    seed alone; rows that repeat both are drawn together. Null ids and null sources are values like others; a source
+    without words has target 0; an empty table gives no rows. Of docs only the named columns are read.
+    """
+    base = cut_lineage(drawn(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed))
+    rows = ranked(base, planned(base, weights=weights, ratio=ratio, most_copies=most_copies)).withColumn("copies", copies(most_copies))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", F.col("source").alias(source_col))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ratio: float = 1.5, most_copies: int = 2, seed: int = 42) -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, as many times as mix() takes it; texts are not shuffled."""
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    key, body, origin = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    which = {"id_col": key, "text_col": body, "source_col": origin, "seed": seed}
+    plan = planned(cut_lineage(drawn(named, **which)), weights=weights, ratio=ratio, most_copies=most_copies)
+    rows = ranked(drawn(named, **which, carry=tuple(named.columns)), plan).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies(most_copies))))
+    return rows.select(*[F.col(f"carry_c{k}").alias(c) for k, c in enumerate(docs.columns)])

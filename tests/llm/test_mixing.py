@@ -39,16 +39,16 @@ def check(rows):
 
 def test_tables(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    once = mixing.mix(docs, carry=("source",)).orderBy("doc_id").collect()
+    once = mixing.mix(docs).orderBy("doc_id").collect()
     assert len(once) == docs.count()
     check(once)
-    assert once == mixing.mix(docs.repartition(5), carry=("source",)).orderBy("doc_id").collect()
+    assert once == mixing.mix(docs.repartition(5)).orderBy("doc_id").collect()
 
 
 def test_edges(spark):
     rows = [(k, "w " * (k % 7), "ab"[k % 2]) for k in range(40)] + [(None, "a b", None), (50, None, None), (51, "", "z"), (52, "x y", "\U0001f600"), (53, "x", "￮"), (3, "w w w ", "b"), (3, "w w w ", "b"), (60, "long " * 50_000, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit("s"), "u": F.lit(None), "bin": F.lit(3)})
-    out = mixing.mix(docs, carry=("source",)).collect()
+    out = mixing.mix(docs).collect()
     assert len(out) == len(rows)
     check(out)
 
@@ -63,5 +63,14 @@ def test_empty_and_wordless(spark):
 def test_unequal_odds(spark):
     """A share of 0.5 takes half of a source's words, whatever the sizes, and about half of its documents."""
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"))
-    got = {r.source: r for r in mixing.mix(docs, weights=(1, 3), ratio=1.0, carry=("source",)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.avg((F.col("taken") > 0).cast("int")).alias("share")).collect()}
+    got = {r.source: r for r in mixing.mix(docs, weights=(1, 3), ratio=1.0).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.avg((F.col("taken") > 0).cast("int")).alias("share")).collect()}
     assert abs(got["a"].t - got["a"].g) <= 5 and abs(got["a"].share - 0.5) < 0.05
+
+
+def test_mixed_rows_are_the_copies(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").withColumns({"copies": F.lit("c"), "u": F.lit(1)})
+    want = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
+    assert out.distinct().subtract(docs).count() == 0
