@@ -184,7 +184,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     classes = cut_lineage(classes)
     n = classes.count()
     # Fingerprints are random, so the least ones are a sample; its size is bounded by SAMPLE.
-    sample = [(r.dim, bytes(r.fp), bytes(r.raw)) for r in classes.orderBy("fp").limit(SAMPLE).select("dim", "fp", "raw").collect()]
+    last = classes.select("fp").orderBy("fp").limit(SAMPLE).agg(F.max("fp")).first()[0]
+    sample = [(r.dim, bytes(r.fp), bytes(r.raw)) for r in classes.where(F.col("fp") <= F.lit(last)).select("dim", "fp", "raw").collect()]
     grid = Grid(sample, epsilon, -(-n // BLOCK))
 
     def dealt(batches):
