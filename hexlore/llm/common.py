@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,3 +33,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint()
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, which it does once their plans are collected garbage.
+
+    For jobs of many steps, whose disk would else hold the shuffles of all of them till the end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

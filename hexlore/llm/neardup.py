@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexlore.llm.common import SPACE_CHARS, cut_lineage
+from hexlore.llm.common import SPACE_CHARS, cut_lineage, free_shuffles
 from hexlore.llm.components import connected_components
 from hexlore.llm.wordbpe import powers
 
@@ -234,15 +234,8 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("p", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, kept.
-
-    Rows link when 100 * |intersection| >= percent * |union| of their sets of width-word shingles; component_id is the
-    least id that links reach, kept says that it is the row's own. Texts without words (null, empty, blank) link with
-    nothing: component_id is their own id, kept true. Rows of a null id take part; if a whole component has no id, its
-    component_id is null and all its rows are kept (nothing tells them apart). Rows that repeat an id are rows of
-    their own and, as copies do, share a component. percent from 80 on; below, the bands would lose links.
-    """
+def resolved(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """id, th, n and root (the fingerprint of a class that stands for the component, null without words) of each row."""
     if percent < 80:
         raise ValueError("bands and sketches are set for similarities of 0.8 or more")
     least_est = percent / 100 - SKETCH_SLACK
@@ -259,12 +252,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     grouped = cut_lineage(grouped.join(known, "fp").join(pivot_facts, "p").select("p", "fp", "n", "sketch", F.when(sized("n", "pn", percent), estimate(F.col("sketch"), F.col("ps"))).alias("est")))
 
     first = grouped.where((F.col("p") != F.col("fp")) & (F.col("est") >= least_est))
-    first = best_pivots(first)
-    first = cut_lineage(first)
+    first = cut_lineage(best_pivots(first))
+    free_shuffles(docs.sparkSession)
     handles = classes.select("fp", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
     wanted = first.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = cut_lineage(sets_of(docs, wanted.join(handles, "fp"), id_col, text_col, width))
+    free_shuffles(docs.sparkSession)
     links = cut_lineage(confirm(first, sets, percent))
+    free_shuffles(docs.sparkSession)
     roots = connected_components(links)
 
     # What shares a pivot without sharing a component.
@@ -279,15 +274,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     large = open_.where(F.col("size") > SMALL_GROUP)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(large.select("fp")).distinct()
     more = cut_lineage(sets_of(docs, wanted.join(handles, "fp"), id_col, text_col, width))
-    found = links.unionByName(confirm(pairs, more, percent)).unionByName(block_links(large.select("p", "size", "fp", "root"), more, percent))
+    free_shuffles(docs.sparkSession)
+    found = cut_lineage(links.unionByName(confirm(pairs, more, percent)).unionByName(block_links(large.select("p", "size", "fp", "root"), more, percent)))
     roots = connected_components(found)
+    free_shuffles(docs.sparkSession)
+
+    tops = roots.select(F.col("node").alias("fp"), F.col("root").alias("top"))
+    return sig.select("id", "th", "n", "fp").join(tops, "fp", "left").select("id", "th", "n", F.coalesce("top", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, kept.
 
-    labels = classes.select("fp", "label").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "label", F.coalesce("root", "fp").alias("root"))
-    least = labels.groupBy("root").agg(F.min("label").alias("component_id"))
-    labels = labels.join(least, "root").select("fp", "component_id")
-    rows = sig.select("id", "n", "fp").join(labels, "fp", "left")
+    Rows link when 100 * |intersection| >= percent * |union| of their sets of width-word shingles; component_id is the
+    least id that links reach, kept says that it is the row's own. Texts without words (null, empty, blank) link with
+    nothing: component_id is their own id, kept true. Rows of a null id take part; if a whole component has no id, its
+    component_id is null and all its rows are kept (nothing tells them apart). Rows that repeat an id are rows of
+    their own and, as copies do, share a component. percent from 80 on; below, the bands would lose links. An empty
+    table gives no rows; of docs only id_col and text_col are read.
+    """
+    rows = cut_lineage(resolved(docs, id_col, text_col, width, percent))
+    least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    rows = rows.join(least, "root", "left").select("id", "n", component.alias("component_id"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one row left of each component of near-duplicates: that of the least id, then text hash.
+
+    Rows without words all stay. Where rows repeat that id and text, one of them stays.
+    """
+    columns = docs.columns
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    key, body = (f"c{columns.index(c)}" for c in (id_col, text_col))
+    rows = cut_lineage(resolved(named, key, body, width, percent))
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("first")).select("first.id", "first.th")
+    chosen = rows.where("root is not null").join(first.select(F.col("id").alias("id_"), F.col("th").alias("th_")), F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))).groupBy("id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = cut_lineage(chosen.unionByName(rows.where("root is null").select("id", "th", F.lit(1).cast("long").alias("rows")).distinct()))
+    kept = named.withColumn("th_", F.xxhash64(body)).join(chosen, F.col(key).eqNullSafe(F.col("id")) & (F.col("th_") == F.col("th")))
+    once = kept.where("rows = 1").select(*named.columns)
+    repeated = kept.where("rows > 1").dropDuplicates([key, body]).select(*named.columns)
+    return once.unionByName(repeated).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def sized(n: str, m: str, percent: int) -> Column:

@@ -71,7 +71,7 @@ def test_equals_brute_force(spark, kind, monkeypatch):
         rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "Ä b"), (8, "ä b"), (9, "one"), (9, "one"), (None, "one"), (None, "q r s"), (11, "k " * 30_000), (12, "K " * 20_000), (13, "one\x85two"), (14, "one two three four")]
         docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component_id": F.lit("x"), "fp": F.lit(1), "th": F.lit(None)})
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    assert result(neardup.near_duplicates(docs)) == brute(rows)
+    assert result(neardup.near_duplicates(docs, width=2)) == brute(rows)
 
 
 def test_empty_table(spark):
@@ -99,3 +99,15 @@ def test_components_of_a_long_path_and_a_star(spark):
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len(found) == 301 + 50
     assert {found[k] for k in range(301)} == {found[0]} and {found[1000 + k] for k in range(50)} == {found[1000]}
+
+
+def test_deduplicated_keeps_one_row_each(spark):
+    rows = [*copies(40), (1, None), (2, ""), (1, None), (3, "lone text of some words"), (3, "lone text of some words"), (3, "another lone text of words"), (None, "lone text of some words"), (None, "no id here at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("i"), "rows": F.lit(1)})
+    out = neardup.deduplicated(docs, width=2)
+    assert out.columns == docs.columns
+    want = brute([r for r in rows if r[0] is not None and r[0] >= 100])
+    got = sorted((r.doc_id, r.text) for r in out.where("doc_id >= 100").collect())
+    assert [k for k, _ in got] == [k for k, _, _, kept in want if kept]
+    rest = sorted(((r.doc_id, r.text) for r in out.where("doc_id < 100 or doc_id is null").collect()), key=str)
+    assert rest == sorted([(1, None), (1, None), (2, ""), (3, "another lone text of words"), (None, "lone text of some words"), (None, "no id here at all")], key=str)
