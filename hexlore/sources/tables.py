@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import logging
 import tempfile
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.classic import dataframe as classic
 
 log = logging.getLogger("hexlore")
 
@@ -41,20 +43,26 @@ def save(df: DataFrame, path: str, description: str = "") -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, keep_bad: bool = False) -> DataFrame:
-    """Rows of a CSV with a header that fit the schema; with keep_bad all rows, the text of the others in _bad_row."""
+    """Rows of a CSV with a header that fit the schema; with keep_bad all rows, the text of the others in _bad_row.
+
+    Values are read as text and cast, so that a row is judged by all its columns, whichever the query asks for: the
+    reader's own audit sees only the columns that are left after pruning.
+    """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    wide = T.StructType([*fields.fields, T.StructField(BAD, T.StringType())])
-    rows = spark.read.csv(path, schema=wide, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=False)
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields], T.StructField(BAD, T.StringType())])
+    rows = spark.read.csv(path, schema=text, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=False)
+    cast = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
+    unfit = reduce(lambda x, y: x | y, [F.col(c).isNotNull() & v.isNull() for c, v in cast.items()])
+    line = F.coalesce(F.col(BAD), F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in fields]))
+    bad = F.when(F.col(BAD).isNotNull() | unfit, line)
     if keep_bad:
-        return rows
-    return rows.where(F.col(BAD).isNull()).drop(BAD)
+        return rows.select(*[v.alias(c) for c, v in cast.items()], bad.alias(BAD))
+    return rows.where(bad.isNull()).select(*[v.alias(c) for c, v in cast.items()])
 
 
 def bad_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The texts of the rows that read_csv drops."""
-    # All columns are read, as a row is only known to be bad once it is parsed.
-    rows = read_csv(spark, path, schema, keep_bad=True)
-    return rows.select(*rows.columns).where(F.col(BAD).isNotNull()).select(BAD)
+    """The rows that read_csv drops: their texts in _bad_row beside what could be parsed."""
+    return read_csv(spark, path, schema, keep_bad=True).where(F.col(BAD).isNotNull())
 
 
 def write_csv(df: DataFrame, path: str, geometry: tuple[str, ...] = ("ring", "geometry")) -> None:
@@ -72,8 +80,9 @@ def or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint()
+    """df written to the shared checkpoint folder, its lineage and its size estimates cut."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    done = df.checkpoint()
+    return classic.DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)

@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '*')}]")
         .appName("tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
