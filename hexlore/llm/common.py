@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic import dataframe as classic
 
 #: The white space that separates words, as a regex class body and as plain characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -28,11 +29,16 @@ def lower_ascii(text: Column) -> Column:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared checkpoint folder and reads it from there, so that a lost executor costs nothing."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint()
+    """Writes df once to the shared checkpoint folder and reads it from there, so that a lost executor costs nothing.
+
+    The result forgets the size estimates of its plan too: checkpoint() alone keeps them, and estimates of joins, being
+    products, get millions of digits over rounds of joins.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    done = df.checkpoint()
+    return classic.DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
 def free_shuffles(spark: SparkSession) -> None:
