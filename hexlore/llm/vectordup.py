@@ -72,8 +72,9 @@ class Grid:
         for dim in {d for d, _, _ in sample}:
             own = [(fp, raw) for d, fp, raw in sample if d == dim]
             x = units(np.frombuffer(b"".join(r for _, r in own), np.float64).reshape(-1, dim))
-            _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=True)
-            self.axes[dim] = np.ascontiguousarray(axes[: min(AXES, dim)].T)
+            centred = x - x.mean(axis=0)
+            _, axes = np.linalg.eigh(centred.T @ centred)  # in order of rising variance
+            self.axes[dim] = np.ascontiguousarray(axes[:, ::-1][:, : min(AXES, dim)])
             keys = sorted(zip(self.cells(dim, x).tolist(), [fp for fp, _ in own], strict=True))
             n = max(1, min(n_blocks, MOST_BORDERS, len(keys) // 8))
             self.borders[dim] = [keys[len(keys) * k // n] for k in range(1, n)]
