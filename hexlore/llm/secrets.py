@@ -67,7 +67,9 @@ def labelled_samples(docs: DataFrame, *, id_col: str, text_col: str, most_rows:
     Documents are those of the least hashes of id and text, at most most_rows of them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    picked = docs.select(text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h")).orderBy("h").limit(most_rows).select("text")
+    hashed = docs.select(text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h"))
+    last = hashed.select("h").orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]  # numbers alone are sorted, no texts
+    picked = hashed.where(F.col("h") <= F.lit(last)).select("text")
     hits = F.concat(F.regexp_extract_all("text", F.lit(BASE["assign"][0]), F.lit(2)), F.regexp_extract_all("text", F.lit(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}"), F.lit(0)))
     hits = picked.select(F.explode(F.filter(hits, lambda x: F.length(x) >= 12)).alias("token")).select("token", F.lit(True).alias("random"))
     bare = F.regexp_replace(F.regexp_replace("text", BASE["assign"][0], " "), r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
