@@ -104,22 +104,24 @@ def lattice_lag(cells: DataFrame, columns: list[str], policy: str = "mean") -> D
     return out
 
 
-def nearest(points: DataFrame, key: str, k: int, bucket: float) -> DataFrame:
+def nearest(points: DataFrame, key: str, k: int, bucket: float | None = None) -> DataFrame:
     """src, dst, d, rank: the k nearest other points of each point (x, y), ties by key, by rings of square buckets.
 
     A point is compared with its bucket and the eight around it; if its k-th distance reaches beyond what these cover,
-    or they hold too few, it is compared with the next ring, and so on, so the result is exact.
+    or they hold too few, it is compared with wider rings, so the result is exact. Buckets hold about 2 k points if
+    their size is not given.
     """
+    total, wide, high = points.agg(F.count(F.lit(1)), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent = max(wide or 0.0, high or 0.0)
+    bucket = bucket or max(extent / max(1.0, math.sqrt(total / (2 * k))), 1e-12)
     placed = points.select(F.col(key).alias("k"), "x", "y", F.floor(F.col("x") / bucket).alias("bx"), F.floor(F.col("y") / bucket).alias("by"))
     others = placed.select(F.col("k").alias("dst"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
-    total = placed.count()
-    extent = placed.agg(F.max("bx") - F.min("bx"), F.max("by") - F.min("by")).first()
     reach, todo, done = 1, placed, None
     while True:
         around = todo.withColumn("cx", F.explode(F.sequence(F.col("bx") - reach, F.col("bx") + reach))).withColumn("cy", F.explode(F.sequence(F.col("by") - reach, F.col("by") + reach)))
         near = around.join(others, ["cx", "cy"]).where("k <> dst").withColumn("d", F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2))
         best = near.groupBy(F.col("k").alias("src")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "dst"))), 1, k).alias("best"))
-        last = extent is None or extent[0] is None or reach > max(extent[0], extent[1])
+        last = reach * bucket > extent
         # Everything within reach * bucket of the point has been seen.
         sure = F.lit(True) if last else (F.size("best") >= min(k, max(total - 1, 0))) & (F.get("best", F.size("best") - 1)["d"] <= reach * bucket)
         settled = best.where(sure).select("src", F.posexplode("best").alias("pos", "b")).select("src", F.col("b.dst").alias("dst"), F.col("b.d").alias("d"), (F.col("pos") + 1).alias("rank"))
@@ -132,7 +134,7 @@ def nearest(points: DataFrame, key: str, k: int, bucket: float) -> DataFrame:
         reach *= 2
 
 
-def knn_lag(points: DataFrame, key: str, columns: list[str], k: int = 6, bucket: float = 0.1) -> DataFrame:
+def knn_lag(points: DataFrame, key: str, columns: list[str], k: int = 6, bucket: float | None = None) -> DataFrame:
     """Points with <column>_lag, the mean over their k nearest others."""
     edges = nearest(points, key, k, bucket)
     values = points.select(F.col(key).alias("dst"), *columns)

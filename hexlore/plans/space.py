@@ -71,7 +71,7 @@ def knn_spatial_lag(spark, d):
 
 @query(f"WITH {NEAR} SELECT src, dst, round(d, 9) AS d, CAST(rank AS INTEGER) AS rank FROM nn WHERE rank <= 6")
 def knn_graph(spark, d):
-    return geo.nearest(points(spark, d, "supplier", "s_suppkey", "s_acctbal"), "k", 6, 0.1).withColumn("d", F.round("d", 9))
+    return geo.nearest(points(spark, d, "supplier", "s_suppkey", "s_acctbal"), "k", 6).withColumn("d", F.round("d", 9))
 
 
 RECT_A = "ra AS (SELECT n_nationkey AS a, n_nationkey % 5 * 1.0 AS x0, n_nationkey // 5 * 1.0 AS y0, n_nationkey % 5 + 1.0 AS x1, n_nationkey // 5 + 1.0 AS y1 FROM nation)"

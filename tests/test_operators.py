@@ -110,12 +110,12 @@ def test_neighbour_mean(spark):
     assert geo.lattice_lag(lone, ["v"]).first().v_lag is None
 
 
-@pytest.mark.parametrize("n", [1, 4, 300])
-def test_nearest_is_exact(spark, n):
+@pytest.mark.parametrize(("n", "bucket"), [(1, None), (4, 0.05), (300, 0.05), (300, None)])
+def test_nearest_is_exact(spark, n, bucket):
     rng = random.Random(n)
     pts = [(k, rng.random() ** 4, rng.random() ** 4) for k in range(n)]
     got = {}
-    for r in geo.nearest(spark.createDataFrame(pts, "k long, x double, y double"), "k", 6, 0.05).collect():
+    for r in geo.nearest(spark.createDataFrame(pts, "k long, x double, y double"), "k", 6, bucket).collect():
         got.setdefault(r.src, {})[r["rank"]] = r.dst
     for k, x, y in pts:
         best = sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), j) for j, u, v in pts if j != k)[:6]
