@@ -2,8 +2,9 @@
 
 Each source's target is some copies of all its documents and a share of one more. The share is drawn by Pareto order
 sampling: a document's rank is its random odds over its inclusion odds, and ranks are taken in order up to the words
-that are missing. The cut in that order is found from sums over BINS intervals of the rank per source; only the
-interval that the cut falls into is put in order, so no source, however large, goes through one task.
+that are missing. The cut in that order is found from sums over 1,024 intervals of the rank per source, then over the
+1,024 parts of the interval that the cut falls into; only the part with the cut, a millionth of a source, is put in
+order, so no source, however large, goes through one task.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from hexlore.llm.common import cut_lineage, words
 
-#: Intervals of the ranks of one source; the one with the cut is ordered in one task.
-BINS = 65_536
+#: Ranks are numbers of RANK_BITS bits; intervals share the first LEVEL_BITS, parts of intervals twice as many.
+RANK_BITS, LEVEL_BITS = 40, 10
 #: A plan has a row per source; up to so many are broadcast, more are joined by shuffles.
 MOST_BROADCAST = 10_000
 #: The weights of the sources in order of their names.
@@ -52,13 +53,22 @@ def drawn(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, seed:
 
 
 def ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with their source's part of the plan, and the rank in (0, 1) and its interval."""
+    """rows with their source's part of the plan, the rank in (0, 1), its interval and the part of it."""
     if plan.count() <= MOST_BROADCAST:
         plan = F.broadcast(plan)
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
     # A monotone image of the odds.
-    return rows.withColumn("rank", odds / (1 + odds)).withColumn("bin", F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int"))
+    rows = rows.withColumn("rank", odds / (1 + odds)).withColumn("whole_rank", F.least(F.floor(F.col("rank") * 2**RANK_BITS), F.lit(2**RANK_BITS - 1)))
+    return rows.withColumns({"bin": F.shiftright("whole_rank", RANK_BITS - LEVEL_BITS), "part": F.shiftright("whole_rank", RANK_BITS - 2 * LEVEL_BITS)}).drop("whole_rank")
+
+
+def cut(rows: DataFrame, by: str) -> DataFrame:
+    """name_, cut, before: where the words so far (upto, at first base) first reach those missing, and those before it."""
+    sums = rows.groupBy("source", by).agg(F.sum("size").alias("words"), F.any_value("missing").alias("missing"), F.any_value("base").alias("base"))
+    upto = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy(by))
+    first = sums.withColumn("upto", upto).where(F.col("upto") >= F.col("missing")).groupBy("source").agg(F.min(F.struct(by, (F.col("upto") - F.col("words")).alias("before"))).alias("first"))
+    return first.select(F.col("source").alias("name_"), F.col(f"first.{by}").alias("cut"), F.col("first.before").alias("before"))
 
 
 def planned(base: DataFrame, *, weights: tuple[int, ...], ratio: float, most_copies: int) -> DataFrame:
@@ -69,19 +79,21 @@ def planned(base: DataFrame, *, weights: tuple[int, ...], ratio: float, most_cop
     # The rest of the rate is the inclusion probability.
     aims = targets(sizes, weights, ratio, most_copies).select(F.col("source").alias("name"), "source_size", "target", whole.alias("whole"), (rate - whole).alias("p"), (F.col("target") - whole * F.col("source_size")).alias("missing"))
     aims = cut_lineage(aims)
-    rows = ranked(base, aims)
-    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.any_value("missing").alias("missing"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    cut = sums.withColumn("upto", upto).where(F.col("upto") >= F.col("missing")).groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-    aims = cut_lineage(aims.join(cut.select(F.col("source").alias("name_"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before")), F.col("name").eqNullSafe(F.col("name_")), "left").drop("name_"))
-    edge = ranked(base, aims).where("bin = cut_bin").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.any_value("missing").alias("missing"), F.any_value("before").alias("before"))
+    def added(aims: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        found = found.select("name_", F.col("cut").alias(name), "before")
+        return cut_lineage(aims.drop("before").join(found, F.col("name").eqNullSafe(F.col("name_")), "left").drop("name_"))
+
+    aims = added(aims, cut(ranked(base, aims).withColumn("base", F.lit(0).cast("long")), "bin"), "cut_bin")
+    aims = added(aims, cut(ranked(base, aims).where("bin = cut_bin").withColumn("base", F.col("before")), "part"), "cut_part")
+    edge = ranked(base, aims).where("part = cut_part").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.any_value("missing").alias("missing"), F.any_value("before").alias("before"))
     ahead = F.col("before") + F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = edge.withColumn("ahead", ahead).where(F.col("ahead") + F.col("words") / 2 <= F.col("missing")).groupBy("source").agg(F.max("rank").alias("cut_rank"))
     return cut_lineage(aims.join(last.withColumnRenamed("source", "name_"), F.col("name").eqNullSafe(F.col("name_")), "left").drop("name_", "before"))
 
 
 def copies(most_copies: int) -> Column:
-    inside = (F.col("bin") < F.coalesce("cut_bin", F.lit(BINS))) | ((F.col("bin") == F.col("cut_bin")) & (F.col("rank") <= F.coalesce("cut_rank", F.lit(-1.0))))
+    # Without a cut all words are missing, or the source has none.
+    inside = F.col("cut_part").isNull() | (F.col("part") < F.col("cut_part")) | ((F.col("part") == F.col("cut_part")) & (F.col("rank") <= F.coalesce("cut_rank", F.lit(-1.0))))
     return (F.col("whole") + F.when((F.col("whole") < most_copies) & (F.col("p") > 0) & inside, 1).otherwise(0)).cast("int")
 
 
