@@ -53,12 +53,13 @@ def block_distances(df: DataFrame, key: str, vector: str, summarise, schema: str
     n = max(1, -(-df.count() // BLOCK))
     dealt = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = dealt.select("k", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("own"), F.col("own").alias("other"))
+    # Names of its own, as the two sides must not share columns.
+    right = dealt.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("own"), F.col("own").alias("other"))
 
     def run(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        return summarise(a.k.to_numpy(), np.stack(a.v.to_numpy()), b.k.to_numpy(), np.stack(b.v.to_numpy()))
+        return summarise(a.k.to_numpy(), np.stack(a.v.to_numpy()), b.k2.to_numpy(), np.stack(b.v2.to_numpy()))
 
     return left.groupBy("own", "other").cogroup(right.groupBy("own", "other")).applyInPandas(run, schema)
 
