@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexlore.functions.nulls import paste, safe_div, with_minmax100
+from hexlore.functions.nulls import safe_div, with_minmax100
 
 #: The full grids; smaller ones are for quick runs.
 GRIDS = {
@@ -99,6 +99,13 @@ def cross_validate(df: DataFrame, fit, label: str, fold: str) -> float:
     return float(np.mean(scores))
 
 
+def cluster_folds(df: DataFrame, features: str = "features", folds: int = 5, seed: int = 42) -> DataFrame:
+    """df with fold: groups of rows close in their features, by k-means."""
+    from pyspark.ml.clustering import KMeans
+
+    return KMeans(k=folds, seed=seed, featuresCol=features, predictionCol="fold").fit(df).transform(df)
+
+
 def importance(model, names: list[str], spark) -> DataFrame:
     """feature, importance: split gains, or absolute coefficients averaged over classes."""
     best = model.bestModel if isinstance(model, CrossValidatorModel) else model
@@ -159,6 +166,3 @@ def class_names(df: DataFrame, column: str) -> DataFrame:
     """Removes the words before a class's name."""
     return df.withColumn(column, F.regexp_replace(column, "^Class: ", ""))
 
-
-def describe(*parts: Column | str) -> Column:
-    return paste(" ", *parts)

@@ -196,6 +196,20 @@ def spatial_cv(spark, d):
     return spark.createDataFrame([(accuracy,)], "accuracy double")
 
 
+@query()
+def cluster_folds(spark, d):
+    return models.cluster_folds(classes(spark, d).drop("fold")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def variable_importance(spark, d):
+    df = classes(spark, d).cache()
+    names = [f"d{k}" for k in range(16)]
+    train = df.where("in_train")
+    fitted = {"elastic": models.elastic_net(folds=2, grid={"alpha": [0.0], "lambda": [0.01]}).fit(train), "forest": models.forest(trees=10, folds=2, grid={"mtry": [3]}, depth=5).fit(train)}
+    return models.merge_importance({name: models.importance(m, names, spark) for name, m in fitted.items()})
+
+
 SEG = "sg AS (SELECT c_mktsegment AS cluster, c_acctbal AS rent, c_custkey * 7919 % 1000 / 10.0 AS demo, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey * 104729 % 1000 / 10.0 END AS vuln FROM customer)"
 PROF = f"{SEG}, pf AS (SELECT cluster, count(*) AS n, avg(rent) AS mean_rent, avg(demo) AS mean_demo, avg(vuln) AS mean_vuln FROM sg GROUP BY cluster)"
 MEANS = ["mean_rent", "mean_demo", "mean_vuln"]
