@@ -154,14 +154,16 @@ class BlockJoin:
         self.links[self.shift + k : self.shift + m] += self.a.copies[i:j] @ hit
         r, c = np.nonzero(hit)
         r, c = r + i, c + k + self.shift
+        # Only roots are hooked, each to a lower one, so nothing that earlier leaves joined comes apart.
         while True:
-            low = np.minimum(self.top[r], self.top[c])
-            if (self.top[r] == low).all() and (self.top[c] == low).all():
+            a, b = self.top[r], self.top[c]
+            apart = a != b
+            if not apart.any():
                 break
-            for side in (r, c):
-                np.minimum.at(self.top, self.top[side], low)
-                np.minimum.at(self.top, side, low)
-            self.top = self.top[self.top]
+            r, c, a, b = r[apart], c[apart], a[apart], b[apart]
+            np.minimum.at(self.top, np.maximum(a, b), np.minimum(a, b))
+            while (self.top != (up := self.top[self.top])).any():
+                self.top = up
 
     def result(self) -> pa.Table:
         fps = self.a.fps if self.within else np.concatenate([self.a.fps, self.b.fps])

@@ -47,6 +47,50 @@ def test_equals_brute_force(spark, small, monkeypatch):
     assert sorted(map(tuple, vectordup.near_vectors(df).collect()), key=str) == brute(rows)
 
 
+class Told:
+    """A side whose products with the other side are the numbers given."""
+
+    def __init__(self, x):
+        self.x, self.short, self.copies = x, x.astype(np.float32), np.ones(len(x), np.int64)
+
+
+def joined(links, n, m, leaves):
+    """The labels after leaves over links (row, column) between n and m vectors."""
+    dots = np.zeros((n, m))
+    dots[tuple(np.array(links).T)] = 1.0
+    join = vectordup.BlockJoin.__new__(vectordup.BlockJoin)
+    join.a, join.b, join.least, join.within, join.shift = Told(np.eye(n)), Told(dots.T.copy()), 0.9, False, n
+    join.links, join.top = np.zeros(n + m, np.int64), np.arange(n + m)
+    for leaf in leaves:
+        join.leaf(*leaf)
+    return join.top.tolist()
+
+
+def components(links, n, m):
+    top = list(range(n + m))
+    for r, c in links:
+        a, b = sorted((top[r], top[n + c]))
+        top = [a if t == b else t for t in top]
+    return top
+
+
+def test_a_leaf_keeps_the_links_of_earlier_ones():
+    # Two trees, then a third that meets both in one leaf: rows 1 and 2 with columns 1 and 2, row 10 with columns 11 and 12.
+    links = [(1, 1), (2, 2), (10, 11), (10, 12), (21, 1), (21, 11), (22, 2), (22, 12)]
+    leaves = [(0, 8, 0, 8), (8, 16, 8, 16), (16, 24, 0, 16)]
+    assert joined(links, 24, 16, leaves) == components(links, 24, 16)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_sparse_chains_across_leaves(seed):
+    rng = np.random.default_rng(seed)
+    n, step = 60, 5
+    links = sorted({(int(r), int(c)) for r, c in rng.integers(0, n, (n, 2))})
+    leaves = [(i, i + step, k, k + step) for i in range(0, n, step) for k in range(0, n, step)]
+    rng.shuffle(leaves)
+    assert joined(links, n, n, leaves) == components(links, n, n)
+
+
 def test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
