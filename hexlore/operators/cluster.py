@@ -121,7 +121,8 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int = 5, rou
     """key, is_core, cluster: 0 is noise, clusters are numbered from 1 by their least core key.
 
     Core rows have least rows within eps, themselves included. Clusters are the components of core rows within eps of
-    each other, found by passing on the least key with path halving; a border row joins its lowest-numbered one.
+    each other, found by contraction (an error if they don't settle in that many rounds, each of which leaves at most
+    half the roots that have links); a border row joins its lowest-numbered one.
     """
     from pyspark.sql import Window
 
@@ -129,15 +130,7 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int = 5, rou
     cores = near.groupBy(F.col("src").alias("k")).agg((F.count(F.lit(1)) >= least).alias("is_core"))
     core = cores.where("is_core").select("k")
     links = near.join(core.withColumnRenamed("k", "src"), "src").join(core.withColumnRenamed("k", "dst"), "dst").persist()
-    label = core.withColumn("root", F.col("k"))
-    for _ in range(rounds):
-        told = links.join(label.withColumnRenamed("k", "dst"), "dst").groupBy(F.col("src").alias("k")).agg(F.min("root").alias("root"))
-        jumped = told.join(told.select(F.col("k").alias("root"), F.col("root").alias("up")), "root").select("k", F.least("root", "up").alias("root"))
-        jumped = _settled(jumped)
-        moved = not jumped.exceptAll(label).isEmpty()
-        label = jumped
-        if not moved:
-            break
+    label = _components(core, links, rounds)
     ids = label.select("root").distinct().withColumn("id", F.dense_rank().over(Window.orderBy("root")))
     named = label.join(ids, "root").select(F.col("k").alias("dst"), "id")
     border = near.join(named, "dst").groupBy(F.col("src").alias("k")).agg(F.min("id").alias("border"))
@@ -146,6 +139,34 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int = 5, rou
     return out.select(F.col("k").alias(key), "is_core", F.coalesce("own", "border", F.lit(0)).cast("int").alias("cluster"))
 
 
+def _components(core: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+    """k, root: each core with the least core that links (src, dst, both ways) reach.
+
+    Each round every root takes its least neighbour or itself as parent, parents are followed to the top by pointer
+    doubling, and links are drawn anew between tops. Parents never exceed their children, so tops are least keys.
+    """
+    label = _settled(core.select("k", F.col("k").alias("root")))
+    edges = _settled(links.where("src <> dst").select("src", "dst").distinct())
+    for _ in range(rounds):
+        if edges.isEmpty():
+            return label
+        jump = _settled(edges.groupBy(F.col("src").alias("k")).agg(F.min("dst").alias("p")).select("k", F.least("k", "p").alias("root")))
+        for _ in range(64):  # each doubles the reach of the last
+            up = jump.select(F.col("k").alias("root"), F.col("root").alias("next"))
+            after = _settled(jump.join(up, "root").select("k", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            jump = after.select("k", "root")
+            if after.where("moved").isEmpty():
+                break
+        top = jump.select(F.col("k").alias("root"), F.col("root").alias("next"))
+        label = _settled(label.join(top, "root", "left").select("k", F.coalesce("next", "root").alias("root")))
+        src, dst = (jump.select(F.col("k").alias(c), F.col("root").alias(f"r_{c}")) for c in ("src", "dst"))
+        drawn = edges.join(src, "src").join(dst, "dst").where("r_src <> r_dst")
+        edges = _settled(drawn.select(F.col("r_src").alias("src"), F.col("r_dst").alias("dst")).distinct())
+    if edges.isEmpty():
+        return label
+    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+
+
 def _settled(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut."""
     from hexlore.sources.tables import checkpointed

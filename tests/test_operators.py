@@ -129,6 +129,16 @@ def test_density_clusters(spark):
     assert [got[k] for k in range(5)] == [(True, 1)] * 5 and got[5] == (False, 1) and got[6] == (False, 0)
 
 
+def test_a_long_chain_is_one_cluster(spark):
+    keys = list(range(400))
+    random.Random(5).shuffle(keys)
+    df = spark.createDataFrame([(k, [float(at)]) for at, k in enumerate(keys)] + [(1000 + k, [1000.0 + k / 10]) for k in range(5)], "k long, v array<double>")
+    got = {r.k: r.cluster for r in cluster.dbscan(df, "k", "v", 1.5, 3).collect()}
+    assert {got[k] for k in keys} == {1} and {got[1000 + k] for k in range(5)} == {2}
+    with pytest.raises(RuntimeError):
+        cluster.dbscan(df, "k", "v", 1.5, 3, rounds=1)
+
+
 def test_ward_separates_groups():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, (20, 2)) for c in (0, 5, 10)])
