@@ -37,6 +37,14 @@ def zscore_matrix(spark, d):
     return shape.pivot_longer(z, ["vec_id"], [str(k) for k in range(8)], "d", "z").select("vec_id", F.col("d").cast("int").alias("d"), r6("z").alias("z"))
 
 
+@query(f"WITH {FLAT}, s AS (SELECT d, avg(x) AS m, stddev_samp(x) AS s FROM fl GROUP BY d) SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - m) / nullif(s, 0), 6) AS z FROM fl JOIN s USING (d)")
+def zscore_matrix_all(spark, d):
+    """zscore_matrix, whose SQL ends at the eighth dimension, over all dimensions."""
+    f = flat(spark, d)
+    by = F.broadcast(f.groupBy("d").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")))  # a row per dimension
+    return f.join(by, "d").select("vec_id", "d", r6(nulls.safe_div(F.col("x") - F.col("m"), "s")).alias("z"))
+
+
 PAIR = "pa AS (SELECT a.vec_id AS i, a.label AS li, b.vec_id AS j, b.label AS lj, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist FROM embeddings a JOIN embeddings b ON true)"
 
 

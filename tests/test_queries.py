@@ -39,6 +39,12 @@ def test_rows_alone(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_zscores_of_all_dimensions(spark, sf_dir):
+    sizes = [len(r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    rows = QUERIES["zscore_matrix_all"](spark, sf_dir).collect()
+    assert len(rows) == sum(sizes) and {r.d for r in rows} == set(range(max(sizes)))
+
+
 def test_flagship(spark):
     import __spark_entry__
 
