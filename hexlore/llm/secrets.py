@@ -17,7 +17,8 @@ BASE = {
     "hex": (r"[0-9a-f]+", 0, 24),
 }
 #: Runs of these characters, this long at least, are scored by the models.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{6,}"
 METHOD = "random"
 KINDS = (*BASE, METHOD)
@@ -42,6 +43,39 @@ def as_spans(found: Column, kind: int) -> Column:
     return F.aggregate(found, start, step, lambda acc: acc["out"])
 
 
+def open_parts(runs: Column, fixed: Column) -> Column:
+    """s, e, token of the parts of candidate runs (s, e, token) that no fixed span (in order) covers, LEAST long at least."""
+    def parts(run: Column) -> Column:
+        met = F.filter(fixed, lambda y: (y["s"] < run["e"]) & (run["s"] < y["e"]))
+        start = F.struct(run["s"].alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
+
+        def step(acc: Column, y: Column) -> Column:
+            gap = F.struct(acc["at"].alias("s"), y["s"].alias("e"))
+            return F.struct(F.greatest(acc["at"], y["e"]).alias("at"), F.when(y["s"] - acc["at"] >= LEAST, F.concat(acc["out"], F.array(gap))).otherwise(acc["out"]).alias("out"))
+
+        def end(acc: Column) -> Column:
+            return F.when(run["e"] - acc["at"] >= LEAST, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), run["e"].alias("e"))))).otherwise(acc["out"])
+
+        left = F.aggregate(met, start, step, end)
+        return F.transform(left, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.substr(run["token"], (p["s"] - run["s"] + 1).cast("int"), (p["e"] - p["s"]).cast("int")).alias("token")))
+
+    return F.flatten(F.transform(runs, parts))
+
+
+def candidate_runs(text: Column) -> Column:
+    """s, e, token of each candidate run."""
+    pieces = F.split(text, CANDIDATE, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("n"), m.alias("token")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,token:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        run = F.struct(begin.alias("s"), (begin + x["n"]).alias("e"), x["token"].alias("token"))
+        return F.struct((begin + x["n"]).alias("at"), F.concat(acc["out"], F.array(run)).alias("out"))
+
+    return F.when(text.rlike(CANDIDATE), F.aggregate(found, start, step, lambda acc: acc["out"]))
+
+
 def base_found(text: Column, kind: str) -> Column:
     """The matches of a base kind with their places; null where the text has none that could count."""
     pattern, group, least = BASE[kind]
@@ -100,8 +134,8 @@ def scan(
 ) -> DataFrame:
     """One row per row of docs: id, spans (array of s, k, e by start and kind; k numbers KINDS), and the columns in carry.
 
-    Base matches are all kept. Candidate runs that overlap none of them and whose log-likelihood ratio is at least
-    least_ratio are added as kind METHOD. Null texts are empty and have no spans; null and repeated ids are carried as
+    Base matches are all kept. The parts of candidate runs that none of them covers, LEAST characters long at least and
+    with a log-likelihood ratio of at least least_ratio, are added as kind METHOD. Null texts are empty and have no spans; null and repeated ids are carried as
     they are; an empty table gives no rows. Whole texts are scanned; most_rows bounds the documents of the training
     sample. Places count code points, ends are exclusive.
     """
@@ -109,12 +143,11 @@ def scan(
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     rest = ["id", *[f"carry_{c}" for c in carry]]
     text = F.col("text")
-    scored = F.when(text.rlike(CANDIDATE), places(text, CANDIDATE, lambda m, i: likelihood_ratio(m, model) >= least_ratio))
-    found = base.select(*rest, *[base_found(text, kind).alias(f"f_{kind}") for kind in BASE], scored.alias(f"f_{METHOD}"))
+    found = base.select(*rest, *[base_found(text, kind).alias(f"f_{kind}") for kind in BASE], candidate_runs(text).alias("runs"))
     none = F.array().cast(f"array<{SPAN}>")
-    spans = found.select(*rest, *[F.coalesce(as_spans(F.col(f"f_{kind}"), k), none).alias(f"s_{kind}") for k, kind in enumerate(KINDS)])
-    fixed = spans.select(*rest, F.array_sort(F.concat(*[F.col(f"s_{kind}") for kind in BASE])).alias("fixed"), f"s_{METHOD}")
-    more = F.filter(f"s_{METHOD}", lambda x: ~F.exists("fixed", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    fixed = found.select(*rest, F.array_sort(F.concat(*[F.coalesce(as_spans(F.col(f"f_{kind}"), k), none) for k, kind in enumerate(BASE)])).alias("fixed"), "runs")
+    random = F.filter(open_parts(F.col("runs"), F.col("fixed")), lambda p: likelihood_ratio(p["token"], model) >= least_ratio)
+    more = F.coalesce(F.transform(random, lambda p: F.struct(p["s"].alias("s"), F.lit(len(BASE)).alias("k"), p["e"].alias("e"))), none)
     return fixed.select(F.col("id").alias(id_col), F.array_sort(F.concat("fixed", more)).alias("spans"), *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 

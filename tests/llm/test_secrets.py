@@ -53,6 +53,17 @@ def test_edges(spark):
     assert spans[k] == f"random:4:{4 + len(blob)}" and spans[k + 1] == ""
 
 
+def test_parts_beside_base_spans_are_scored(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = secrets.train(secrets.labelled_samples(docs, id_col="doc_id", text_col="text", most_rows=500, n_random=500))
+    hexed, blob = "0123456789abcdef" * 2, "Qz7Zr+9Xk/2LmVt0pQsWb8YdHgJKNZQRTqMxUw5I"
+    texts = [f"{hexed}-{blob}", f"see {blob}/{hexed}/{blob} there", f"{hexed}-{blob[:15]}", f"token={blob}", f"{hexed} {blob}"]
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model)).collect()}
+    assert got == {0: "hex:0:32,random:32:73", 1: "random:4:45,hex:45:77,random:77:118", 2: "hex:0:32", 3: "assign:0:46", 4: "hex:0:32,random:33:73"}
+    out = secrets.redact(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), model=model)
+    assert out.first().text == "[secret][secret]"
+
+
 def test_models_tell_random_strings_apart(spark):
     """Held-out strings of other alphabets' mixes and other words."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
