@@ -170,8 +170,8 @@ def param_grid(spark, d):
 
 
 def classes(spark, d) -> DataFrame:
-    """Vectors as ML features of their first 16 dimensions, with four classes, a split and spatial-like folds."""
-    e = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 4).cast("double").alias("label"), array_to_vector(F.slice(F.col("embedding").cast("array<double>"), 1, 16)).alias("features"))
+    """Whole vectors as ML features, with their labels as classes, a split and spatial-like folds."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return models.stratified_split(e, "vec_id", "label").withColumn("fold", (F.col("vec_id") % 3).cast("int"))
 
 
@@ -194,7 +194,8 @@ def rf_cv(spark, d):
 @query()
 def gbt_multiclass(spark, d):
     df = classes(spark, d).cache()
-    return scored(models.BoostedClasses.fit(df.where("in_train"), 4, nrounds=5), df)
+    n_classes = int(df.agg(F.max("label")).first()[0]) + 1
+    return scored(models.BoostedClasses.fit(df.where("in_train"), n_classes, nrounds=5), df)
 
 
 @query()
@@ -212,7 +213,7 @@ def cluster_folds(spark, d):
 @query()
 def variable_importance(spark, d):
     df = classes(spark, d).cache()
-    names = [f"d{k}" for k in range(16)]
+    names = [f"d{k}" for k in range(df.first().features.size)]
     train = df.where("in_train")
     fitted = {"elastic": models.elastic_net(folds=2, grid={"alpha": [0.0], "lambda": [0.01]}).fit(train), "forest": models.forest(trees=10, folds=2, grid={"mtry": [3]}, depth=5).fit(train)}
     return models.merge_importance({name: models.importance(m, names, spark) for name, m in fitted.items()})

@@ -45,6 +45,18 @@ def test_zscores_of_all_dimensions(spark, sf_dir):
     assert len(rows) == sum(sizes) and {r.d for r in rows} == set(range(max(sizes)))
 
 
+def test_models_see_whole_vectors_and_labels(spark, sf_dir):
+    from hexlore.plans.learning import classes
+
+    told = {r.vec_id: (list(r.embedding), r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    assert {r.vec_id: (r.features.toArray().tolist(), r.label) for r in classes(spark, sf_dir).collect()} == told
+
+
+def test_importance_of_all_dimensions(spark, sf_dir):
+    size = len(spark.read.parquet(f"{sf_dir}/embeddings.parquet").first().embedding)
+    assert {r.feature for r in QUERIES["variable_importance"](spark, sf_dir).collect()} == {f"d{k}" for k in range(size)}
+
+
 def test_flagship(spark):
     import __spark_entry__
 
