@@ -39,6 +39,16 @@ def best_kmeans(df: DataFrame, features: str, k: int, restarts: int = 25, iterat
     return Fit(k, best.summary.trainingCost, best)
 
 
+def sweep_kmeans(df: DataFrame, key: str, features: str, ks, restarts: int = 25, iterations: int = 100, seed: int = 42) -> list[tuple[int, float, float]]:
+    """(k, cost, mean silhouette) of the best k-means of each k."""
+    out = []
+    for k in ks:
+        fit = best_kmeans(df, features, k, restarts, iterations, seed)
+        named = fit.model.transform(df).select(key, vector_to_array(features).alias("v"), "cluster")
+        out.append((k, float(fit.cost), float(silhouette(named, key, "v", "cluster").agg(F.avg("silhouette")).first()[0])))
+    return out
+
+
 def choose_k(silhouettes: dict[int, float], least: int = 4) -> int:
     """The k of the best silhouette (the first of equals), least at least."""
     return max(max(sorted(silhouettes), key=lambda k: silhouettes[k]), least)

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexlore.config import Config
 from hexlore.functions import nulls
 from hexlore.operators import cluster, models, score, shape
 from hexlore.plans.registry import query, r6, rounded, table
@@ -84,9 +85,14 @@ def dbscan_ids(spark, d):
 
 @query()
 def kmeans_best_of_n(spark, d):
+    """The whole sweep: cost and mean silhouette of the best fit by k, and the k chosen by them."""
+    config = Config()
     e, _ = cluster.standardise(table(spark, d, "embeddings"), "embedding", "features")
-    fits = [cluster.best_kmeans(e, "features", k, restarts=2, iterations=20) for k in (4, 6)]
-    return spark.createDataFrame([(f.k, float(f.cost)) for f in fits], "k int, wcss double")
+    e = e.select("vec_id", "features").cache()
+    low, high = config.k_range
+    fits = cluster.sweep_kmeans(e, "vec_id", "features", range(low, high + 1), config.restarts, config.most_iterations, config.seed)
+    best = cluster.choose_k({k: s for k, _, s in fits}, config.least_k)
+    return spark.createDataFrame([(k, c, s, k == best) for k, c, s in fits], "k int, wcss double, silhouette double, chosen boolean")
 
 
 @query()

@@ -57,6 +57,13 @@ def test_importance_of_all_dimensions(spark, sf_dir):
     assert {r.feature for r in QUERIES["variable_importance"](spark, sf_dir).collect()} == {f"d{k}" for k in range(size)}
 
 
+def test_sweep_covers_every_k(spark, sf_dir):
+    rows = QUERIES["kmeans_best_of_n"](spark, sf_dir).collect()
+    assert sorted(r.k for r in rows) == list(range(2, 11)) and all(-1 <= r.silhouette <= 1 for r in rows)
+    best = max(sorted(rows, key=lambda r: r.k), key=lambda r: r.silhouette)
+    assert [r.k for r in rows if r.chosen] == [max(best.k, 4)]
+
+
 def test_flagship(spark):
     import __spark_entry__
 
