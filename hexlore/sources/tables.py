@@ -79,10 +79,24 @@ def or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a local session without the setting gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="ckpt-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage and its size estimates cut."""
+    """df written to the shared checkpoint folder, its lineage and its size estimates cut.
+
+    checkpoint() alone keeps the size estimates of its plan, and estimates of joins, being products, get millions of
+    digits over rounds of joins.
+    """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     done = df.checkpoint()
     return classic.DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
