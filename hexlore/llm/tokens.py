@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexlore.llm import wordbpe
+from hexlore.llm.hashing import slices
 
 
 def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -25,8 +26,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     def run(batches):
         bpe = wordbpe.load(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts = np.concatenate([bpe.token_counts(part) for part in wordbpe.slices(texts)] or [np.empty(0, np.int64)])
+            counts = np.concatenate([bpe.token_counts(part.to_pylist()) for _, part in slices(batch.column(1))] or [np.empty(0, np.int64)])
             n_bytes = pc.cast(pc.binary_length(batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(counts), pa.array(counts > limit)], names=schema.names)
 

@@ -2,12 +2,14 @@
 
 A vocabulary file of the ``tokenizers`` library (BPE model, byte-level symbols, ``</w>`` on the last symbol of a
 word) is read once per Python worker. A slice of texts is cut into pre-tokens by array operations on code points;
-each distinct pre-token is encoded once per worker (bounded memo, keyed by a random 64-bit hash of its characters),
-and a text's tokens are those of its pre-tokens.
+each distinct pre-token is encoded once per worker (bounded memo, found by a 64-bit hash and held against its
+characters), and a text's tokens are those of its pre-tokens. The library serves as a table of Unicode versions alone:
+it says how code points count that this Python does not know.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import sys
@@ -16,8 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pre-tokens with more symbols than this go to the library's own merge loop, whose heap suits one huge sequence.
+from hexlore.llm.hashing import hash_runs, windows
+
+#: Pre-tokens with more symbols than this are merged one by one, with work for the places that a merge touches only.
 LONG_WORD = 4096
+#: Pre-tokens of up to so many characters are remembered in arrays, longer ones by themselves.
+SHORT = 32
+#: Longer pre-tokens are not remembered beyond their slice, and characters that a worker remembers.
+MEMO_LONGEST, MEMO_CHARS = 4096, 30_000_000
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 MEMO_WORDS = 1_500_000
 #: The only pre-tokenizer pattern that this module knows, and its contractions.
@@ -44,22 +52,6 @@ def classes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
-def char_codes() -> np.ndarray:
-    return np.random.default_rng(20260101).integers(0, 2**64, sys.maxunicode + 1, np.uint64)
-
-
-#: Odd, and 5 modulo 8, so that powers differ in all but the lowest bits.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-
-
-@lru_cache(maxsize=1)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse modulo 2**64."""
-    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, INVERSE))
-
-
 class WordBpe:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -90,6 +82,9 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of, self.made = keys[order], order.astype(np.int64), made
         self.none = len(pairs)
+        if not self.ordered:
+            raise ValueError("merging by rank needs merges that build on earlier ones")
+        self.foreign: dict[int, int] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -97,6 +92,20 @@ class WordBpe:
         self.ids = np.array(list(self.special.values()), np.uint32)
         self.counts = np.ones(len(self.special), np.int64)
         self.starts = np.arange(len(self.special), dtype=np.int64)
+        # The characters behind the numbers, two to an element; none for what is not a short word.
+        self.chars = np.empty(0, np.uint64)
+        self.char_starts, self.sizes = np.zeros(len(self.special), np.int64), np.zeros(len(self.special), np.int64)
+        self.singles: dict[str, int] = {}
+        self.single_chars = 0
+
+    def kind_of(self, code: int) -> int:
+        """The class of a code point that Python's Unicode version does not know, as the library sees it."""
+        if code not in self.foreign:
+            c = chr(code)
+            cut = lambda text: [text[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            between = cut(f"a{c}a")
+            self.foreign[code] = LETTER if len(between) == 1 else SPACE if len(between) == 2 else OTHER if len(cut(c + c)) == 1 else NUMBER
+        return self.foreign[code]
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -104,13 +113,6 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         return text.lower()
 
-    def by_library(self, texts: list[str]) -> int:
-        """Adds the library's own ids of whole texts, numbered on like words; gives the first number."""
-        first = len(self.counts)
-        lists = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        self.add(np.concatenate([np.empty(0, np.uint32), *lists]), np.array([len(x) for x in lists], np.int64))
-        return first
-
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         starts = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
@@ -170,46 +172,142 @@ class WordBpe:
         order = np.argsort(rows, kind="stable")
         return out[order], rows[order]
 
+    def merge_long(self, flat: np.ndarray) -> np.ndarray:
+        """merge() for one long sequence: ranks in rising order, each at all its places at once, left to right.
+
+        Merges build on earlier ones, so no rank comes back that is done with; neighbours are linked, so a merge costs
+        the places that it touches.
+        """
+        n = len(flat)
+        symbol, after, before = flat.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.r_[self.ranks(flat[:-1], flat[1:]), self.none]
+        due: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            places = places[rank[places] < self.none]
+            places = places[np.argsort(rank[places], kind="stable")]
+            values, begins = np.unique(rank[places], return_index=True)
+            for r, own in zip(values.tolist(), np.split(places, begins[1:]), strict=len(values) > 0):
+                if r not in due:
+                    due[r] = []
+                    heapq.heappush(ranks, r)
+                due[r].append(own)
+
+        note(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            spot = np.unique(np.concatenate(due.pop(r)))
+            spot = spot[rank[spot] == r]
+            if not len(spot):
+                continue
+            at = np.arange(len(spot))
+            run_start = np.r_[True, after[spot[:-1]] != spot[1:]]
+            spot = spot[(at - np.maximum.accumulate(np.where(run_start, at, 0))) % 2 == 0]
+            gone = after[spot]
+            beyond = after[gone]
+            symbol[spot], symbol[gone], rank[gone] = self.made[r], -1, self.none
+            after[spot] = beyond
+            before[beyond[beyond < n]] = spot[beyond < n]
+            near = np.unique(np.r_[spot, before[spot]])
+            near = near[near >= 0]
+            rank[near] = self.none
+            near = near[after[near] < n]
+            rank[near] = self.ranks(symbol[near], symbol[after[near]])
+            note(near)
+        return symbol[symbol >= 0]
+
     def learn(self, fresh: list[str]) -> None:
         """Encodes words and numbers them on."""
         if not fresh:
             return
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         size = np.array([len(r) for r in raw], np.int64)
-        by_library = np.zeros(len(raw), bool) if self.ordered else np.ones(len(raw), bool)
-        by_library |= size > LONG_WORD
-        short = np.flatnonzero(~by_library)
-        lists: dict[int, np.ndarray] = {}
-        counts = np.zeros(len(raw), np.int64)
-        ids = np.empty(0, np.int64)
+        octets = np.frombuffer(b"".join(raw), np.uint8)
+        flat = self.inner[octets]
+        ends = np.cumsum(size)
+        flat[ends - 1] = self.last[octets[ends - 1]]
+        if (size <= LONG_WORD).all():
+            ids, rows = self.merge(flat, size)
+            self.add(ids, np.bincount(rows, minlength=len(raw)))
+            return
+        short = np.flatnonzero(size <= LONG_WORD)
+        ids, rows = self.merge(flat[np.repeat(size <= LONG_WORD, size)], size[short])
+        done = dict(zip(short.tolist(), np.split(ids, np.searchsorted(rows, np.arange(1, len(short)))), strict=True)) if len(short) else {}
+        done |= {k: self.merge_long(flat[ends[k] - size[k] : ends[k]]) for k in np.flatnonzero(size > LONG_WORD).tolist()}
+        parts = [done[k] for k in range(len(raw))]
+        self.add(np.concatenate(parts), np.array([len(p) for p in parts], np.int64))
+
+    def remember(self, pairs: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Notes the characters of the short words numbered last."""
+        n = (size + 1) // 2
+        ends = np.cumsum(n)
+        flat = pairs[np.repeat(first - 2 * (ends - n), n) + 2 * np.arange(ends[-1])]
+        flat[ends[size % 2 == 1] - 1] &= np.uint64(2**32 - 1)
+        self.char_starts = np.concatenate([self.char_starts, len(self.chars) + ends - n])
+        self.sizes = np.concatenate([self.sizes, size])
+        self.chars = np.concatenate([self.chars, flat])
+
+    def same(self, pairs: np.ndarray, first: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether words (places, sizes) have the characters of the numbered ones."""
+        out = self.sizes[number] == size
+        left, at = np.flatnonzero(out), 0
+        while len(left):
+            own, rest = pairs[first[left] + 2 * at], size[left] - 2 * at
+            own = np.where(rest == 1, own & np.uint64(2**32 - 1), own)
+            out[left[own != self.chars[self.char_starts[number[left]] + at]]] = False
+            left, at = left[rest > 2], at + 1
+        return out
+
+    def numbers_of(self, joined: str, code: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The numbers of words (places in joined and code), new ones being encoded first."""
+        out, size = np.empty(len(first), np.int64), last - first
+        short = np.flatnonzero(size <= SHORT)
+        single = size > SHORT
         if len(short):
-            octets = np.frombuffer(b"".join(raw[k] for k in short), np.uint8)
-            flat = self.inner[octets]
-            ends = np.cumsum(size[short]) - 1
-            flat[ends] = self.last[octets[ends]]
-            ids, rows = self.merge(flat, size[short])
-            counts[short] = np.bincount(rows, minlength=len(short))
-        for k in np.flatnonzero(by_library):
-            lists[int(k)] = np.array(self.library.encode(fresh[k], add_special_tokens=False).ids, np.int64)
-            counts[k] = len(lists[int(k)])
-        if lists:
-            cut = np.split(ids, np.cumsum(counts[short])[:-1]) if len(short) else []
-            parts = dict(zip(short.tolist(), cut, strict=True)) | lists
-            ids = np.concatenate([parts[k] for k in range(len(raw))])
-        self.add(ids, counts)
+            octets, pairs = code.view(np.uint8), windows(code.view(np.uint8), 4)
+            hashes = hash_runs(octets, 4 * first[short], 4 * last[short])
+            uniq, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+            at = np.searchsorted(self.hashes, uniq)
+            known = np.zeros(len(uniq), bool)
+            known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == uniq[at < len(self.hashes)]
+            fresh = np.flatnonzero(~known)
+            if len(fresh):
+                base, made = len(self.counts), short[where[fresh]]
+                self.learn([joined[i:j] for i, j in zip(first[made].tolist(), last[made].tolist(), strict=True)])
+                self.remember(pairs, first[made], size[made])
+                self.numbers = np.insert(self.numbers, at[fresh], base + np.arange(len(fresh)))
+                self.hashes = np.insert(self.hashes, at[fresh], uniq[fresh])
+                at = np.searchsorted(self.hashes, uniq)
+            out[short] = self.numbers[at][back]
+            # A word that only shares the hash of another goes by itself.
+            single[short[~self.same(pairs, first[short], size[short], out[short])]] = True
+        rest = np.flatnonzero(single)
+        if len(rest):
+            words = [joined[i:j] for i, j in zip(first[rest].tolist(), last[rest].tolist(), strict=True)]
+            fresh = [w for w in dict.fromkeys(words) if w not in self.singles]
+            base = len(self.counts)
+            self.learn(fresh)
+            self.char_starts = np.concatenate([self.char_starts, np.zeros(len(fresh), np.int64)])
+            self.sizes = np.concatenate([self.sizes, np.zeros(len(fresh), np.int64)])
+            numbers = self.singles | {w: base + k for k, w in enumerate(fresh)} if any(len(w) > MEMO_LONGEST for w in fresh) else self.singles
+            self.singles.update((w, base + k) for k, w in enumerate(fresh) if len(w) <= MEMO_LONGEST)
+            self.single_chars += sum(map(len, fresh))
+            out[rest] = [numbers[w] for w in words]
+        return out
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words of the texts, in order, and how many each text has.
 
         Afterwards counts, starts and ids hold for those numbers; the first numbers are the special tokens.
         """
-        if len(self.hashes) > MEMO_WORDS:
+        if len(self.hashes) > MEMO_WORDS or self.single_chars > MEMO_CHARS:
             self.reset()
         kinds = classes()
         parts: list[str] = []
         owner: list[int] = []
         raw: list[str] = []
-        marks: list[tuple[int, int]] = []  # a part that stands for one numbered entry
+        marks: list[tuple[int, int]] = []  # a part that stands for one special token
         names = list(self.special)
         for k, text in enumerate(texts):
             for cut in self.special_split.split(text) if self.special_split and "<|" in text else (text,):
@@ -220,18 +318,18 @@ class WordBpe:
                     parts.append(self.normal(cut) + " ")
                 raw.append(cut)
                 owner.append(k)
-        code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = "".join(parts)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = kinds[code]
         if (kind == UNKNOWN).any():
-            # The library encodes such parts as a whole; here they turn into spaces.
             ends = np.cumsum([len(p) for p in parts])
-            odd = np.unique(np.searchsorted(ends, np.flatnonzero(kind == UNKNOWN), "right")).tolist()
-            number = self.by_library([raw[p] for p in odd])
-            marks = sorted([*marks, *((p, number + k) for k, p in enumerate(odd))])
-            for p in odd:
-                parts[p] = " "
-            code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            for p in np.unique(np.searchsorted(ends, np.flatnonzero(kind == UNKNOWN), "right")).tolist():
+                parts[p] = self.library.normalizer.normalize_str(raw[p]) + " "
+            joined = "".join(parts)
+            code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             kind = kinds[code]
+            for c in np.unique(code[kind == UNKNOWN]).tolist():
+                kind[code == c] = self.kind_of(c)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         start = kind != SPACE
         same = (kind[1:] == kind[:-1]) & (kind[1:] != NUMBER)
@@ -242,25 +340,7 @@ class WordBpe:
         stop = start | (kind == SPACE)
         stops = np.flatnonzero(stop)
         last = np.r_[stops, len(code)][np.searchsorted(stops, first, "right")]
-        if len(first):
-            power, inverse = powers(1 << max(21, int(len(code)).bit_length()))
-            sums = np.r_[np.uint64(0), np.cumsum(char_codes()[code] * power[: len(code)], dtype=np.uint64)]
-            hashes = (sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)
-            uniq, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-            at = np.searchsorted(self.hashes, uniq)
-            known = np.zeros(len(uniq), bool)
-            known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == uniq[at < len(self.hashes)]
-            fresh = np.flatnonzero(~known)
-            if len(fresh):
-                joined = "".join(parts)
-                base = len(self.counts)
-                self.learn([joined[i:j] for i, j in zip(first[where[fresh]].tolist(), last[where[fresh]].tolist(), strict=True)])
-                self.numbers = np.insert(self.numbers, at[fresh], base + np.arange(len(fresh)))
-                self.hashes = np.insert(self.hashes, at[fresh], uniq[fresh])
-                at = np.searchsorted(self.hashes, uniq)
-            number = self.numbers[at][back]
-        else:
-            number = np.empty(0, np.int64)
+        number = self.numbers_of(joined, code, first, last) if len(first) else np.empty(0, np.int64)
         begin = np.cumsum(sizes) - sizes
         per_part = np.diff(np.r_[np.searchsorted(first, begin), len(first)])
         if marks:
@@ -303,16 +383,3 @@ class WordBpe:
 @lru_cache(maxsize=4)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
-
-
-def slices(texts: list[str], most_chars: int = 1_000_000):
-    """Consecutive runs of texts of bounded total length (a longer text is a run of its own)."""
-    run, chars = [], 0
-    for text in texts:
-        if run and chars + len(text) > most_chars:
-            yield run
-            run, chars = [], 0
-        run.append(text)
-        chars += len(text)
-    if run:
-        yield run

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hexlore.llm import packing
@@ -43,6 +44,21 @@ def test_table(spark):
     assert n <= 1.02 * total / 2048 + 1
 
 
+@pytest.mark.parametrize("parts", [1, 32, 211])
+def test_few_sequences_over_many_tasks(spark, parts):
+    """Part-filled ends of tasks are filled from one another: within 1 % of the least number for any partitioning."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    n, total = check(packing.pack(docs.repartition(parts), vocabulary()), [(r.doc_id, r.text) for r in docs.collect()])
+    assert n <= 1.01 * total / 2048 + 1
+
+
+def test_second_pass_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    n, total = check(packing.pack(docs, vocabulary(), open_bins=16), [(r.doc_id, r.text) for r in docs.collect()])
+    assert n <= 1.05 * total / 2048 + 1
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "word " * 2047), (4, "word " * 2048), (5, "word " * 9000), (6, "<|endoftext|> a"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"piece": F.lit("x"), "offset": F.lit(1)})

@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hexlore.llm import tokens, wordbpe
 from hexlore.llm.common import table
+from hexlore.llm.hashing import slices
 from hexlore.llm.queries import vocabulary
 
 
@@ -38,7 +40,7 @@ def test_merges_build_on_earlier_ones(bpe):
 
 def test_ids_equal_the_library(bpe, library):
     texts = odd_texts()
-    got = [i for part in wordbpe.slices(texts) for i in bpe.token_ids(part)]
+    got = [i for _, part in slices(pa.array(texts), 3000) for i in bpe.token_ids(part.to_pylist())]
     assert [i.tolist() for i in got] == [ids(library, t) for t in texts]
 
 
@@ -47,6 +49,53 @@ def test_every_code_point(bpe, library):
     assert [i.tolist() for i in bpe.token_ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n, a, b):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:n]
+
+
+def test_regular_words_keep_their_own_ids(bpe, library):
+    """Words of a pattern and its complement, on which weak hashes collide, also where a memo has met one before."""
+    texts = [thue_morse(n, *ab) for n in (16, 32, 64, 1024, 2048, 8192) for pair in ("ab", "th", "qz", "zx", "éa") for ab in (pair, pair[::-1])]
+    for part in (texts, texts[::-1], texts[1::2], texts[::2]):
+        assert [i.tolist() for i in bpe.token_ids(part)] == [ids(library, t) for t in part]
+
+
+def test_words_that_share_a_hash(library, monkeypatch):
+    """With a hash of a few values only, words are still told apart by their characters."""
+    monkeypatch.setattr(wordbpe, "hash_runs", lambda octets, first, last: (last - first).astype(np.uint64) % np.uint64(3))
+    bpe = wordbpe.WordBpe(vocabulary())
+    texts = ["the cat and a dog", "one two three four five", "an ox, the cat; 12 owls", "zebra " * 3, "the dog"]
+    for _ in range(2):
+        assert [i.tolist() for i in bpe.token_ids(texts)] == [ids(library, t) for t in texts]
+
+
+def test_long_words_merge_like_short_ones(bpe):
+    rng = random.Random(3)
+    for pool in ("ab", "etaoinshrdlu", "x", "ha"):
+        word = "".join(rng.choice(pool) for _ in range(3000))
+        octets = np.frombuffer(word.encode(), np.uint8)
+        flat = np.r_[bpe.inner[octets[:-1]], bpe.last[octets[-1:]]]
+        assert bpe.merge_long(flat).tolist() == bpe.merge(flat.copy(), np.array([len(flat)]))[0].tolist()
+
+
+def test_code_points_beyond_the_tables(bpe, library):
+    """Code points without a class here are classed as the library does, next to letters, numbers, signs and spaces."""
+    unknown = np.flatnonzero(wordbpe.classes() == wordbpe.UNKNOWN)
+    texts = [f"A{c}b 1{c}2 !{c}? {c}{c} {c}'s É{c}" for c in map(chr, [*unknown[::5000].tolist(), *unknown[:20].tolist()])]
+    assert [i.tolist() for i in bpe.token_ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_slices_cover_the_column():
+    column = pa.array(["a" * 5, None, "", "b" * 50, "c", "dd"] * 4)
+    for most in (1, 6, 60, 10_000):
+        found = list(slices(column, most))
+        assert [v for _, part in found for v in part.to_pylist()] == column.to_pylist()
+        assert [at for at, _ in found] == np.cumsum([0, *[len(p) for _, p in found]])[:-1].tolist()
+
+
 def test_memo_starts_afresh(library, monkeypatch):
     monkeypatch.setattr(wordbpe, "MEMO_WORDS", 20)
     bpe = wordbpe.WordBpe(vocabulary())
