@@ -8,11 +8,13 @@ Steps, each a table in the shared checkpoint folder where it is used again:
 3. The least class of a band's bucket is its pivot; classes pair with the pivots of their buckets, never with each
    other. XOR population counts of odd sketches estimate similarities; each class's best pivots are confirmed on full
    sets, which joins most classes of a group.
-4. Classes that share a pivot but not yet a component are compared all the same, small groups by a join behind the
-   sketch filter, large ones in blocks of bounded size on full sets, so no link is lost to the choice of pivots.
+4. Classes that share a pivot but not yet a component are compared all the same, under one rule for groups of any
+   size: a group is cut into blocks of bounded bytes, sketches are compared for each pair of blocks, and the members
+   that have a candidate there are compared on full sets, read once for each pair of blocks (once in all where the
+   group is one block). A task returns a spanning forest of what it links, never the pairs.
 
 Two classes of similarity 0.8 share no band with probability (1 - 0.8**4)**32 = 5e-8, and the sketch filter at 0.6
-loses such a pair with a probability of about 1e-8. Reported links are always exact.
+loses such a pair with a probability of about 1e-8. Reported links are always exact on sets of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from hexlore.llm.common import SPACE_CHARS, cut_lineage, free_shuffles
 from hexlore.llm.components import connected_components
-from hexlore.llm.wordbpe import powers
+from hexlore.llm.hashing import ODD, hash_runs, mix64, slices
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
@@ -37,24 +39,16 @@ SAMPLES = BANDS * ROWS
 SKETCH_SLACK = 0.2
 #: The pivots on which a class is confirmed before the exhaustive step.
 FIRST_PIVOTS = 3
-#: Groups up to this size are paired by a join, larger ones in blocks of BLOCK.
-SMALL_GROUP, BLOCK = 32, 256
+#: Bytes of a block of a group, a member counting as its set and MEMBER_BYTES; a task compares two blocks.
+BLOCK_BYTES, MEMBER_BYTES = 4_000_000, 1_000
 
-_random = np.random.default_rng(7)
-_BYTE_CODES = _random.integers(0, 2**64, 256, np.uint64)
-_SEEDS = _random.integers(0, 2**32, SAMPLES, np.uint32)
+_SEEDS = np.random.default_rng(7).integers(0, 2**32, SAMPLES, np.uint32)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACE_CHARS]] = True
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """For each UTF-8 text the sorted distinct 64-bit hashes of its runs of width words, A-Z lower-cased.
 
@@ -64,9 +58,7 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     space = _IS_SPACE[joined]
     first = np.flatnonzero(~space & np.r_[True, space[:-1]])
     last = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    power, inverse = powers(1 << max(21, len(joined).bit_length()))
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTE_CODES[_LOWER[joined]] * power[: len(joined)], dtype=np.uint64)]
-    word = mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+    word = hash_runs(_LOWER[joined], first, last)
     sizes = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
     ends = np.searchsorted(first, np.cumsum(sizes))
     out, begin = [], 0
@@ -79,7 +71,7 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
         run = min(width, len(own))
         value = np.full(len(own) - run + 1, np.uint64(run))
         for k in range(run):
-            value = mix64(value * np.uint64(0x9E3779B97F4A7C15) + own[k : len(own) - run + 1 + k])
+            value = mix64(value * ODD + own[k : len(own) - run + 1 + k])
         out.append(np.unique(value))
     return out
 
@@ -100,7 +92,7 @@ def samples(values: np.ndarray) -> np.ndarray:
 def band_keys(least: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least[k::ROWS].astype(np.uint64))
+        key = mix64(key * ODD + least[k::ROWS].astype(np.uint64))
     return key.view(np.int64)
 
 
@@ -118,16 +110,10 @@ def estimate(a: Column, b: Column) -> Column:
     return F.lit(1.0) - flips / (2.0 * SAMPLES)
 
 
-def byte_slices(column: pa.Array, most: int = 1_000_000) -> Iterator[list[bytes | None]]:
-    run, size = [], 0
-    for text in pc.cast(column, pa.binary()).to_pylist():
-        if run and size + len(text or b"") > most:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text or b"")
-    if run:
-        yield run
+def octets(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Slices of a column of texts as lists of UTF-8 bytes, with their places."""
+    for at, part in slices(column):
+        yield at, pc.cast(part, pa.binary()).to_pylist()
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -138,7 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     def run(batches):
         for batch in batches:
             n, fp, bands, sketch = [], [], [], []
-            for part in byte_slices(batch.column(2)):
+            for _, part in octets(batch.column(2)):
                 for values in shingle_sets(part, width):
                     n.append(len(values))
                     if not len(values):
@@ -162,11 +148,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, widt
 
     def run(batches):
         for batch in batches:
-            fps, at = batch.column(0).to_pylist(), 0
-            for part in byte_slices(batch.column(1)):
+            for at, part in octets(batch.column(1)):
                 sets = [v.tobytes() for v in shingle_sets(part, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(fps[at : at + len(part)], pa.binary()), pa.array(sets, pa.binary())], names=["fp", "shingles"])
-                at += len(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(sets, pa.binary())], names=["fp", "shingles"])
 
     return found.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
 
@@ -190,48 +174,111 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def dealt(open_: DataFrame) -> DataFrame:
+    """The rows of open groups (p, blocks, fp, ...), each once for every pair of blocks (i <= j) that its own is in."""
+    rows = open_.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def by_block_pair(rows: DataFrame, each, schema: str) -> DataFrame:
+    """each(table) of the rows of every (p, i, j), as one stream per partition: groups may be very many and very small."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def results(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
+            table = table.combine_chunks()
+            keys = [table.column(c).to_numpy(zero_copy_only=False) for c in ("p", "i", "j")]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            ends = [*cuts.tolist(), *([table.num_rows] if last else [])]
+            out, at = [], 0
+            for end in ends:
+                out.append(each(table.slice(at, end - at)))
+                at = end
+            return [t for t in out if t.num_rows], table.slice(at)
+
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 4096:
+                done, rest = results(pa.Table.from_batches(held), False)
+                # A long run waits for more rows than it has, so that it is looked at a few times only.
+                held, size = (rest.to_batches(), 0) if rest.num_rows else ([], 0)
+                for t in done:
+                    yield from t.to_batches()
+        if held:
+            for t in results(pa.Table.from_batches(held), True)[0]:
+                yield from t.to_batches()
+
+    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, schema)
+
+
+def fixed_width(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of 16-byte values."""
+    return np.frombuffer(b"".join(column.to_pylist()), "V16")
+
+
+def candidates(rows: DataFrame, least_est: float, percent: int) -> DataFrame:
+    """Of the dealt rows (with sketch and root) those with a candidate in their pair of blocks: another component's
+    member of a similar size and sketch."""
+    columns = ["p", "i", "j", "own", "fp", "root"]
+    # The estimate falls with the number of bits that differ: at most so many for the least estimate.
+    most_bits = int(np.floor(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * (1 - least_est))) + 1e-9))
+
+    def each(table: pa.Table) -> pa.Table:
+        n, own = table.column("n").to_numpy(), table.column("own").to_numpy()
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        root = np.unique(fixed_width(table.column("root")), return_inverse=True)[1]
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        found = np.zeros(len(n), bool)
+        for x in range(len(n) - 1):
+            y = np.arange(x + 1, len(n))
+            y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])) & (within | (own[y] != own[x]))]
+            hit = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= most_bits]
+            found[hit] = True
+            found[x] |= len(hit) > 0
+        return table.select(columns).filter(pa.array(found))
+
+    return by_block_pair(rows, each, "p binary, i int, j int, own int, fp binary, root binary")
+
+
 def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components inside large groups (p, size; members fp, root), a pair of blocks at a time.
+    """Links that join different components inside a pair of blocks, from rows (p, i, j, own, fp, root) and their sets."""
 
-    A group of size m has ceil(m / BLOCK) blocks; each member meets every block once. A task reads two blocks with
-    their sets and returns only links that join components anew.
-    """
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.withColumn("k", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root").join(sets, "fp")
-
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        own, fp, root = (group.column(c).to_pylist() for c in ("own", "fp", "root"))
-        values = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+    def each(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        fp, root = fixed_width(table.column("fp")), np.unique(fixed_width(table.column("root")), return_inverse=True)[1]
+        values = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         size = np.array([len(v) for v in values])
         code = np.unique(np.concatenate(values), return_inverse=True)[1]
-        parent = {r: r for r in root}
-
-        def top(r):
-            while parent[r] != r:
-                parent[r] = r = parent[parent[r]]
-            return r
-
-        i, j = key[1].as_py(), key[2].as_py()
+        top = np.arange(int(root.max()) + 1)
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         holders = np.repeat(np.arange(len(values)), size)
         order = np.argsort(code, kind="stable")
         holders, starts = holders[order], np.searchsorted(code[order], np.arange(int(code.max()) + 2))
         begin = np.r_[0, np.cumsum(size)]
         out = []
-        for x in range(len(values)):
+        for x in range(len(values) - 1):
+            apart = top[root] != top[root[x]]
+            apart[: x + 1] = False
+            if not within:
+                apart &= own != own[x]
+            if not apart.any():
+                continue
             # Every other member's intersection with x, by way of x's shingles.
             mine = code[begin[x] : begin[x + 1]]
             both = np.bincount(np.concatenate([holders[starts[c] : starts[c + 1]] for c in mine.tolist()]), minlength=len(values))
-            hit = 100 * both >= percent * (size + size[x] - both)
-            hit[: x + 1] = False
+            hit = apart & (100 * both >= percent * (size + size[x] - both))
             for y in np.flatnonzero(hit).tolist():
-                if (i == j or own[x] != own[y]) and (u := top(root[x])) != (v := top(root[y])):
-                    parent[u] = v
-                    out.append((fp[x], fp[y]))
+                u, v = top[root[x]], top[root[y]]
+                if u != v:
+                    top[top == max(u, v)] = min(u, v)
+                    out.append((fp[x].tobytes(), fp[y].tobytes()))
         return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
 
-    return dealt.groupBy("p", "i", "j").applyInArrow(run, "a binary, b binary")
+    return by_block_pair(rows.join(sets, "fp"), each, "a binary, b binary")
 
 
 def resolved(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -240,10 +287,11 @@ def resolved(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         raise ValueError("bands and sketches are set for similarities of 0.8 or more")
     least_est = percent / 100 - SKETCH_SLACK
     sig = cut_lineage(signatures(docs, id_col, text_col, width))
-    classes = sig.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("id").alias("label"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    classes = sig.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     classes = cut_lineage(classes)
 
-    banded = classes.select(F.explode("bands").alias("band"), "fp")
+    # Different sets this small can't be similar enough.
+    banded = classes.where((100 - percent) * F.col("n") >= percent).select(F.explode("bands").alias("band"), "fp")
     pivots = banded.groupBy("band").agg(F.min("fp").alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "p")
     # A class and the pivots of its buckets, the pivot itself included once it has company.
     grouped = banded.join(pivots, "band").groupBy("p", "fp").agg(F.count(F.lit(1)).alias("votes"))
@@ -264,18 +312,14 @@ def resolved(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
 
     # What shares a pivot without sharing a component.
     rooted = grouped.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    split = rooted.groupBy("p").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("p", "size")
-    open_ = cut_lineage(rooted.select("p", "fp", "n", "sketch", "root").join(split, "p"))
-    small = open_.where(F.col("size") <= SMALL_GROUP).drop("size")
-    x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, (F.col("x.p") == F.col("y.p")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & sized("x.n", "y.n", percent))
-    pairs = pairs.where(estimate(F.col("x.sketch"), F.col("y.sketch")) >= least_est).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    pairs = cut_lineage(pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    large = open_.where(F.col("size") > SMALL_GROUP)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(large.select("fp")).distinct()
-    more = cut_lineage(sets_of(docs, wanted.join(handles, "fp"), id_col, text_col, width))
+    blocks = F.ceil(F.sum(8 * F.col("n") + MEMBER_BYTES) / BLOCK_BYTES).cast("int")
+    split = rooted.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks")).where("low <> high")
+    open_ = rooted.select("p", "fp", "n", "sketch", "root").join(split.select("p", "blocks"), "p")
+    close = cut_lineage(candidates(dealt(open_), least_est, percent))
+    free_shuffles(docs.sparkSession)
+    more = cut_lineage(sets_of(docs, close.select("fp").distinct().join(handles, "fp"), id_col, text_col, width))
     free_shuffles(docs.sparkSession)
-    found = cut_lineage(links.unionByName(confirm(pairs, more, percent)).unionByName(block_links(large.select("p", "size", "fp", "root"), more, percent)))
+    found = cut_lineage(links.unionByName(block_links(close, more, percent)))
     roots = connected_components(found)
     free_shuffles(docs.sparkSession)
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexlore.llm.common import SPACE_CHARS
-from hexlore.llm.neardup import _BYTE_CODES, _IS_SPACE, _LOWER, byte_slices, mix64
-from hexlore.llm.wordbpe import powers
+from hexlore.llm.hashing import hash_runs
+from hexlore.llm.neardup import _IS_SPACE, _LOWER, octets
 
 #: Hashed features; the first SHAPES * STEPS belong to word shapes.
 FEATURES = 1 << 18
@@ -45,13 +45,11 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     before, without letters. A text without words has only the steps for shares of zero.
     """
     joined = np.frombuffer(b"\n".join([t or b"" for t in texts]) + b"\n", np.uint8)
-    power, inverse = powers(1 << max(21, len(joined).bit_length()))
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTE_CODES[_LOWER[joined]] * power[: len(joined)], dtype=np.uint64)]
+    low = _LOWER[joined]
     borders = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
 
     def hashes(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        value = mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
-        return (value % np.uint64(FEATURES - SHAPES * STEPS)).astype(np.int64) + SHAPES * STEPS
+        return (hash_runs(low, first, last) % np.uint64(FEATURES - SHAPES * STEPS)).astype(np.int64) + SHAPES * STEPS
 
     def runs(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.flatnonzero(~gap & np.r_[True, gap[:-1]]), np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
@@ -160,7 +158,7 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, *, id_col: str, tex
 
     def run(batches):
         for batch in batches:
-            for at, part in parts(batch.column(2)):
+            for at, part in octets(batch.column(2)):
                 flat, sizes = features(part)
                 cut = np.split(flat.astype(np.int32), np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array([c.tobytes() for c in cut], pa.binary())], names=["id", "grade", "features"])
@@ -171,13 +169,6 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, *, id_col: str, tex
     return fit(np.concatenate(sets) if sets else np.empty(0, np.int64), np.array([len(s) for s in sets], np.int64), np.array([r.grade for r in rows], np.int64), n_grades)
 
 
-def parts(column: pa.Array):
-    at = 0
-    for part in byte_slices(column):
-        yield at, part
-        at += len(part)
-
-
 def graded(labels: DataFrame) -> DataFrame:
     """id, grade of rated documents: 0 poor, 1 sound but toxic, 2 sound and clean; of several ratings the lowest counts."""
     grade: Column = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
@@ -201,7 +192,7 @@ def rate(docs: DataFrame, grades: DataFrame, *, n_grades: int = 3, id_col: str =
     def run(batches):
         for batch in batches:
             tail, mean = [np.empty(0)], [np.empty(0)]
-            for _, part in parts(batch.column(1)):
+            for _, part in octets(batch.column(1)):
                 p = shared.value.at_least(shared.value.scores(*features(part)))
                 tail.append(p[:, -1])
                 mean.append(p.sum(axis=1))

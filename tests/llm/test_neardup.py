@@ -65,7 +65,7 @@ def test_equals_brute_force(spark, kind, monkeypatch):
     if kind == "table":
         docs = table(spark, "/root/testdata/sf0.01", "documents")
     elif kind == "copies":
-        monkeypatch.setattr(neardup, "BLOCK", 16)
+        monkeypatch.setattr(neardup, "BLOCK_BYTES", 25_000)
         docs = spark.createDataFrame(copies(), "doc_id long, text string")
     else:
         rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "Ä b"), (8, "ä b"), (9, "one"), (9, "one"), (None, "one"), (None, "q r s"), (11, "k " * 30_000), (12, "K " * 20_000), (13, "one\x85two"), (14, "one two three four")]
@@ -74,6 +74,49 @@ def test_equals_brute_force(spark, kind, monkeypatch):
     assert result(neardup.near_duplicates(docs, width=2)) == brute(rows)
 
 
+def thue_morse(n, a, b):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:n]
+
+
+def test_regular_words_stay_apart(spark):
+    """Words on which polynomials modulo powers of two collide are different words."""
+    rows = [(2 * k + j, thue_morse(n, *ab)) for k, (n, pair) in enumerate([(n, p) for n in (64, 1024, 2048, 4096) for p in ("ab", "th", "qz", "01")]) for j, ab in enumerate((pair, pair[::-1]))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert len(out) == len(rows) and all(r.kept and r.component_id == r.doc_id for r in out)
+
+
+def test_hashes_tell_runs_apart():
+    from hexlore.llm.hashing import hash_runs
+
+    octets = np.frombuffer(bytes(range(256)) * 4 + bytes(300), np.uint8)
+    first = np.r_[np.arange(600), np.zeros(200, np.int64), np.full(150, 1030)]
+    last = np.r_[np.arange(600) + 9, np.arange(200) + 1, 1030 + np.arange(150) + 1]
+    runs = {}
+    for h, i, j in zip(hash_runs(octets, first, last).tolist(), first.tolist(), last.tolist(), strict=True):
+        assert runs.setdefault(octets[i:j].tobytes(), h) == h
+    assert len(set(runs.values())) == len(runs)
+
+
+@pytest.mark.parametrize("n_words", [30, 300])
+def test_groups_that_stay_apart(spark, n_words, monkeypatch):
+    """A template that many texts share without being similar enough, with some real pairs among them, in small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 60_000)
+    rng = random.Random(9)
+    base, rows = [f"t{k}" for k in range(n_words)], []
+    for k in range(200):
+        own = list(base)
+        for at in rng.sample(range(n_words), n_words // 9):
+            own[at] = f"y{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+        if k % 10 == 0:
+            rows.append((1000 + k, " ".join([*own[:-1], "end"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(neardup.near_duplicates(docs, width=2)) == brute(rows)
+
+
 def test_empty_table(spark):
     out = neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.count() == 0
