@@ -1,9 +1,11 @@
 """Mixing sources to target weights (operator 8): whole copies first, then Pareto order sampling.
 
-Each source's target is some copies of all its documents and a share of one more. The share is drawn by Pareto order
-sampling: a document's rank is its random odds over its inclusion odds, and ranks are taken in order up to the words
-that are missing. The cut in that order is found from sums over 1,024 intervals of the rank per source, then over the
-1,024 parts of the interval that the cut falls into; only the part with the cut, a millionth of a source, is put in
+Each source's target is some whole copies of all its documents, which are certain, and a share of one more. That share
+is drawn by Pareto order sampling with unequal inclusion probabilities: proportional to a document's size class (the
+power of two at or below its words), 1 at most, and set so that the expected words are those missing. A document's rank
+is its random odds over its inclusion odds; those of probability 1 come first, then ranks are taken in order up to the
+words that are missing. The cut in that order is found from sums over 1,024 intervals of the rank per source, then over
+the 1,024 parts of the interval that the cut falls into; only the part with the cut, a millionth of a source, is put in
 order, so no source, however large, goes through one task.
 """
 
@@ -16,7 +18,7 @@ from hexlore.llm.common import cut_lineage, words
 
 #: Ranks are numbers of RANK_BITS bits; intervals share the first LEVEL_BITS, parts of intervals twice as many.
 RANK_BITS, LEVEL_BITS = 40, 10
-#: A plan has a row per source; up to so many are broadcast, more are joined by shuffles.
+#: Tables of sources, classes and repeated keys are broadcast up to so many rows (some 100 bytes each), else joined by shuffles.
 MOST_BROADCAST = 10_000
 #: The weights of the sources in order of their names.
 WEIGHTS = (3, 1, 2)
@@ -28,38 +30,89 @@ def uniform(*keys: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def in_order(df: DataFrame, by: Column, name: str) -> DataFrame:
+    """df with its place (from 0) in an order; ranges of the order are numbered apart, then shifted by what is before them."""
+    where = {"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}
+    rows = cut_lineage(df.repartitionByRange(by).sortWithinPartitions(by).withColumns(where))
+    parts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("part_", (F.sum("n").over(Window.orderBy("part_")) - F.col("n")).alias("before_"))
+    return rows.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("at_")).drop("part_", "at_", "before_")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, most_copies: int) -> DataFrame:
     """source, source_size, target from (source, source_size): ratio times all sizes shared by weight, under the caps.
 
     Sources are in order of name by code point, null last, and weigh as weights, repeated. Sharing what is over a cap
-    among the others by weight until no target is over its cap comes to min(cap, level * weight) with one level.
+    among the others by weight until no target is over its cap comes to min(cap, level * weight) with one level, found
+    from sums over all sources: the level of those that are not full rises until no more of them fill.
     """
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.select("source", "source_size", w.alias("w")).withColumn("cap", most_copies * F.col("source_size"))
-    s = s.withColumn("fill", F.col("cap") / F.col("w"))
-    order = Window.orderBy("fill", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    s = s.withColumns({"cap_before": F.coalesce(F.sum("cap").over(order), F.lit(0)), "w_left": F.sum("w").over(every) - F.coalesce(F.sum("w").over(order), F.lit(0)), "all": ratio * F.sum("source_size").over(every)})
-    s = s.withColumn("level", (F.col("all") - F.col("cap_before")) / F.col("w_left"))
-    # The first source that is not full sets the level of all.
-    level = F.min(F.when(F.col("fill") > F.col("level"), F.struct("fill", "level"))).over(every)["level"]
-    return s.select("source", "source_size", F.when(F.col("fill") <= F.coalesce(level, F.col("fill")), F.col("cap").cast("double")).otherwise(level * F.col("w")).alias("target"))
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    s = in_order(sizes.select("source", "source_size"), F.col("source").asc_nulls_last(), "place").withColumn("w", w).withColumn("cap", most_copies * F.col("source_size"))
+    s = cut_lineage(s.withColumn("fill", F.col("cap") / F.col("w")).drop("place"))
+    level, n_full = float("-inf"), -1
+    while True:
+        full = F.col("fill") <= F.lit(level)
+        r = s.agg(F.sum("source_size").alias("all"), F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if r.w is None or r.n == n_full:
+            break
+        n_full, level = r.n, (ratio * r["all"] - (r.cap or 0)) / r.w
+    target = F.when(F.col("fill") <= F.lit(level), F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("w"))
+    return s.select("source", "source_size", target.alias("target"))
+
+
+def measure(size: Column) -> Column:
+    """The size class of a document: the power of two at or below its words, 0 without words."""
+    return F.when(size > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(size)) - 1)).otherwise(F.lit(0).cast("long"))
 
 
-def drawn(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, source, size and the random number of each row, and the columns in carry as carry_*."""
-    u = uniform(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.lit(seed))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), u.alias("u"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+def sized(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, th (hash of the text), source, size and same (a hash of id, text and source), and carry as carry_*."""
+    out = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    return out.withColumn("same", F.xxhash64("id", F.lit("|"), "th", F.lit("|"), "source"))
+
+
+def repeated(base: DataFrame) -> DataFrame:
+    """same of rows that repeat each other in id, text and source."""
+    return cut_lineage(base.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("same").alias("same_")))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Materialised rows that repeat each other, with twin: 0, 1, ... among those of the same key.
+
+    Each partition numbers its own rows and is shifted by what the others before it hold of the key, so a key of very
+    many rows is in no task as a whole.
+    """
+    rows = cut_lineage(rows.withColumns({"part_": F.spark_partition_id(), "row_": F.monotonically_increasing_id()}))
+    held = rows.groupBy("same", "part_").agg(F.count(F.lit(1)).alias("n"), F.min("row_").alias("first_"))
+    before = held.select("same", "part_", (F.sum("n").over(Window.partitionBy("same").orderBy("part_")) - F.col("n")).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("same", "part_").orderBy("row_")) - 1
+    return rows.withColumn("own_", own).join(before, ["same", "part_"]).withColumn("twin", F.col("before_") + F.col("own_")).drop("part_", "row_", "own_", "before_")
+
+
+def drawn(base: DataFrame, twins: DataFrame, seed: int) -> DataFrame:
+    """base with u, the random number of each row; rows that repeat each other have numbers of their own.
+
+    twins holds the keys of such rows; only these are numbered (and shuffled), the others keep their place.
+    """
+    draw = lambda df, k: df.withColumn("u", uniform(F.col("id"), F.col("th"), F.lit(seed), k))
+    if twins.isEmpty():
+        return draw(base, F.lit(0))
+    keys = small(twins)
+    again = numbered(base.join(keys, F.col("same") == F.col("same_"), "left_semi"))
+    return draw(base.join(keys, F.col("same") == F.col("same_"), "left_anti"), F.lit(0)).unionByName(draw(again, F.col("twin")).drop("twin"))
 
 
 def ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with their source's part of the plan, the rank in (0, 1), its interval and the part of it."""
-    if plan.count() <= MOST_BROADCAST:
-        plan = F.broadcast(plan)
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / F.greatest(1 - F.col("p"), F.lit(1e-12)))
-    # A monotone image of the odds.
-    rows = rows.withColumn("rank", odds / (1 + odds)).withColumn("whole_rank", F.least(F.floor(F.col("rank") * 2**RANK_BITS), F.lit(2**RANK_BITS - 1)))
+    """rows with the plan of their source and size class, the rank in [0, 1), its interval and the part of it."""
+    rows = rows.join(small(plan), F.col("source").eqNullSafe(F.col("name")) & (measure(F.col("size")) == F.col("m"))).drop("name", "m")
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / F.greatest(1 - F.col("p"), F.lit(1e-300)))
+    # A monotone image of the odds; what is certain comes first.
+    rank = F.when(F.col("p") >= 1, F.lit(0.0)).otherwise(odds / (1 + odds))
+    rows = rows.withColumn("rank", rank).withColumn("whole_rank", F.least(F.floor(F.col("rank") * 2**RANK_BITS), F.lit(2**RANK_BITS - 1)))
     return rows.withColumns({"bin": F.shiftright("whole_rank", RANK_BITS - LEVEL_BITS), "part": F.shiftright("whole_rank", RANK_BITS - 2 * LEVEL_BITS)}).drop("whole_rank")
 
 
@@ -71,14 +124,32 @@ def cut(rows: DataFrame, by: str) -> DataFrame:
     return first.select(F.col("source").alias("name_"), F.col(f"first.{by}").alias("cut"), F.col("first.before").alias("before"))
 
 
+def inclusion(aims: DataFrame, classes: DataFrame) -> DataFrame:
+    """aims by size class (m) with p, the inclusion probability: min(1, factor * m), so that words expected are those missing.
+
+    Classes are at most 64 a source. From the largest class down, a class is certain as long as the factor that the
+    words then missing ask of it and the smaller ones makes it so.
+    """
+    rows = aims.join(classes, F.col("name").eqNullSafe(F.col("source"))).drop("source")
+    down = Window.partitionBy("name").orderBy(F.col("m").desc())
+    before = F.coalesce(F.sum("class_words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("m") * F.col("class_words").cast("double")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumn("factor", F.coalesce(F.try_divide((F.col("missing") - before).cast("double"), rest), F.lit(0.0)))
+    rows = rows.withColumn("open", F.when(F.col("factor") * F.col("m") < 1, F.struct((-F.col("m")).alias("m"), "factor")))
+    top = F.min("open").over(Window.partitionBy("name"))
+    p = F.when(F.col("m") == 0, F.lit(0.0)).when(top.isNull() | (-F.col("m") < top["m"]), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), top["factor"]) * F.col("m"))
+    return rows.withColumn("p", p).drop("class_words", "factor", "open")
+
+
 def planned(base: DataFrame, *, weights: tuple[int, ...], ratio: float, most_copies: int) -> DataFrame:
-    """For each source (name): source_size, target, whole copies, and where the draw of one more copy is cut."""
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rate = F.col("target") / F.greatest("source_size", F.lit(1))
-    whole = F.floor(rate)
-    # The rest of the rate is the inclusion probability.
-    aims = targets(sizes, weights, ratio, most_copies).select(F.col("source").alias("name"), "source_size", "target", whole.alias("whole"), (rate - whole).alias("p"), (F.col("target") - whole * F.col("source_size")).alias("missing"))
-    aims = cut_lineage(aims)
+    """For each source (name) and size class (m): source_size, target, whole copies, the inclusion probability p of one
+    more, and where the draw of it is cut."""
+    classes = cut_lineage(base.groupBy("source", measure(F.col("size")).alias("m")).agg(F.sum("size").alias("class_words")))
+    sizes = classes.groupBy("source").agg(F.sum("class_words").alias("source_size"))
+    whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
+    aims = targets(sizes, weights, ratio, most_copies).select(F.col("source").alias("name"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("missing"))
+    aims = cut_lineage(inclusion(aims, classes))
+
     def added(aims: DataFrame, found: DataFrame, name: str) -> DataFrame:
         found = found.select("name_", F.col("cut").alias(name), "before")
         return cut_lineage(aims.drop("before").join(found, F.col("name").eqNullSafe(F.col("name_")), "left").drop("name_"))
@@ -101,20 +172,29 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """One row per row of docs: id, size, source_size, target, taken, copies, source.
 
     size is the number of words (null text: 0), copies the whole copies that the mix takes, most_copies at most, and
-    taken their words. Within a source taken misses target by half a document at most. The draw depends on id, text and
-    seed alone; rows that repeat both are drawn together. Null ids and null sources are values like others; a source
-    without words has target 0; an empty table gives no rows. Of docs only the named columns are read.
+    taken their words. Within a source taken misses target by half a document at most. The draw depends on id, text,
+    source and seed alone; rows that repeat these are drawn apart from each other, each with a random number of its own
+    (which of such equal rows gets which is left open, their outcomes together are fixed). Null ids and null sources
+    are values like others; a source without words has target 0, a document without words gets whole copies only; an
+    empty table gives no rows. Of docs only the named columns are read.
     """
-    base = cut_lineage(drawn(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed))
+    base = cut_lineage(sized(docs, id_col=id_col, text_col=text_col, source_col=source_col))
+    base = cut_lineage(drawn(base, repeated(base), seed))
     rows = ranked(base, planned(base, weights=weights, ratio=ratio, most_copies=most_copies)).withColumn("copies", copies(most_copies))
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", F.col("source").alias(source_col))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ratio: float = 1.5, most_copies: int = 2, seed: int = 42) -> DataFrame:
-    """The mix itself: each row of docs, with all its columns, as many times as mix() takes it; texts are not shuffled."""
+    """The mix itself: each row of docs, with all its columns, as many times as mix() takes it.
+
+    Texts are not shuffled, but for those of rows that repeat each other's id, text and source.
+    """
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
     key, body, origin = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
-    which = {"id_col": key, "text_col": body, "source_col": origin, "seed": seed}
-    plan = planned(cut_lineage(drawn(named, **which)), weights=weights, ratio=ratio, most_copies=most_copies)
-    rows = ranked(drawn(named, **which, carry=tuple(named.columns)), plan).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies(most_copies))))
+    which = {"id_col": key, "text_col": body, "source_col": origin}
+    base = cut_lineage(sized(named, **which))
+    twins = repeated(base)
+    plan = planned(cut_lineage(drawn(base, twins, seed)), weights=weights, ratio=ratio, most_copies=most_copies)
+    rows = drawn(sized(named, **which, carry=tuple(named.columns)), twins, seed)
+    rows = ranked(rows, plan).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies(most_copies))))
     return rows.select(*[F.col(f"carry_c{k}").alias(c) for k, c in enumerate(docs.columns)])
