@@ -1,4 +1,5 @@
 import hashlib
+from itertools import groupby
 
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def test_edges(spark):
     odd = ["<|", r"<\|", r"<\\|im_end|>", "<", "|", "\\", "", None, "<|im_sep|>", "\n\n", "<|im_start|>user\nx<|im_end|>\n", "ä\U0001f600", "<|nl|>", "x" * 200_000, "a<", "|b"]
     rows = [(1, k, "assistant" if k % 3 else "user", t) for k, t in enumerate(odd)]
     rows += [(2, 0, "assistant", t) for t in odd] + [(2, None, None, "q"), (2, 0, "assistant", "<|"), (None, 1, "role\nwith <|im_end|>", "z"), (None, 0, "assistant", None), (3, 5, "user", "only")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"segments": F.lit(1), "formatted": F.lit("f"), "t": F.lit(0), "id": F.lit(9)})
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"loss": F.lit(1), "formatted": F.lit("f"), "t": F.lit(0), "id": F.lit(9)})
     assert got(chat.digests(chat.format_conversations(turns))) == expected(rows)
 
 
@@ -42,7 +43,32 @@ def test_shape(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b")]
     r = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()[0]
     assert r.formatted == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\na<|im_sep|>b<|im_end|>\n"
-    assert [s.s for s in r.segments if s.loss] == ["a", "b"] and "".join(s.s for s in r.segments) == r.formatted
+    assert [r.formatted[s.start : s.end] for s in r.loss] == ["a", "b"]
+    assert [r.formatted.encode()[s.first_byte : s.end_byte] for s in r.loss] == [b"a", b"b"]
+
+
+def test_mask_over_the_string(spark):
+    """Spans in code points and in bytes name the same texts, whatever roles and other texts hold."""
+    rows = [(1, 0, "rôle\n😀<|im_end|>", "ü"), (1, 1, "assistant", "<|im_sep|>é"), (1, 2, "assistant", ""), (1, 3, "user", "ß<|"), (1, 4, "assistant", "😀|"), (2, 0, "user", "none")]
+    got = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    r = got[1]
+    assert [r.formatted[s.start : s.end] for s in r.loss] == [r"<\|im_sep|>é", "", "😀|"] and got[2].loss == []
+    assert all(r.formatted.encode()[s.first_byte : s.end_byte].decode() == r.formatted[s.start : s.end] for s in r.loss)
+    only = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), learn_role="user").collect()
+    assert sorted(r.formatted[s.start : s.end] for r in only for s in r.loss) == ["none", r"ß<\|"]
+
+
+def test_a_very_long_conversation(spark):
+    """Thousands of turns in runs of one role, beside short ones: all come back, in order."""
+    rows = [(1, k, "assistant" if k % 7 < 3 else "user", f"t{k} " + "é" * (k % 50)) for k in range(4000)] + [(2, 0, "assistant", "x")]
+    assert got(chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))) == expected(rows)
+
+
+def test_merged_blocks_equal_a_plain_loop(spark):
+    rows = [(k % 5, k, "abc"[(k * k // 3) % 3], str(k)) for k in range(200)]
+    turns = spark.createDataFrame(rows, "c long, k long, role string, text string").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "role", "text"))).alias("t"))
+    for r in turns.select("t", chat.merged(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))).alias("m")).collect():
+        assert [(b.role, b.texts) for b in r.m] == [(k, [x.text for x in g]) for k, g in ((k, list(g)) for k, g in groupby(r.t, key=lambda x: x.role))]
 
 
 def test_empty(spark):
