@@ -100,6 +100,16 @@ class Ordinal:
         return 1 - sigmoid(self.thresholds[None, :] - scores[:, None])
 
 
+def slopes(scores: np.ndarray, thresholds: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The derivatives of the sum of -log P(grade) by each row's score, and by each threshold."""
+    k = len(thresholds)
+    t = np.r_[-np.inf, thresholds, np.inf]
+    pl, ph = sigmoid(t[grades] - scores), sigmoid(t[grades + 1] - scores)
+    p = np.maximum(ph - pl, 1e-9)
+    dl, dh = pl * (1 - pl) / p, ph * (1 - ph) / p
+    return dh - dl, np.bincount(grades, weights=-dh, minlength=k + 1)[:k] + np.bincount(grades, weights=dl, minlength=k + 1)[1:]
+
+
 def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, *, epochs: int = 25, batch: int = 256, rate: float = 0.3, shrink: float = 5e-4, least_rows: int = 5, seed: int = 42) -> Ordinal:
     """Maximum likelihood with AdaGrad and soft thresholding of weights; a first threshold and positive steps keep the thresholds in order.
 
@@ -128,15 +138,8 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int,
             n = sizes[rows]
             index = flat[np.repeat(begins[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             total = np.r_[0.0, np.cumsum(w[index])]
-            s = total[np.cumsum(n)] - total[np.cumsum(n) - n]
-            t = np.r_[-np.inf, cuts(free), np.inf]
-            low, high = t[grades[rows]] - s, t[grades[rows] + 1] - s
-            pl, ph = sigmoid(low), sigmoid(high)
-            p = np.maximum(ph - pl, 1e-9)
-            dl, dh = pl * (1 - pl) / p, ph * (1 - ph) / p
-            # d(-log p): by the score, and by each threshold.
-            ds = (dh - dl) / len(rows)
-            dt = np.bincount(grades[rows], weights=-dh, minlength=n_grades)[:k] + np.bincount(grades[rows], weights=dl, minlength=n_grades)[1:]
+            ds, dt = slopes(total[np.cumsum(n)] - total[np.cumsum(n) - n], cuts(free), grades[rows])
+            ds = ds / len(rows)
             used, back = np.unique(index, return_inverse=True)
             g = np.bincount(back, weights=np.repeat(ds, n))
             gw[used] += g * g
@@ -151,22 +154,40 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int,
     return model
 
 
-def train(docs: DataFrame, grades: DataFrame, n_grades: int, *, id_col: str, text_col: str, most_rows: int) -> Ordinal:
-    """Fits on at most most_rows rated documents, those of the least hashes of their ids; grades has (id, grade)."""
+def train(docs: DataFrame, grades: DataFrame, n_grades: int, *, id_col: str, text_col: str, most_rows: int, most_bytes: int) -> Ordinal:
+    """Fits on rated documents, at most most_rows of them and most_bytes of their texts, in order of hashes of their ids.
+
+    grades has (id, grade). Which documents these are is told from ids, hashes and sizes alone; then only theirs are
+    read for features. Rows that repeat both id and text count once, so what reaches the driver is bounded.
+    """
+    spark = docs.sparkSession
     picked = grades.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rated = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("id", "grade", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    facts = texts.select("id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    facts = facts.join(F.broadcast(picked), "id").groupBy("id", "grade", "th").agg(F.max("bytes").alias("bytes"))  # most_rows ids
+    chosen, held = [], 0
+    for r in facts.orderBy(F.xxhash64("id"), "id", "th").limit(most_rows).collect():
+        held += r.bytes
+        if chosen and held > most_bytes:
+            break
+        chosen.append((r.id, r.th, r.grade))
+    if not chosen:
+        return fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), n_grades)
+    wanted = spark.createDataFrame(chosen, T.StructType([T.StructField("id_", facts.schema["id"].dataType), T.StructField("th_", T.LongType()), T.StructField("grade", T.IntegerType())]))
+    rated = texts.join(F.broadcast(wanted), (F.col("id") == F.col("id_")) & (F.xxhash64("text") == F.col("th_"))).select("id", "th_", "grade", "text")
 
     def run(batches):
         for batch in batches:
-            for at, part in octets(batch.column(2)):
+            for at, part in octets(batch.column(3)):
                 flat, sizes = features(part)
                 cut = np.split(flat.astype(np.int32), np.cumsum(sizes)[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array([c.tobytes() for c in cut], pa.binary())], names=["id", "grade", "features"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(3)), pa.array([c.tobytes() for c in cut], pa.binary())], names=["id", "th_", "grade", "features"])
 
-    schema = T.StructType([rated.schema["id"], rated.schema["grade"], T.StructField("features", T.BinaryType())])
-    rows = sorted(rated.mapInArrow(run, schema).collect(), key=lambda r: (r.id, r.features))[:most_rows]
+    schema = T.StructType([rated.schema["id"], rated.schema["th_"], rated.schema["grade"], T.StructField("features", T.BinaryType())])
+    rows = rated.mapInArrow(run, schema).groupBy("id", "th_", "grade").agg(F.any_value("features").alias("features")).collect()
+    rows = sorted(rows, key=lambda r: (r.id, r.features))
     sets = [np.frombuffer(r.features, np.int32).astype(np.int64) for r in rows]
-    return fit(np.concatenate(sets) if sets else np.empty(0, np.int64), np.array([len(s) for s in sets], np.int64), np.array([r.grade for r in rows], np.int64), n_grades)
+    return fit(np.concatenate(sets), np.array([len(s) for s in sets], np.int64), np.array([r.grade for r in rows], np.int64), n_grades)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -175,14 +196,14 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), grade.alias("grade")).where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
 
 
-def rate(docs: DataFrame, grades: DataFrame, *, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000, least_tail: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def rate(docs: DataFrame, grades: DataFrame, *, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000, most_bytes: int = 32_000_000, least_tail: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, expected_grade, tail_probability (of the top grade), kept (and the columns in carry).
 
     kept is tail_probability >= least_tail. Null texts are empty; null and repeated ids are carried as they are; an
     empty table of documents gives no rows, an empty table of grades keeps all. Whole texts are read, in training and
-    in scoring; most_rows bounds the rated rows that are fitted. Further columns are not read.
+    in scoring; most_rows and most_bytes bound the rated documents that are fitted. Further columns are not read.
     """
-    model = train(docs, grades, n_grades, id_col=id_col, text_col=text_col, most_rows=most_rows)
+    model = train(docs, grades, n_grades, id_col=id_col, text_col=text_col, most_rows=most_rows, most_bytes=most_bytes)
     model.weights = model.weights.astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES single-precision numbers: 1 MB
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])

@@ -17,7 +17,7 @@ BASE = {
     "hex": (r"[0-9a-f]+", 0, 24),
 }
 #: Runs of these characters, this long at least, are scored by the models.
-LEAST = 20
+LEAST = 12
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{6,}"
 METHOD = "random"

@@ -1,4 +1,7 @@
+import base64
 import hashlib
+import math
+import random as stdlib_random
 import re
 
 from pyspark.sql import functions as F
@@ -57,19 +60,77 @@ def test_parts_beside_base_spans_are_scored(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = secrets.train(secrets.labelled_samples(docs, id_col="doc_id", text_col="text", most_rows=500, n_random=500))
     hexed, blob = "0123456789abcdef" * 2, "Qz7Zr+9Xk/2LmVt0pQsWb8YdHgJKNZQRTqMxUw5I"
-    texts = [f"{hexed}-{blob}", f"see {blob}/{hexed}/{blob} there", f"{hexed}-{blob[:15]}", f"token={blob}", f"{hexed} {blob}"]
+    texts = [f"{hexed}-{blob}", f"see {blob}/{hexed}/{blob} there", f"{hexed}-{blob[:10]}", f"token={blob}", f"{hexed} {blob}"]
     got = {r.doc_id: r.spans for r in secrets.digests(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model)).collect()}
     assert got == {0: "hex:0:32,random:32:73", 1: "random:4:45,hex:45:77,random:77:118", 2: "hex:0:32", 3: "assign:0:46", 4: "hex:0:32,random:33:73"}
     out = secrets.redact(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), model=model)
     assert out.first().text == "[secret][secret]"
 
 
+def plain_pairs(tokens):
+    """Counts of adjacent characters, one added to each."""
+    counts = [1.0] * 128 * 128
+    for t in tokens:
+        for a, b in zip(t, t[1:]):
+            counts[ord(a) * 128 + ord(b)] += 1
+    return counts
+
+
+def plain_scan(rows, least_ratio=12.0, n_random=300):
+    """Spans of all kinds from plain Markov models of a few documents, all of which are in the training sample."""
+    long_runs = re.compile("AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}")
+    random, other = [], []
+    for _, text in rows:
+        random += [t for t in [m[2] for m in ASSIGN.finditer(text)] + long_runs.findall(text) if len(t) >= 12]
+        other += re.findall("[A-Za-z0-9+/_=-]{6,}", long_runs.sub(" ", ASSIGN.sub(" ", text)))
+    for k in range(n_random):
+        digest = hashlib.sha256(str(k).encode()).hexdigest()
+        random += [digest, base64.b64encode(bytes.fromhex(digest)).decode()]
+    counts = [plain_pairs(x) for x in (random, other)]
+    total = [[sum(c[a * 128 : a * 128 + 128]) for a in range(128)] for c in counts]
+    model = [round(math.log(counts[0][p] / total[0][p // 128]) - math.log(counts[1][p] / total[1][p // 128]), 4) for p in range(128 * 128)]
+    out = {}
+    for k, text in rows:
+        spans = base(text)
+        covered = [False] * len(text)
+        for s, _, e in spans:
+            covered[s:e] = [True] * (e - s)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+            at = m.start()
+            while at < m.end():
+                end = at
+                while end < m.end() and not covered[end]:
+                    end += 1
+                token = text[at:end]
+                if len(token) >= 12 and sum(model[ord(a) * 128 + ord(b)] for a, b in zip(token, token[1:])) >= least_ratio:
+                    spans.append((at, 3, end))
+                at = end + 1
+        out[k] = ",".join(f"{secrets.KINDS[kind]}:{s}:{e}" for s, kind, e in sorted(spans))
+    return out
+
+
+def test_spans_equal_plain_models(spark):
+    """All spans of a table with keys of 12 characters and more among its words, against plain Markov models."""
+    rng = stdlib_random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("doc_id < 300").select("doc_id", "text")
+    rows = []
+    for r in docs.collect():
+        words = r.text.split(" ")
+        for _ in range(rng.randint(0, 2)):
+            words.insert(rng.randrange(len(words) + 1), "".join(rng.choice(alphabet) for _ in range(rng.randint(8, 40))))
+        if r.doc_id % 9 == 0:
+            words.append("token=" + "".join(rng.choice(alphabet) for _ in range(20)) + ",0123456789abcdef0123456789abcdef")
+        rows.append((r.doc_id, " ".join(words)))
+    want = plain_scan(rows)
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), n_random=300)).collect()}
+    assert got == want and sum("random" in s for s in want.values()) > 50
+
+
 def test_models_tell_random_strings_apart(spark):
     """Held-out strings of other alphabets' mixes and other words."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = secrets.train(secrets.labelled_samples(docs, id_col="doc_id", text_col="text", most_rows=500, n_random=500))
-    import base64
-
     rnd = [base64.b64encode(hashlib.sha512(str(k).encode()).digest())[:32].decode() for k in range(300)]
     words = [w for (t,) in docs.select("text").where("doc_id >= 500").collect() for w in re.findall("[A-Za-z]{8,}", t)]
     plain = ["_".join(words[k : k + 4])[:60] for k in range(0, 1200, 4)]
