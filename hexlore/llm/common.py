@@ -33,6 +33,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+#: Keys that join_hot joins by a broadcast, at most.
+MOST_HOT = 100_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """rows (materialised) left-joined with facts (one row a key, size being the rows of the key), however they are spread.
+
+    Keys that hold more than one row in MOST_HOT, fewer than MOST_HOT of them by that, meet their rows by a broadcast,
+    so none gathers its rows in one task; the others are joined by a shuffle, and rows without a key by neither.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    least = max(1000, total // MOST_HOT)
+    hot, rest = F.broadcast(facts.where(F.col(size) > least)), facts.where(F.col(size) <= least)
+    known = rows.where(F.col(key).isNotNull())
+    if facts.where(F.col(size) > least).isEmpty():
+        out = known.join(rest, key, "left")
+    else:
+        out = known.join(hot, key).unionByName(known.join(hot.select(key), key, "left_anti").join(rest, key, "left"))
+    bare = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name != key])
+    return out.unionByName(bare).drop(size)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now, which it does once their plans are collected garbage.
 

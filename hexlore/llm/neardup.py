@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexlore.llm.common import SPACE_CHARS, cut_lineage, free_shuffles
+from hexlore.llm.common import SPACE_CHARS, cut_lineage, free_shuffles, join_hot
 from hexlore.llm.components import connected_components
 from hexlore.llm.hashing import ODD, hash_runs, mix64, slices
 
@@ -281,23 +281,30 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return by_block_pair(rows.join(sets, "fp"), each, "a binary, b binary")
 
 
-def resolved(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """id, th, n and root (the fingerprint of a class that stands for the component, null without words) of each row."""
+def resolved(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """id, th, n, fp (null without words) of each row; and of each class fp, copies (its rows), rep (the least of id and th,
+    nulls first), label (the least id) and root.
+
+    A class is the rows of equal sets; root is the fingerprint of a class that stands for the component.
+    """
     if percent < 80:
         raise ValueError("bands and sketches are set for similarities of 0.8 or more")
     least_est = percent / 100 - SKETCH_SLACK
     sig = cut_lineage(signatures(docs, id_col, text_col, width))
-    classes = sig.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    facts = [F.any_value(c).alias(c) for c in ("n", "bands", "sketch")]
+    classes = sig.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("id").alias("label"), F.count(F.lit(1)).alias("copies"), *facts)
     classes = cut_lineage(classes)
 
     # Different sets this small can't be similar enough.
     banded = classes.where((100 - percent) * F.col("n") >= percent).select(F.explode("bands").alias("band"), "fp")
     pivots = banded.groupBy("band").agg(F.min("fp").alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "p")
     # A class and the pivots of its buckets, the pivot itself included once it has company.
-    grouped = banded.join(pivots, "band").groupBy("p", "fp").agg(F.count(F.lit(1)).alias("votes"))
+    grouped = cut_lineage(banded.join(pivots, "band").select("p", "fp").distinct())
+    free_shuffles(docs.sparkSession)
     known = classes.select("fp", "n", "sketch")
-    pivot_facts = known.select(F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("ps"))
-    grouped = cut_lineage(grouped.join(known, "fp").join(pivot_facts, "p").select("p", "fp", "n", "sketch", F.when(sized("n", "pn", percent), estimate(F.col("sketch"), F.col("ps"))).alias("est")))
+    pivot_facts = grouped.groupBy("p").agg(F.count(F.lit(1)).alias("members")).join(known.select(F.col("fp").alias("p"), F.col("n").alias("pn"), F.col("sketch").alias("ps")), "p")
+    rows = join_hot(grouped, cut_lineage(pivot_facts), "p", "members").join(known, "fp")
+    grouped = cut_lineage(rows.select("p", "fp", "n", "sketch", F.when(sized("n", "pn", percent), estimate(F.col("sketch"), F.col("ps"))).alias("est")))
 
     first = grouped.where((F.col("p") != F.col("fp")) & (F.col("est") >= least_est))
     first = cut_lineage(best_pivots(first))
@@ -311,10 +318,10 @@ def resolved(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     roots = connected_components(links)
 
     # What shares a pivot without sharing a component.
-    rooted = grouped.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = cut_lineage(grouped.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("p", "fp", "n", "sketch", F.coalesce("root", "fp").alias("root")))
     blocks = F.ceil(F.sum(8 * F.col("n") + MEMBER_BYTES) / BLOCK_BYTES).cast("int")
-    split = rooted.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks")).where("low <> high")
-    open_ = rooted.select("p", "fp", "n", "sketch", "root").join(split.select("p", "blocks"), "p")
+    split = rooted.groupBy("p").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).where("low <> high")
+    open_ = join_hot(rooted, cut_lineage(split.select("p", "blocks", "members")), "p", "members").where("blocks is not null")
     close = cut_lineage(candidates(dealt(open_), least_est, percent))
     free_shuffles(docs.sparkSession)
     more = cut_lineage(sets_of(docs, close.select("fp").distinct().join(handles, "fp"), id_col, text_col, width))
@@ -324,7 +331,8 @@ def resolved(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     free_shuffles(docs.sparkSession)
 
     tops = roots.select(F.col("node").alias("fp"), F.col("root").alias("top"))
-    return sig.select("id", "th", "n", "fp").join(tops, "fp", "left").select("id", "th", "n", F.coalesce("top", "fp").alias("root"))
+    rooted = classes.select("fp", "copies", "rep", "label").join(tops, "fp", "left").select("fp", "copies", "rep", "label", F.coalesce("top", "fp").alias("root"))
+    return sig.select("id", "th", "n", "fp"), cut_lineage(rooted)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -337,25 +345,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     their own and, as copies do, share a component. percent from 80 on; below, the bands would lose links. An empty
     table gives no rows; of docs only id_col and text_col are read.
     """
-    rows = cut_lineage(resolved(docs, id_col, text_col, width, percent))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    rows, classes = resolved(docs, id_col, text_col, width, percent)
+    least = cut_lineage(classes.groupBy("root").agg(F.min("label").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    named = cut_lineage(join_hot(classes.select("fp", "copies", "root"), least, "root", "members").select("fp", "copies", "component_id"))
+    rows = join_hot(rows, named, "fp", "copies")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    rows = rows.join(least, "root", "left").select("id", "n", component.alias("component_id"))
+    rows = rows.select("id", "n", component.alias("component_id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, with one row left of each component of near-duplicates: that of the least id, then text hash.
+    """docs, all columns, with one row left of each component of near-duplicates: that of the least id (null first), then text hash.
 
     Rows without words all stay. Where rows repeat that id and text, one of them stays.
     """
     columns = docs.columns
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
     key, body = (f"c{columns.index(c)}" for c in (id_col, text_col))
-    rows = cut_lineage(resolved(named, key, body, width, percent))
-    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("first")).select("first.id", "first.th")
-    chosen = rows.where("root is not null").join(first.select(F.col("id").alias("id_"), F.col("th").alias("th_")), F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))).groupBy("id", "th").agg(F.count(F.lit(1)).alias("rows"))
-    chosen = cut_lineage(chosen.unionByName(rows.where("root is null").select("id", "th", F.lit(1).cast("long").alias("rows")).distinct()))
+    rows, classes = resolved(named, key, body, width, percent)
+    first = classes.groupBy("root").agg(F.min("rep").alias("first")).select(F.col("first.id").alias("id_"), F.col("first.th").alias("th_"))
+    counts = rows.where("n > 0").groupBy("id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = first.join(counts, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))).select("id", "th", "rows")
+    chosen = cut_lineage(chosen.unionByName(rows.where("n = 0").select("id", "th", F.lit(1).cast("long").alias("rows")).distinct()))
     kept = named.withColumn("th_", F.xxhash64(body)).join(chosen, F.col(key).eqNullSafe(F.col("id")) & (F.col("th_") == F.col("th")))
     once = kept.where("rows = 1").select(*named.columns)
     repeated = kept.where("rows > 1").dropDuplicates([key, body]).select(*named.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexlore.llm.common import cut_lineage
+from hexlore.llm.common import cut_lineage, join_hot
 from hexlore.llm.components import connected_components
 
 #: Vectors on which axes and block borders are fitted.
@@ -238,9 +238,10 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     counts = found.groupBy("fp").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("fp").alias("a"), F.col("other").alias("b")))
     labels = classes.select("fp", "label", "copies").join(counts, "fp", "left").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    labels = labels.select("fp", "label", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "fp").alias("root"))
-    firsts = labels.groupBy("root").agg(F.min("label").alias("component_id"))
-    labels = labels.join(firsts, "root").select("fp", "n_links", "component_id")
+    labels = labels.select("fp", "label", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "fp").alias("root"))
+    labels = cut_lineage(labels)
+    firsts = cut_lineage(labels.groupBy("root").agg(F.min("label").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    labels = cut_lineage(join_hot(labels, firsts, "root", "members").select("fp", "n_links", "component_id", "copies"))
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = rows.select("id", "fp").join(labels, "fp", "left")
+    out = join_hot(rows.select("id", "fp"), labels, "fp", "copies")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
