@@ -2,8 +2,8 @@
 
 Unit vectors of cosine c are sqrt(2 - 2c) apart, so all links lie within one epsilon. Vectors are rotated onto leading
 principal axes (fitted on a bounded sample; any axes give the same links, good ones skip more), laid in lexicographic
-order of their epsilon cells, and cut into blocks of consecutive vectors. Block pairs whose boxes are further apart
-than epsilon are never made. A task joins two blocks recursively, halving the sequence intervals and dropping pairs of
+order of their epsilon cells, and cut into blocks of consecutive vectors of bounded bytes, level by level, as many as
+the table needs. Block pairs whose boxes are further apart than epsilon are never made. A task joins two blocks recursively, halving the sequence intervals and dropping pairs of
 intervals whose boxes are provably distant; what remains is compared by matrix products, close calls in double
 precision. A task returns link counts and a spanning forest, never the pairs.
 """
@@ -21,13 +21,14 @@ from pyspark.sql import types as T
 from hexlore.llm.common import cut_lineage, join_hot
 from hexlore.llm.components import connected_components
 
-#: Vectors on which axes and block borders are fitted.
-SAMPLE = 8192
-#: Vectors of a block, the leading axes of the grid, and the interval below which the recursion multiplies.
-BLOCK, AXES, LEAF = 8192, 6, 512
+#: Vectors, and their bytes, on which the axes are fitted.
+SAMPLE, SAMPLE_BYTES = 8192, 16_000_000
+#: Bytes of the vectors of a block, the leading axes of the grid, and the interval below which the recursion multiplies.
+BLOCK_BYTES, AXES, LEAF = 4_200_000, 6, 512
 #: Dot products of unit vectors in single precision err by less.
 CLOSE = 1e-4
-MOST_BORDERS = 1024
+#: Parts that one level cuts a block into, at most, and vectors looked at for each border.
+MOST_CUTS, PER_BORDER = 1024, 16
 
 
 def usable(values: np.ndarray) -> bool:
@@ -65,19 +66,21 @@ def packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 class Grid:
-    """Axes by dimension, the epsilon of the cells, and the borders that cut the order of cells into blocks."""
+    """Axes by dimension and the epsilon of the cells."""
 
-    def __init__(self, sample: list[tuple[int, bytes, bytes]], epsilon: float, n_blocks: int) -> None:
-        self.epsilon, self.axes, self.borders = epsilon, {}, {}
-        for dim in {d for d, _, _ in sample}:
-            own = [(fp, raw) for d, fp, raw in sample if d == dim]
-            x = units(np.frombuffer(b"".join(r for _, r in own), np.float64).reshape(-1, dim))
+    def __init__(self, sample: list[tuple[int, bytes]], epsilon: float) -> None:
+        self.epsilon, self.axes = epsilon, {}
+        for dim in {d for d, _ in sample}:
+            x = units(np.frombuffer(b"".join(r for d, r in sample if d == dim), np.float64).reshape(-1, dim))
             centred = x - x.mean(axis=0)
-            _, axes = np.linalg.eigh(centred.T @ centred)  # in order of rising variance
-            self.axes[dim] = np.ascontiguousarray(axes[:, ::-1][:, : min(AXES, dim)])
-            keys = sorted(zip(self.cells(dim, x).tolist(), [fp for fp, _ in own], strict=True))
-            n = max(1, min(n_blocks, MOST_BORDERS, len(keys) // 8))
-            self.borders[dim] = [keys[len(keys) * k // n] for k in range(1, n)]
+            if len(x) < dim:  # from products of the vectors, which are fewer than the dimensions
+                scale, own = np.linalg.eigh(centred @ centred.T)
+                own = own[:, ::-1][:, : min(AXES, int((scale > 1e-9).sum()) or 1)]
+                axes = np.linalg.qr(centred.T @ own)[0]
+            else:
+                _, axes = np.linalg.eigh(centred.T @ centred)  # in order of rising variance
+                axes = axes[:, ::-1][:, : min(AXES, dim)]
+            self.axes[dim] = np.ascontiguousarray(axes)
 
     def place(self, dim: int, x: np.ndarray) -> np.ndarray:
         # Dimensions that the sample has not met get their own first axes.
@@ -86,12 +89,31 @@ class Grid:
     def cells(self, dim: int, x: np.ndarray) -> np.ndarray:
         return np.floor(self.place(dim, x) / self.epsilon).astype(np.int64)
 
-    def blocks(self, dim: int, raws: list[bytes], fps: list[bytes]) -> list[int]:
-        from bisect import bisect_right
 
-        x = units(np.frombuffer(b"".join(raws), np.float64).reshape(-1, dim))
-        borders = self.borders.get(dim, [])
-        return [bisect_right(borders, (c, fp)) for c, fp in zip(self.cells(dim, x).tolist(), fps, strict=True)]
+def in_blocks(laid: DataFrame) -> DataFrame:
+    """laid (dim, cells, fp, ...) with block: runs of the order by cells and fp that hold BLOCK_BYTES or so.
+
+    Each level cuts the blocks that are too large at the quantiles of a few of their vectors (fingerprints are random,
+    so those of a range of hashes are a sample), until none is.
+    """
+    out = cut_lineage(laid.withColumn("block", F.col("dim").cast("string")))
+    room = F.greatest(F.lit(32), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
+    while True:
+        sizes = out.groupBy("dim", "block").agg(F.count(F.lit(1)).alias("n"))
+        large = cut_lineage(sizes.where(F.col("n") > 2 * room).select("block", "n", F.least(F.lit(MOST_CUTS), F.ceil(F.col("n") / room)).cast("int").alias("cuts")))
+        if large.isEmpty():
+            return out
+        share = F.least(F.lit(1.0), F.lit(float(PER_BORDER)) * F.col("cuts") / F.col("n"))
+        met = join_hot(out, large, "block", "n").where(F.col("cuts").isNotNull())
+        # At least some of a block's vectors are looked at, those whose hashes are in the share.
+        seen = met.where(F.pmod(F.xxhash64("fp", "block"), F.lit(1 << 20)) < F.greatest(share, F.lit(1e-6)) * (1 << 20))
+        keys = seen.groupBy("block", "cuts").agg(F.sort_array(F.collect_list(F.struct("cells", "fp"))).alias("keys"))
+        at = F.transform(F.sequence(F.lit(1), F.col("cuts") - 1), lambda k: F.get("keys", F.floor(F.size("keys") * k / F.col("cuts")).cast("int")))
+        borders = cut_lineage(keys.select("block", F.array_distinct(at).alias("borders")).join(large.select("block", "n"), "block"))
+        own = F.struct("cells", "fp")
+        part = F.size(F.filter("borders", lambda b: b <= own))
+        known = F.when(F.col("borders").isNotNull(), F.concat_ws(".", "block", part.cast("string"))).otherwise(F.col("block"))
+        out = cut_lineage(join_hot(out, borders, "block", "n").withColumn("block", known).drop("borders"))
 
 
 class Side:
@@ -185,36 +207,37 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     rows = cut_lineage(packed(vectors, id_col, vector_col))
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("label"), F.count(F.lit(1)).alias("copies"), F.any_value("dim").alias("dim"), F.any_value("raw").alias("raw"))
     classes = cut_lineage(classes)
-    n = classes.count()
-    # Fingerprints are random, so the least ones are a sample; its size is bounded by SAMPLE.
-    last = classes.select("fp").orderBy("fp").limit(SAMPLE).agg(F.max("fp")).first()[0]
-    sample = [(r.dim, bytes(r.fp), bytes(r.raw)) for r in classes.where(F.col("fp") <= F.lit(last)).select("dim", "fp", "raw").collect()]
-    grid = Grid(sample, epsilon, -(-n // BLOCK))
+    # Fingerprints are random, so the least ones are a sample.
+    first = classes.select("fp", "dim").orderBy("fp").limit(SAMPLE).collect()
+    held = np.cumsum([8 * r.dim for r in first])
+    last = bytes(first[max(0, int(np.searchsorted(held, SAMPLE_BYTES, "right")) - 1)].fp) if first else b""
+    sample = sorted((r.dim, bytes(r.raw)) for r in classes.where(F.col("fp") <= F.lit(last)).select("dim", "raw").collect())
+    grid = Grid(sample, epsilon)
 
     def dealt(batches):
         for batch in batches:
-            fps, dims, raws = (batch.column(k).to_pylist() for k in (0, 1, 2))
-            block = np.zeros(len(fps), np.int64)
+            dims, raws = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            cells = [None] * len(dims)
             for dim in set(dims):
                 own = [k for k, d in enumerate(dims) if d == dim]
-                block[own] = grid.blocks(dim, [raws[k] for k in own], [fps[k] for k in own])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=["fp", "dim", "raw", "copies", "block"])
+                found = grid.cells(dim, units(np.frombuffer(b"".join(raws[k] for k in own), np.float64).reshape(-1, dim)))
+                for k, c in zip(own, found.tolist(), strict=True):
+                    cells[k] = c
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int64()))], names=["fp", "dim", "cells"])
 
-    laid = classes.select("fp", "dim", "raw", "copies").mapInArrow(dealt, "fp binary, dim int, raw binary, copies long, block long")
-    laid = cut_lineage(laid)
-    # Where the borders leave a block too large, it is cut further by fingerprint.
-    sizes = laid.groupBy("dim", "block").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (2 * BLOCK))).cast("int").alias("cuts"))
-    laid = laid.join(sizes, ["dim", "block"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("cuts")))
+    # Blocks are found from cells and fingerprints alone.
+    laid = in_blocks(classes.select("fp", "dim", "raw").mapInArrow(dealt, "fp binary, dim int, cells array<long>"))
+    laid = laid.select("fp", "block").join(classes.select("fp", "dim", "raw", "copies"), "fp")
 
     def gather(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         dim = key[0].as_py()
         fps, raws = (b"".join(group.column(c).to_pylist()) for c in ("fp", "raw"))
         copies = group.column("copies").to_numpy().astype(np.int64).tobytes()
         place = grid.place(dim, units(np.frombuffer(raws, np.float64).reshape(-1, dim)))
-        return pa.table({"block": [f"{dim}.{key[1].as_py()}.{key[2].as_py()}"], "dim": pa.array([dim], pa.int32()), "low": [place.min(axis=0).tolist()], "high": [place.max(axis=0).tolist()], "fps": pa.array([fps], pa.large_binary()), "raws": pa.array([raws], pa.large_binary()), "copies": pa.array([copies], pa.large_binary())}).cast(block_schema)
+        return pa.table({"block": [key[1].as_py()], "dim": pa.array([dim], pa.int32()), "low": [place.min(axis=0).tolist()], "high": [place.max(axis=0).tolist()], "fps": pa.array([fps], pa.large_binary()), "raws": pa.array([raws], pa.large_binary()), "copies": pa.array([copies], pa.large_binary())}).cast(block_schema)
 
     block_schema = pa.schema([("block", pa.string()), ("dim", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("fps", pa.binary()), ("raws", pa.binary()), ("copies", pa.binary())])
-    blocks = laid.groupBy("dim", "block", "part").applyInArrow(gather, "block string, dim int, low array<double>, high array<double>, fps binary, raws binary, copies binary")
+    blocks = laid.groupBy("dim", "block").applyInArrow(gather, "block string, dim int, low array<double>, high array<double>, fps binary, raws binary, copies binary")
     blocks = cut_lineage(blocks)
 
     # Blocks meet in the cells of the first axis that they reach; what is then further apart than epsilon is dropped.

@@ -39,7 +39,8 @@ def clusters(n, dim, seed):
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_brute_force(spark, small, monkeypatch):
     if small:  # many blocks, deep recursion
-        monkeypatch.setattr(vectordup, "BLOCK", 40)
+        monkeypatch.setattr(vectordup, "BLOCK_BYTES", 40 * 8 * 8)
+        monkeypatch.setattr(vectordup, "MOST_CUTS", 3)
         monkeypatch.setattr(vectordup, "LEAF", 7)
         monkeypatch.setattr(vectordup, "SAMPLE", 100)
     rows = clusters(400, 8, 3)
@@ -97,6 +98,31 @@ def test_table(spark):
     assert sorted(map(tuple, vectordup.near_vectors(df).collect()), key=str) == brute(rows)
 
 
+def test_wide_vectors(spark, monkeypatch):
+    """Blocks follow bytes, so wide vectors make more of them; fewer vectors than dimensions still have axes."""
+    monkeypatch.setattr(vectordup, "BLOCK_BYTES", 32 * 8 * 300)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(5, 300))
+    rows = [(k, (base[k % 5] + rng.normal(size=300) * rng.choice([0.1, 0.3, 0.35])).tolist()) for k in range(200)]
+    assert sorted(map(tuple, vectordup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str) == brute(rows)
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    """Every block is within bounds, and blocks are runs of the grid order, however many levels that takes."""
+    monkeypatch.setattr(vectordup, "BLOCK_BYTES", 40 * 8 * 4)
+    monkeypatch.setattr(vectordup, "MOST_CUTS", 4)
+    rng = np.random.default_rng(1)
+    rows = [(rng.bytes(16), 4, [int(c) for c in rng.integers(0, 3, 2)]) for _ in range(3000)]
+    laid = vectordup.in_blocks(spark.createDataFrame(rows, "fp binary, dim int, cells array<long>")).collect()
+    assert len(laid) == 3000
+    blocks = {}
+    for r in sorted(laid, key=lambda r: (r.cells, bytes(r.fp))):
+        blocks.setdefault(r.block, []).append((r.cells, bytes(r.fp)))
+    assert max(map(len, blocks.values())) <= 80
+    ordered = [k for own in blocks.values() for k in own]
+    assert ordered == sorted(ordered)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.1]), (9, [-1.0, 0.0]), (None, [1.0, 0.05]), (7, [1.0, 0.0]), (10, [1.0]), (11, [3.0]), (12, [1e300, 1e290]), (13, [1e-300, 0.0]), (None, [0.0, 1.0, 0.0]), (14, [-0.0, 1.0]), (15, [0.0, 1.0])]
