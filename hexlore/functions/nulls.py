@@ -16,6 +16,23 @@ def nan_to_null(x: str | Column) -> Column:
     return F.when(~F.isnan(col(x)), col(x))
 
 
+def known(df: DataFrame, *columns: str) -> dict[str, Column]:
+    """The columns by name, with NaN read as null where a column can hold it."""
+    floating = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+    return {c: nan_to_null(c) if c in floating else F.col(c) for c in columns}
+
+
+def complete(df: DataFrame, columns: list[str]) -> Column:
+    """Whether all of the columns have a value (NaN is none)."""
+    return reduce(lambda a, b: a & b, [c.isNotNull() for c in known(df, *columns).values()], F.lit(True))
+
+
+def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
+    """n_complete, n_rows, pct_complete (one decimal, halves to even) of a table, as one row."""
+    n, rows = F.count_if(complete(df, columns)), F.count(F.lit(1))
+    return df.agg(n.alias("n_complete"), rows.alias("n_rows"), F.bround(F.try_divide(n * 100.0, rows), 1).alias("pct_complete"))
+
+
 def safe_div(a: str | Column, b: str | Column) -> Column:
     """a / b; null if either is null or b is 0."""
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
@@ -73,10 +90,10 @@ def array_mean(a: Column) -> Column:
 
 
 def array_sd(a: Column) -> Column:
-    """Sample standard deviation, null for fewer than two values."""
-    mean = array_mean(a)
-    squares = F.aggregate(a, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda acc, v: F.struct((acc["s"] + v).alias("s"), (acc["q"] + v * v).alias("q")), lambda acc: acc["q"])
-    return F.when(F.size(a) > 1, F.sqrt(F.greatest(F.lit(0.0), squares - F.size(a) * mean * mean) / (F.size(a) - 1)))
+    """Sample standard deviation from squared deviations, null for fewer than two values."""
+    # An array of one element binds the mean once for all values.
+    squares = F.get(F.transform(F.array(array_mean(a)), lambda m: F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - m) * (v - m))), F.lit(0))
+    return F.when(F.size(a) > 1, F.sqrt(squares / (F.size(a) - 1)))
 
 
 def rate_of_change(a: Column, time_diff: float = 1.0) -> Column:
@@ -90,43 +107,96 @@ def acceleration(a: Column) -> Column:
     return F.when(F.size(a) >= 3, array_mean(second))
 
 
-def volatility(a: Column, least: int = 2) -> Column:
-    """Standard deviation over mean; null for too few values or a mean that is not above zero."""
-    return F.when((F.size(a) >= least) & (array_mean(a) > 0), F.try_divide(array_sd(a), array_mean(a)))
+def volatility(a: Column, least: int = 2, positive: bool = False) -> Column:
+    """Standard deviation over mean; null for too few values, a mean of zero, and with positive for one below zero."""
+    mean = array_mean(a)
+    return F.when((F.size(a) >= least) & ((mean > 0) if positive else (mean != 0)), F.try_divide(array_sd(a), mean))
 
 
 def with_minmax100(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Adds columns scaled to 0-100 over the whole table: one aggregate row, broadcast, no window without a key."""
-    ends = [f(F.col(c)).alias(f"{f.__name__}_{new}") for new, c in columns.items() for f in (F.min, F.max)]
+    """Adds columns scaled to 0-100 over the whole table: one aggregate row, broadcast, no window without a key.
+
+    NaN counts as missing: it moves no end of the scale and its own scaled value is null.
+    """
+    own = known(df, *columns.values())
+    ends = [f(own[c]).alias(f"{f.__name__}_{new}") for new, c in columns.items() for f in (F.min, F.max)]
     one = F.broadcast(df.agg(*ends))
-    scaled = {new: pct(F.col(c) - F.col(f"min_{new}"), F.col(f"max_{new}") - F.col(f"min_{new}")) for new, c in columns.items()}
+    scaled = {new: pct(own[c] - F.col(f"min_{new}"), F.col(f"max_{new}") - F.col(f"min_{new}")) for new, c in columns.items()}
     return df.join(one).withColumns(scaled).drop(*[f"{e}_{new}" for new in columns for e in ("min", "max")])
 
 
+def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean (m_) and the sample standard deviation (s_) of each column, NaN left out."""
+    return df.agg(*[f(v).alias(f"{n}_{c}") for c, v in known(df, *columns).items() for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+
+
+def scaled_by(df: DataFrame, stats: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds columns centred and divided as the stats (of any table) say; a constant column gives null."""
+    own = known(df, *columns.values())
+    out = df.join(F.broadcast(stats)).withColumns({new: safe_div(own[c] - F.col(f"m_{c}"), F.col(f"s_{c}")) for new, c in columns.items()})
+    return out.drop(*stats.columns)
+
+
 def with_zscores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Adds columns centred and divided by the sample standard deviation; a constant column gives null."""
-    stats = [f(F.col(c)).alias(f"{n}_{new}") for new, c in columns.items() for n, f in (("m", F.avg), ("s", F.stddev_samp))]
-    one = F.broadcast(df.agg(*stats))
-    return df.join(one).withColumns({new: safe_div(F.col(c) - F.col(f"m_{new}"), F.col(f"s_{new}")) for new, c in columns.items()}).drop(*[f"{e}_{new}" for new in columns for e in "ms"])
+    """Adds columns centred and divided by the sample standard deviation; a constant column and NaN give null."""
+    return scaled_by(df, column_stats(df, list(dict.fromkeys(columns.values()))), columns)
 
 
 def with_ecdf(df: DataFrame, columns: dict[str, str], key: str) -> DataFrame:
     """Adds the share of non-null values not above a row's own, exactly, from counts of distinct values.
 
-    Counts are summed per range of sorted values first, so no window orders all rows in one task.
+    All columns go through one pass as (feature, value) rows, missing ones left out, and come back by the key (one row
+    each). Counts are summed per range of sorted values first, so no window orders all rows in one task.
     """
-    for new, c in columns.items():
-        seen = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        out = running_share(seen).select(F.col("v").alias(f"v_{new}"), F.col("share").alias(new))
-        df = df.join(out, df[c] == F.col(f"v_{new}"), "left").drop(f"v_{new}")
-    return df
+    own = known(df, *columns.values())
+    values = F.array(*[F.struct(F.lit(new).alias("feature"), own[c].cast("double").alias("v")) for new, c in columns.items()])
+    flat = df.select(F.col(key).alias("key_"), F.explode(F.filter(values, lambda x: x["v"].isNotNull())).alias("x")).select("key_", "x.feature", "x.v")
+    shares = running_share(flat.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n")))
+    found = flat.join(shares, ["feature", "v"]).groupBy("key_").agg(*[F.max(F.when(F.col("feature") == new, F.col("share"))).alias(new) for new in columns])
+    return df.join(found, F.col(key) == F.col("key_"), "left").drop("key_")
+
+
+def in_parts(seen: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """seen (by, v, n: distinct values of groups with counts) with part, a range of values, and before, the rows in lower ranges.
+
+    Ranges are cut at approximate quantiles of each group; totals of ranges are few, so no task orders a whole group.
+    """
+    cuts = seen.groupBy(*by).agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 10_000).alias("cuts"), F.sum("n").alias("all"))
+    dealt = seen.join(cuts, by).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    totals = dealt.groupBy(*by, "part").agg(F.sum("n").alias("own"))
+    before = totals.select(*by, "part", (F.sum("own").over(Window.partitionBy(*by).orderBy("part")) - F.col("own")).alias("before"))
+    return dealt.join(before, [*by, "part"])
 
 
 def running_share(seen: DataFrame, parts: int = 64) -> DataFrame:
-    """v, share from (v, n): the running share of n in order of v, by ranges whose totals are few."""
-    cuts = seen.agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 10_000).alias("cuts"), F.sum("n").alias("all"))
-    dealt = seen.join(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
-    totals = dealt.groupBy("part").agg(F.sum("n").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = dealt.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
-    return within.join(F.broadcast(before), "part").select("v", ((F.col("before") + F.col("upto")) / F.col("all")).alias("share"))
+    """feature, v, share from (feature, v, n): the running share of n in order of v."""
+    upto = F.sum("n").over(Window.partitionBy("feature", "part").orderBy("v"))
+    return in_parts(seen, ["feature"], parts).select("feature", "v", ((F.col("before") + upto) / F.col("all")).alias("share"))
+
+
+def quantiles(df: DataFrame, by: list[str], columns: list[str], at: dict[str, float], parts: int = 64) -> DataFrame:
+    """One row per group (in all, without by): <name>_<column> for each quantile, exact, interpolated, missing values left out.
+
+    From counts of distinct values in ranges; a group that holds most rows is in no task as a whole.
+    """
+    own = known(df, *columns)
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), own[c].cast("double").alias("v")) for c in columns])
+    flat = df.select(*by, F.explode(F.filter(values, lambda x: x["v"].isNotNull())).alias("x")).select(*by, "x.feature", "x.v")
+    # A null group would be lost in joins by equality.
+    named = [F.struct(*[F.col(c) for c in by]).alias("by_")] if by else [F.lit(0).alias("by_")]
+    seen = flat.select(*named, "feature", "v").groupBy(F.to_json(F.struct("by_")).alias("g"), "by_", "feature", "v").agg(F.count(F.lit(1)).alias("n")).drop("by_")
+    placed = in_parts(seen, ["g", "feature"], parts).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("g", "feature", "part").orderBy("v")))
+    low, high = (lambda q: F.floor((F.col("all") - 1) * q)), (lambda q: F.ceil((F.col("all") - 1) * q))
+    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+
+    def value(c: str, q: float) -> Column:
+        mine = F.col("feature") == c
+        a, b = (F.max(F.when(mine & holds(f(q)), F.col("v"))) for f in (low, high))
+        rank = (F.max(F.when(mine, F.col("all"))) - 1) * q
+        return a + (b - a) * (rank - F.floor(rank))
+
+    told = placed.groupBy("g").agg(*[value(c, q).alias(f"{name}_{c}") for name, q in at.items() for c in columns])
+    if not by:
+        return told.drop("g")
+    groups = df.select(*by).distinct().withColumn("g", F.to_json(F.struct(F.struct(*[F.col(c) for c in by]).alias("by_"))))
+    return groups.join(told, "g", "left").drop("g")

@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Exact pairwise operations compare all rows with all rows, in blocks of this many.
-BLOCK = 1024
+from hexlore.functions.nulls import complete, quantiles
+from hexlore.operators.shape import drop_sparse
+
+#: Exact pairwise operations compare all rows with all rows, in blocks of vectors of so many bytes.
+BLOCK_BYTES = 2_000_000
 #: The tree of clusters needs all distances at once; more rows than this are refused.
 MOST_TREE_ROWS = 8000
+#: The indicators that cells are clustered by.
+INDICATORS = [
+    "rent_change_total", "rent_change_recent", "rent_acceleration", "neighborhood_rent_pressure",
+    "demo_density", "demo_recent", "demo_trend",
+    "vulnerability_index", "rent_burden_proxy", "median_income", "poverty_rate", "pct_renter",
+    "rent_change_total_lag", "demo_density_lag", "vulnerability_index_lag",
+]
+
+
+def inputs(cells: DataFrame, key: str, indicators: list[str] = INDICATORS, limit: float = 50.0) -> tuple[DataFrame, list[str]]:
+    """key and indicators of the cells with enough data that miss none of those kept, and their names.
+
+    An indicator of which limit percent or more are missing is left out.
+    """
+    rows = cells.where("sufficient_data").select(key, *indicators)
+    rows, left = drop_sparse(rows, indicators, limit)
+    return rows.where(complete(rows, left)), left
 
 
 def standardise(df: DataFrame, vector: str, out: str):
@@ -32,9 +55,10 @@ class Fit:
     model: object
 
 
-def best_kmeans(df: DataFrame, features: str, k: int, restarts: int = 25, iterations: int = 100, seed: int = 42) -> Fit:
-    """The k-means of lowest cost among restarts from different seeds."""
-    fits = (KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol=features, predictionCol="cluster").fit(df) for i in range(restarts))
+def best_kmeans(df: DataFrame, features: str, k: int, restarts: int = 25, iterations: int = 100, seed: int = 42, jobs: int = 8) -> Fit:
+    """The k-means of lowest cost among restarts from different seeds, jobs of them at a time; the first of equals."""
+    with ThreadPoolExecutor(jobs) as pool:
+        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol=features, predictionCol="cluster").fit(df), range(restarts)))
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return Fit(k, best.summary.trainingCost, best)
 
@@ -54,24 +78,38 @@ def choose_k(silhouettes: dict[int, float], least: int = 4) -> int:
     return max(max(sorted(silhouettes), key=lambda k: silhouettes[k]), least)
 
 
-def block_distances(df: DataFrame, key: str, vector: str, summarise, schema: str) -> DataFrame:
-    """Runs summarise(keys, x, other_keys, other_x) for every pair of blocks of rows and gathers what it returns.
+def over_blocks(df: DataFrame, key: str, vector: str, summarise, schema: str, **extra: Column) -> DataFrame:
+    """Runs summarise(a, b) for every pair of blocks of rows (a and b the same within one) and gathers what it returns.
 
-    Blocks hold BLOCK rows on average, by hash of the key; a task holds two blocks and their distances. Rows compare
-    with all rows because the operation asks for all distances; only summaries of a block leave a task.
+    Blocks are of rows by hash of the key and hold BLOCK_BYTES of vectors on average; each is one packed row that goes
+    to the tasks of its pairs, two at a time. Rows compare with all rows because the operation asks for all distances;
+    only summaries of a pair of blocks leave a task. a and b are dictionaries of arrays: k, v (a matrix) and extra.
     """
-    n = max(1, -(-df.count() // BLOCK))
-    dealt = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    # Names of its own, as the two sides must not share columns.
-    right = dealt.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("own"), F.col("own").alias("other"))
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), *[c.alias(name) for name, c in extra.items()])
+    total, wide = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n = max(1, math.ceil(total * 8 * (wide or 1) / BLOCK_BYTES))
+    packed = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).cast("int").alias("own")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    sides = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sides = sides.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rows")
+
+    names = ["k", *extra]
 
-    def run(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        return summarise(a.k.to_numpy(), np.stack(a.v.to_numpy()), b.k2.to_numpy(), np.stack(b.v2.to_numpy()))
+    def unpacked(rows: pa.Scalar) -> dict[str, np.ndarray]:
+        values = rows.values
+        out = {c: values.field(c).to_numpy(zero_copy_only=False) for c in names}
+        return out | {"v": values.field("v").flatten().to_numpy().reshape(len(out["k"]), -1)}
 
-    return left.groupBy("own", "other").cogroup(right.groupBy("own", "other")).applyInPandas(run, schema)
+    def run(pair: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in pair)
+        sides = {o.as_py(): unpacked(r) for o, r in zip(group.column("own"), group.column("rows"), strict=True)}
+        found = summarise(sides[i], sides[j], i == j) if i in sides and j in sides else []
+        return pa.table(dict(zip(arrow.names, found, strict=True))).cast(arrow) if found else arrow.empty_table()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return sides.groupBy("i", "j").applyInArrow(run, schema)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -79,76 +117,110 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x])
 
 
+def both_ways(d: np.ndarray, a: dict, b: dict, same: bool) -> list[tuple[np.ndarray, dict, dict]]:
+    """The distances as seen from a, and from b if that is another block."""
+    return [(d, a, b)] if same else [(d, a, b), (d.T, b, a)]
+
+
 def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """key, label, silhouette (Euclidean, exact); 0 for members alone in their cluster or with no other cluster."""
     names = df.select(F.col(key).alias("k"), F.col(label).cast("string").alias("l"))
-    tagged = df.select(key, F.concat(F.col(vector).cast("array<double>"), F.array(F.dense_rank().over(_window(label)).cast("double"))).alias("v"))
 
-    def sums(k, x, ok, y):
-        d = distances(x[:, :-1], y[:, :-1])
-        labels = y[:, -1].astype(int)
-        kinds = np.unique(labels)
-        total = np.stack([d[:, labels == c].sum(axis=1) for c in kinds], axis=1)
-        return pd.DataFrame({"k": np.repeat(k, len(kinds)), "own": np.repeat(x[:, -1].astype(int), len(kinds)), "c": np.tile(kinds, len(k)), "total": total.ravel(), "n": np.tile([(labels == c).sum() for c in kinds], len(k))})
+    def sums(a, b, same):
+        out = []
+        for d, x, y in both_ways(distances(a["v"], b["v"]), a, b, same):
+            kinds, at = np.unique(y["l"].astype(str), return_inverse=True)
+            total = np.stack([d[:, at == c].sum(axis=1) for c in range(len(kinds))], axis=1)
+            out.append((np.repeat(x["k"], len(kinds)), np.repeat(x["l"].astype(str), len(kinds)), np.tile(kinds, len(x["k"])), total.ravel(), np.tile(np.bincount(at), len(x["k"]))))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
 
-    parts = block_distances(tagged, key, "v", sums, "k long, own int, c int, total double, n long").groupBy("k", "own", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    tagged = F.coalesce(F.col(label).cast("string"), F.lit("NA"))
+    parts = over_blocks(df, key, vector, sums, "k long, own string, c string, total double, n long", l=tagged).groupBy("k", "own", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     a = F.max(F.when((F.col("c") == F.col("own")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
     b = F.min(F.when(F.col("c") != F.col("own"), F.col("total") / F.col("n")))
     both = parts.groupBy("k").agg(a.alias("a"), b.alias("b")).join(names, "k")
     return both.select(F.col("k").alias(key), F.col("l").alias(label), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
-def _window(label: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(label)
-
-
 def knn_distance(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """key, knn_dist: the distance to the k-th nearest other row."""
-    def near(ks, x, ok, y):
-        d = distances(x, y)
-        d[ks[:, None] == ok[None, :]] = np.inf
-        m = min(k, d.shape[1])
-        best = np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)
-        return pd.DataFrame({"k": ks, "best": list(best)})
-
-    parts = block_distances(df, key, vector, near, "k long, best array<double>")
-    merged = parts.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
+    def near(a, b, same):
+        out = []
+        for d, x, _ in both_ways(distances(a["v"], b["v"]), a, b, same):
+            if same:
+                np.fill_diagonal(d, np.inf)
+            m = min(k, d.shape[1])
+            out += zip(x["k"].tolist(), np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1).tolist(), strict=True)
+        return [list(c) for c in zip(*out, strict=True)]
+
+    parts = over_blocks(df, key, vector, near, "k long, best array<double>")
+    merged = parts.groupBy("k").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return merged.select(F.col("k").alias(key), F.get("best", F.lit(k - 1)).alias("knn_dist"))
 
 
-def eps_neighbours(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
-    """src, dst of all pairs at most eps apart, each row with itself."""
-    def pairs(ks, x, ok, y):
-        i, j = np.nonzero(distances(x, y) <= eps)
-        return pd.DataFrame({"src": ks[i], "dst": ok[j]})
-
-    return block_distances(df, key, vector, pairs, "src long, dst long")
-
-
 def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int = 5, rounds: int = 50) -> DataFrame:
     """key, is_core, cluster: 0 is noise, clusters are numbered from 1 by their least core key.
 
     Core rows have least rows within eps, themselves included. Clusters are the components of core rows within eps of
     each other, found by contraction (an error if they don't settle in that many rounds, each of which leaves at most
-    half the roots that have links); a border row joins its lowest-numbered one.
+    half the roots that have links); a border row joins its lowest-numbered one. Rows are compared twice, for counts
+    and for links: pairs of blocks give a spanning forest of their core rows, and core neighbours of rows that are none
+    (fewer than least each), never all pairs.
     """
     from pyspark.sql import Window
 
-    near = eps_neighbours(df, key, vector, eps).persist()
-    cores = near.groupBy(F.col("src").alias("k")).agg((F.count(F.lit(1)) >= least).alias("is_core"))
+    def counted(a, b, same):
+        hit = distances(a["v"], b["v"]) <= eps
+        seen = both_ways(hit, a, b, same)
+        return [np.concatenate([x["k"] for _, x, _ in seen]), np.concatenate([h.sum(axis=1) for h, _, _ in seen])]
+
+    near = over_blocks(df, key, vector, counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    cores = _settled(near.select("k", (F.col("n") >= least).alias("is_core")))
     core = cores.where("is_core").select("k")
-    links = near.join(core.withColumnRenamed("k", "src"), "src").join(core.withColumnRenamed("k", "dst"), "dst").persist()
-    label = _components(core, links, rounds)
+
+    def linked(a, b, same):
+        hit = distances(a["v"], b["v"]) <= eps
+        if same:
+            np.fill_diagonal(hit, False)
+        top = np.arange(len(hit) + (0 if same else len(b["k"])))
+        r, c = np.nonzero(hit & a["core"][:, None] & b["core"][None, :])
+        keep = r < c if same else np.ones(len(r), bool)
+        x, y = r[keep], c[keep] + (0 if same else len(hit))
+        while len(x):
+            low, high = np.minimum(top[x], top[y]), np.maximum(top[x], top[y])
+            apart = low != high
+            x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+            np.minimum.at(top, high, low)
+            while (top != (up := top[top])).any():
+                top = up
+        keys = a["k"] if same else np.concatenate([a["k"], b["k"]])
+        moved = np.flatnonzero(top != np.arange(len(top)))
+        out = [(keys[moved], keys[top[moved]], np.ones(len(moved), bool))]
+        for h, p, q in both_ways(hit, a, b, same):
+            i, j = np.nonzero(h & ~p["core"][:, None] & q["core"][None, :])
+            out.append((p["k"][i], q["k"][j], np.zeros(len(i), bool)))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+    flagged = df.join(cores.withColumnRenamed("k", key), key)
+    found = _settled(over_blocks(flagged, key, vector, linked, "src long, dst long, core boolean", core=F.col("is_core")))
+    links = found.where("core").select("src", "dst")
+    label = _components(core, links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rounds)
+    # One row per cluster is numbered.
     ids = label.select("root").distinct().withColumn("id", F.dense_rank().over(Window.orderBy("root")))
     named = label.join(ids, "root").select(F.col("k").alias("dst"), "id")
-    border = near.join(named, "dst").groupBy(F.col("src").alias("k")).agg(F.min("id").alias("border"))
+    border = found.where("not core").join(named, "dst").groupBy(F.col("src").alias("k")).agg(F.min("id").alias("border"))
     own = named.withColumnRenamed("dst", "k").withColumnRenamed("id", "own")
     out = cores.join(own, "k", "left").join(border, "k", "left")
     return out.select(F.col("k").alias(key), "is_core", F.coalesce("own", "border", F.lit(0)).cast("int").alias("cluster"))
 
 
+def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """cluster, n of all clusters, with the number of noise rows (cluster 0) and the largest cluster number beside."""
+    n = df.groupBy(F.col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    told = n.agg(F.coalesce(F.sum(F.when(F.col("cluster") == 0, F.col("n"))), F.lit(0)).alias("n_noise"), F.max("cluster").alias("n_clusters"))
+    return n.join(F.broadcast(told))
+
+
 def _components(core: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     """k, root: each core with the least core that links (src, dst, both ways) reach.
 
@@ -262,7 +334,7 @@ def level(share: Column) -> Column:
 
 def labels(df: DataFrame, label: str, themes: dict[str, str]) -> DataFrame:
     """label, label_text: for each theme (name: column) where the cluster's median stands among all values."""
-    medians = df.groupBy(label).agg(*[F.median(c).alias(f"med_{c}") for c in themes.values()])
+    medians = quantiles(df, [label], list(themes.values()), {"med": 0.5})
     values = df.select(*themes.values()).join(F.broadcast(medians))
     shares = values.groupBy(label).agg(*[F.avg(F.when(F.col(c).isNotNull(), (F.col(c) <= F.col(f"med_{c}")).cast("double"))).alias(c) for c in themes.values()])
     return shares.select(label, F.concat_ws(" + ", *[F.concat(level(F.col(c)), F.lit(f" {name}")) for name, c in themes.items()]).alias("label_text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexlore.functions.nulls import change, if_else, pct, row_values, safe_div, strict_mean, volatility, with_minmax100
+from hexlore.operators.geo import knn_lag
 
 
 def shares(df: DataFrame, parts: dict[str, tuple[list[str], str]]) -> DataFrame:
@@ -25,7 +26,7 @@ def rent_features(df: DataFrame, first: str, mid: str, later: str, recent: str,
         "rent_change_total": change(last, first),
         "rent_change_recent": change(last, recent),
         "rent_acceleration": F.when(known & (early > 0), pct(late - early, early)),
-        "rent_volatility": volatility(row_values(*values), 3),
+        "rent_volatility": volatility(row_values(*values), 3, positive=True),
         "rent_current": F.col(last),
         "rent_level_ratio": F.when(F.col(median) > 0, safe_div(last, median)),
     })
@@ -43,10 +44,23 @@ def demo_features(df: DataFrame, total: str, base: str, one: str, two: str, area
 
 
 def vulnerability(df: DataFrame, income: str, renters: str, poverty: str, college: str, rent: str) -> DataFrame:
-    """Burden, four scaled components and their plain mean (null if any is)."""
+    """Burden, four scaled components and their plain mean (null if any is).
+
+    Where the table has pct_poc, pct_poc_vulnerable repeats it under the name by which it is read as a component.
+    """
     signed = df.withColumns({"neg_income_": -F.col(income), "neg_college_": -F.col(college), "rent_burden_proxy": F.when(F.col(income) > 0, safe_div(F.col(rent) * 12, income))})
     out = with_minmax100(signed, {"vuln_low_income": "neg_income_", "vuln_high_rent": renters, "vuln_poverty": poverty, "vuln_low_edu": "neg_college_"})
-    return out.withColumn("vulnerability_index", strict_mean("vuln_low_income", "vuln_high_rent", "vuln_poverty", "vuln_low_edu")).drop("neg_income_", "neg_college_")
+    out = out.withColumn("vulnerability_index", strict_mean("vuln_low_income", "vuln_high_rent", "vuln_poverty", "vuln_low_edu")).drop("neg_income_", "neg_college_")
+    return out.withColumn("pct_poc_vulnerable", F.col("pct_poc")) if "pct_poc" in df.columns else out
+
+
+#: The columns whose neighbourhood means are features.
+LAGGED = ["rent_change_total", "demo_density", "median_income", "vulnerability_index"]
+
+
+def neighbourhood(df: DataFrame, key: str, columns: list[str] = LAGGED, k: int = 6, policy: str = "mean") -> DataFrame:
+    """Adds <column>_lag of cells with centres (x, y): means over the k nearest others, one search for all columns."""
+    return knn_lag(df, key, columns, k, policy=policy)
 
 
 def interactions(df: DataFrame) -> DataFrame:

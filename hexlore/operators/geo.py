@@ -1,6 +1,7 @@
 """A planar hexagonal lattice and polygon operations, as expressions and equi-joins on cells.
 
-The lattice is pointy-topped with axial coordinates (q, r); it is no H3. Coordinates are planar (project first).
+The lattice is pointy-topped with axial coordinates (q, r); it is no H3. Coordinates are planar: longitudes and
+latitudes go through project() first, whose local scale suits a city.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 #: The six neighbours of a cell in axial coordinates.
 OFFSETS = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
 SQRT3 = math.sqrt(3.0)
+#: Fixed value: the mean radius of the earth in metres.
+EARTH = 6_371_008.8
+RING = "array<struct<x:double,y:double>>"
 
 
 def pseudo_xy(key: str | Column) -> tuple[Column, Column]:
@@ -22,6 +26,27 @@ def pseudo_xy(key: str | Column) -> tuple[Column, Column]:
     return (k * 7919) % 10007 / 10007.0, (k * 104729) % 10007 / 10007.0
 
 
+def project(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
+    """Metres east and north of an origin, by the local scale cos(lat0): good for a city, not for a continent."""
+    degree = EARTH * math.pi / 180
+    return (lon - lon0) * (degree * math.cos(math.radians(lat0))), (lat - lat0) * degree
+
+
+def unproject(x: Column, y: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in metres from an origin."""
+    degree = EARTH * math.pi / 180
+    return x / (degree * math.cos(math.radians(lat0))) + lon0, y / degree + lat0
+
+
+def project_ring(points: Column, lon0: float, lat0: float) -> Column:
+    """A ring of longitudes (x) and latitudes (y) in metres."""
+    def place(p: Column) -> Column:
+        x, y = project(p["x"], p["y"], lon0, lat0)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(points, place)
+
+
 def cell_of(x: Column, y: Column, edge: float) -> tuple[Column, Column]:
     """The axial cell of a point: cube rounding, the coordinate with the largest rounding error is mended."""
     fq, fr = (SQRT3 / 3 * x - y / 3) / edge, (2.0 / 3 * y) / edge
@@ -59,6 +84,25 @@ def ring_area(points: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2
 
 
+def ring_centroid(points: Column) -> tuple[Column, Column]:
+    """The centroid (x, y) of a ring by the shoelace formula, relative to its first point; null for a ring without area."""
+    def sums(points: Column) -> Column:
+        at = lambda i: F.get(points, i % F.size(points))
+        from_first = lambda p, a: p[a] - F.get(points, F.lit(0))[a]
+
+        def step(acc: Column, i: Column) -> Column:
+            p, o = at(i), at(i + 1)
+            px, py, ox, oy = from_first(p, "x"), from_first(p, "y"), from_first(o, "x"), from_first(o, "y")
+            cross = px * oy - ox * py
+            return F.struct((acc["a"] + cross).alias("a"), (acc["x"] + (px + ox) * cross).alias("x"), (acc["y"] + (py + oy) * cross).alias("y"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(points) - 1), F.struct(*[F.lit(0.0).alias(c) for c in "axy"]), step)
+
+    told = sums(points)
+    first = F.get(points, F.lit(0))
+    return tuple(first[c] + F.try_divide(told[c], 3 * told["a"]) for c in "xy")
+
+
 def in_ring(x: Column, y: Column, points: Column) -> Column:
     """Whether a point is inside a ring, by ray casting."""
     def crosses(p: Column, i: Column) -> Column:
@@ -98,10 +142,7 @@ def lattice_lag(cells: DataFrame, columns: list[str], policy: str = "mean") -> D
     values = cells.select(F.col("q").alias("nq"), F.col("r").alias("nr"), *columns)
     lags = neighbour_edges(cells).join(values, ["nq", "nr"]).groupBy("q", "r").agg(*[F.avg(c).alias(f"{c}_lag") for c in columns])
     out = cells.join(lags, ["q", "r"], "left")
-    if policy == "strict":
-        gaps = F.broadcast(cells.agg(*[F.count_if(F.col(c).isNull()).alias(f"gaps_{c}") for c in columns]))
-        out = out.join(gaps).withColumns({f"{c}_lag": F.when(F.col(f"gaps_{c}") == 0, F.col(f"{c}_lag")) for c in columns}).drop(*[f"gaps_{c}" for c in columns])
-    return out
+    return without_gaps(out, cells, columns) if policy == "strict" else out
 
 
 def nearest(points: DataFrame, key: str, k: int, bucket: float | None = None) -> DataFrame:
@@ -134,12 +175,22 @@ def nearest(points: DataFrame, key: str, k: int, bucket: float | None = None) ->
         reach *= 2
 
 
-def knn_lag(points: DataFrame, key: str, columns: list[str], k: int = 6, bucket: float | None = None) -> DataFrame:
-    """Points with <column>_lag, the mean over their k nearest others."""
+def knn_lag(points: DataFrame, key: str, columns: list[str], k: int = 6, bucket: float | None = None, policy: str = "mean") -> DataFrame:
+    """Points with <column>_lag, the mean over their k nearest others.
+
+    policy "strict" makes a whole lag column null if any value of the column is missing.
+    """
     edges = nearest(points, key, k, bucket)
     values = points.select(F.col(key).alias("dst"), *columns)
     lags = edges.join(values, "dst").groupBy(F.col("src").alias(key)).agg(*[F.avg(c).alias(f"{c}_lag") for c in columns])
-    return points.join(lags, key, "left")
+    out = points.join(lags, key, "left")
+    return without_gaps(out, points, columns) if policy == "strict" else out
+
+
+def without_gaps(lagged: DataFrame, cells: DataFrame, columns: list[str]) -> DataFrame:
+    """lagged, whose <column>_lag is null throughout if cells miss any value of the column."""
+    gaps = F.broadcast(cells.agg(*[F.count_if(F.col(c).isNull()).alias(f"gaps_{c}") for c in columns]))
+    return lagged.join(gaps).withColumns({f"{c}_lag": F.when(F.col(f"gaps_{c}") == 0, F.col(f"{c}_lag")) for c in columns}).drop(*[f"gaps_{c}" for c in columns])
 
 
 def rect_overlap(a: DataFrame, b: DataFrame, bucket: float) -> DataFrame:
@@ -159,6 +210,44 @@ def rect_overlap(a: DataFrame, b: DataFrame, bucket: float) -> DataFrame:
     return pairs.where((w > 0) & (h > 0) & once).withColumn("shared", w * h).drop("bx", "by")
 
 
+def touched(df: DataFrame, points: str, bucket: float) -> DataFrame:
+    """df, a row for each square bucket (bx, by) that the box of the ring in column points touches."""
+    def span(axis: str) -> Column:
+        values = F.transform(points, _axis(axis))
+        return F.explode(F.sequence(F.floor(F.array_min(values) / bucket), F.floor(F.array_max(values) / bucket)))
+
+    return df.withColumn("bx", span("x")).withColumn("by", span("y"))
+
+
+def points_in_polygons(places: DataFrame, polygons: DataFrame, points: str, bucket: float) -> DataFrame:
+    """Left join of places (x, y) with the polygons whose ring (column points) they are in, the ring left out.
+
+    An equi-join on square buckets, then ray casting; a place in no polygon keeps one row without one, a place in
+    several has a row for each. Names of both sides must differ. Buckets should be of a polygon's size, as a polygon
+    goes to all buckets of its box.
+    """
+    dealt = places.withColumns({"bx": F.floor(F.col("x") / bucket), "by": F.floor(F.col("y") / bucket)})
+    shapes = touched(polygons, points, bucket).withColumnsRenamed({"bx": "bx_", "by": "by_"})
+    inside = (F.col("bx") == F.col("bx_")) & (F.col("by") == F.col("by_")) & in_ring(F.col("x"), F.col("y"), F.col(points))
+    return dealt.join(shapes, inside, "left").drop("bx", "by", "bx_", "by_", points)
+
+
+def polygon_overlay(subjects: DataFrame, windows: DataFrame, subject: str, window: str, bucket: float) -> DataFrame:
+    """One row per pair of a polygon (ring subject, of any shape) and a convex one (ring window) that share an area.
+
+    Columns of both sides (their names must differ) and shared, the area. Both sides go to the buckets that their boxes
+    touch; a pair is compared in one of the buckets that it shares, the lowest.
+    """
+    both = touched(subjects, subject, bucket).join(touched(windows, window, bucket), ["bx", "by"])
+    low = lambda c, a: F.array_min(F.transform(c, _axis(a)))
+    high = lambda c, a: F.array_max(F.transform(c, _axis(a)))
+    corner = {a: F.greatest(low(subject, a), low(window, a)) for a in "xy"}
+    meet = [corner[a] < F.least(high(subject, a), high(window, a)) for a in "xy"]
+    once = (F.floor(corner["x"] / bucket) == F.col("bx")) & (F.floor(corner["y"] / bucket) == F.col("by"))
+    pairs = both.where(meet[0] & meet[1] & once).drop("bx", "by")
+    return with_clip_area(pairs, subject, window, "shared").where("shared > 0")
+
+
 def clip_area(subject: list[tuple[float, float]], window: list[tuple[float, float]]) -> float:
     """Area of a polygon inside a convex one: the polygon is cut along each edge of the window in turn."""
     turn = sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(window, window[1:] + window[:1], strict=True))

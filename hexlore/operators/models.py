@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -10,19 +12,47 @@ from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexlore.functions.nulls import safe_div, with_minmax100
+from hexlore.functions.nulls import complete, safe_div, with_minmax100
 
-#: The full grids; smaller ones are for quick runs.
+#: The full grids; smaller ones are for quick runs.
 GRIDS = {
     "elastic": {"alpha": [0.0, 0.5, 1.0], "lambda": [float(v) for v in np.linspace(0.001, 1, 20)]},
     "forest": {"mtry": [3, 5, 7, 10]},
-    "boost": {"nrounds": [100, 200, 300], "max_depth": [3, 6, 9], "eta": [0.01, 0.1, 0.3], "gamma": [0, 1], "colsample_bytree": [0.6, 0.8], "min_child_weight": [1], "subsample": [0.7, 1.0]},
+    "boost": {"nrounds": [100, 200, 300], "max_depth": [3, 4, 6], "eta": [0.01, 0.05, 0.1], "gamma": [0, 0.1], "colsample_bytree": [0.6, 0.8], "min_child_weight": [1], "subsample": [0.7, 0.8]},
 }
+#: The predictors of a cell's cluster, and the clusters that count as high risk.
+PREDICTORS = [
+    "rent_change_recent", "rent_acceleration", "rent_volatility", "rent_level_ratio",
+    "demo_density", "demo_recent", "has_recent_demos",
+    "median_income", "pct_renter", "pct_college", "poverty_rate", "pct_poc", "rent_burden_proxy",
+    "rent_change_total_lag", "demo_density_lag", "median_income_lag",
+    "rent_vuln_interaction", "neighborhood_rent_pressure",
+]
+HIGH_RISK = (1, 2)
+
+
+def outcomes(df: DataFrame, cluster: str, n_clusters: int) -> DataFrame:
+    """Rows of enough data and a known cluster, with cluster_class (1 to n_clusters, else null) and high_risk_cluster."""
+    inside = F.col(cluster).between(1, n_clusters)
+    rows = df.where(F.col("sufficient_data") & F.col(cluster).isNotNull())
+    return rows.withColumns({"cluster_class": F.when(inside, F.col(cluster).cast("int")), "high_risk_cluster": F.col(cluster).isin(*HIGH_RISK).cast("int")})
+
+
+def model_rows(df: DataFrame, key: str, predictors: list[str] = PREDICTORS) -> DataFrame:
+    """key, outcomes and predictors of the rows that miss none of them."""
+    columns = ["cluster_class", "high_risk_cluster", *predictors]
+    return df.select(key, *columns).where(complete(df, columns))
+
+
+def assembled(df: DataFrame, predictors: list[str], out: str = "features") -> DataFrame:
+    """df with its predictors as one vector; missing ones are NaN, which trees send one way and the linear model must not see."""
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in predictors])
+    return df.withColumn(out, array_to_vector(values))
 
 
 def param_grid(spark, grid: dict[str, list]) -> DataFrame:
@@ -37,10 +67,18 @@ def shuffled(key: str, seed: int) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.7, seed: int = 42) -> DataFrame:
-    """df with in_train: the first ceil(share * n) rows of each class in a fixed random order."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(shuffled(key, seed), key))
-    return df.withColumn("in_train", place <= F.ceil(F.count(F.lit(1)).over(w) * share))
+    """df with in_train: the first ceil(share * n) rows of each class in a fixed random order.
+
+    The order is cut into intervals of the hash; sums over these give how many rows come before, and rows are put in
+    order inside their interval alone, so no class goes through one task.
+    """
+    hashed = df.withColumns({"hash_": shuffled(key, seed), "bin_": F.conv(F.substring(shuffled(key, seed), 1, 4), 16, 10).cast("int")})
+    counts = hashed.groupBy(F.col(label).alias("class_"), F.col("bin_").alias("at_")).agg(F.count(F.lit(1)).alias("n_"))
+    w = Window.partitionBy("class_")
+    before = counts.withColumns({"before_": F.sum("n_").over(w.orderBy("at_")) - F.col("n_"), "need_": F.ceil(F.sum("n_").over(w) * share)}).drop("n_")
+    place = F.row_number().over(Window.partitionBy(label, "bin_").orderBy("hash_", key))
+    rows = hashed.withColumn("place_", place).join(before, F.col(label).eqNullSafe(F.col("class_")) & (F.col("bin_") == F.col("at_")))
+    return rows.withColumn("in_train", F.col("before_") + F.col("place_") <= F.col("need_")).select(*df.columns, "in_train")
 
 
 def elastic_net(features: str = "features", label: str = "label", folds: int = 5, grid: dict | None = None, fold_col: str = "", seed: int = 42) -> CrossValidator:
@@ -90,6 +128,26 @@ class BoostedClasses:
         return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double")).select(*kept, "probability", "prediction")
 
 
+def tuned_boost(df: DataFrame, n_classes: int, *, features: str = "features", label: str = "label", grid: dict | None = None, folds: int = 5, fold_col: str = "", seed: int = 42, jobs: int = 4) -> tuple[BoostedClasses, list[tuple[dict, float]]]:
+    """The boosted classes of the best setting, refitted on all rows, and every setting with its mean accuracy over folds.
+
+    Folds are those of fold_col, else by a hash of the rows. Settings are fitted side by side, jobs at a time. The first
+    of equals is best.
+    """
+    g = grid or GRIDS["boost"]
+    names = {"nrounds": "nrounds", "max_depth": "max_depth", "eta": "eta", "gamma": "gamma", "colsample_bytree": "colsample", "min_child_weight": "min_child_weight", "subsample": "subsample"}
+    settings = [{names[k]: v for k, v in zip(g, row, strict=True)} for row in product(*g.values())]
+    fold = fold_col or "fold_"
+    dealt = df if fold_col else df.withColumn(fold, F.pmod(F.xxhash64(*[c for c in df.columns if c != features], F.lit(seed)), F.lit(folds)).cast("int"))
+    fit = lambda t, setting: BoostedClasses.fit(t, n_classes, features=features, label=label, seed=seed, **setting)
+    if len(settings) == 1:
+        return fit(df, settings[0]), [(settings[0], float("nan"))]
+    with ThreadPoolExecutor(jobs) as pool:
+        scores = list(pool.map(lambda s: cross_validate(dealt, lambda t: fit(t, s), label, fold), settings))
+    best = max(range(len(settings)), key=lambda k: scores[k])
+    return fit(df, settings[best]), list(zip(settings, scores, strict=True))
+
+
 def cross_validate(df: DataFrame, fit, label: str, fold: str) -> float:
     """The mean accuracy over folds of a column, a model being fitted anew without each."""
     scores = []
@@ -100,10 +158,11 @@ def cross_validate(df: DataFrame, fit, label: str, fold: str) -> float:
 
 
 def cluster_folds(df: DataFrame, features: str = "features", folds: int = 5, seed: int = 42) -> DataFrame:
-    """df with fold: groups of rows close in their features, by k-means."""
+    """df with fold: groups of rows close in their scaled features, by k-means."""
     from pyspark.ml.clustering import KMeans
 
-    return KMeans(k=folds, seed=seed, featuresCol=features, predictionCol="fold").fit(df).transform(df)
+    scaled = StandardScaler(inputCol=features, outputCol="scaled_", withMean=True, withStd=True).fit(df).transform(df)
+    return KMeans(k=folds, seed=seed, featuresCol="scaled_", predictionCol="fold").fit(scaled).transform(scaled).drop("scaled_")
 
 
 def importance(model, names: list[str], spark) -> DataFrame:
@@ -153,6 +212,24 @@ def metrics(matrix: DataFrame) -> DataFrame:
     return sums.select(po.alias("accuracy"), safe_div(po - pe, 1 - pe).alias("kappa"), "mean_f1")
 
 
+def performance(df: DataFrame, actual: str, predictions: dict[str, str]) -> DataFrame:
+    """model, accuracy, kappa, mean_f1 of the predictions (model: column)."""
+    tables = [metrics(confusion(df, actual, c)).select(F.lit(m).alias("model"), "*") for m, c in predictions.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def f1_by_model(df: DataFrame, actual: str, predictions: dict[str, str]) -> DataFrame:
+    """class, model, f1 of the predictions (model: column)."""
+    tables = [class_names(by_class(confusion(df, actual, c)).select(F.concat(F.lit("Class: "), F.col("class").cast("string")).alias("class"), F.lit(m).alias("model"), "f1"), "class") for m, c in predictions.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def accuracy_by_model(df: DataFrame, actual: str, predictions: dict[str, str]) -> DataFrame:
+    """class, model, accuracy: the share of a class's rows that each model gets right."""
+    wide = df.groupBy(F.col(actual).alias("class")).agg(*[F.avg((F.col(actual) == F.col(c)).cast("double")).alias(m) for m, c in predictions.items()])
+    return wide.unpivot(["class"], list(predictions), "model", "accuracy")
+
+
 def best_model(table: DataFrame) -> DataFrame:
     """The model of the highest accuracy, the first by name of equals."""
     return table.orderBy(F.col("accuracy").desc_nulls_last(), "model").limit(1).select("model", "accuracy")

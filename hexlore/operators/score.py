@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexlore.functions.nulls import clamp, with_ecdf, with_minmax100
+from hexlore.functions.nulls import clamp, quantiles, with_ecdf, with_minmax100
 
 #: The categories in order of score.
 CATEGORIES = ("Low", "Moderate", "High", "Very High")
@@ -59,15 +59,21 @@ def category_counts(df: DataFrame, category: str) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("category", "n", F.bround(F.col("n") * 100.0 / F.col("all"), 1).alias("pct"))
 
 
+def with_quantiles(df: DataFrame, column: str, at: dict[str, float], *more: Column) -> DataFrame:
+    """One row: the aggregates in more beside quantiles of a column by name; none of them holds the column in one task."""
+    found = quantiles(df, [], [column], at).withColumnsRenamed({f"{name}_{column}": name for name in at})
+    return df.agg(*more).join(F.broadcast(found.agg(*[F.max(name).alias(name) for name in at])))
+
+
 def summary(df: DataFrame, score: str) -> DataFrame:
     """metric, value: Mean, Median, SD, Min, Max."""
-    one = df.agg(F.avg(score).alias("Mean"), F.median(score).alias("Median"), F.stddev_samp(score).alias("SD"), F.min(score).alias("Min"), F.max(score).alias("Max"))
+    one = with_quantiles(df, score, {"Median": 0.5}, F.avg(score).alias("Mean"), F.stddev_samp(score).alias("SD"), F.min(score).alias("Min"), F.max(score).alias("Max"))
     return one.unpivot([], ["Mean", "Median", "SD", "Min", "Max"], "metric", "value")
 
 
 def five_numbers(df: DataFrame, column: str) -> DataFrame:
-    quarter = lambda p: F.percentile(column, F.lit(p))
-    return df.agg(F.min(column).alias("min"), quarter(0.25).alias("q1"), quarter(0.5).alias("median"), F.avg(column).alias("mean"), quarter(0.75).alias("q3"), F.max(column).alias("max"))
+    one = with_quantiles(df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, F.min(column).alias("min"), F.avg(column).alias("mean"), F.max(column).alias("max"))
+    return one.select("min", "q1", "median", "mean", "q3", "max")
 
 
 def top(df: DataFrame, score: str, key: str, n: int = 10) -> DataFrame:
@@ -83,7 +89,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def dashboard(df: DataFrame, score: str, category: str) -> DataFrame:
     high = F.col(category).isin(*CATEGORIES[2:])
-    return df.agg(F.count(F.lit(1)).alias("n_cells"), F.avg(score).alias("mean_score"), F.median(score).alias("median_score"), F.count_if(high).alias("n_high"), (F.count_if(high) * 100.0 / F.count(F.lit(1))).alias("pct_high"))
+    return with_quantiles(df, score, {"median_score": 0.5}, F.count(F.lit(1)).alias("n_cells"), F.avg(score).alias("mean_score"), F.count_if(high).alias("n_high"), (F.count_if(high) * 100.0 / F.count(F.lit(1))).alias("pct_high"))
 
 
 def popup(title: Column, score: Column, category: Column, why: Column) -> Column:

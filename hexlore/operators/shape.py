@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexlore.functions.nulls import known
+
 
 def starts_with(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
@@ -46,8 +48,10 @@ def pivot_longer(df: DataFrame, ids: list[str], columns: list[str], names: str =
     return df.unpivot(ids, columns, names, values)
 
 
-def fill_zero(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.fillna(0, subset=columns)
+def select_as(df: DataFrame, keep: list[str], *, without: list[str] = (), **renamed: str) -> DataFrame:
+    """Columns by name, less those in without, and further ones under new names (new=old)."""
+    names = [c for c in all_of(df, keep) if c not in without]
+    return df.select(*names, *[F.col(old).alias(new) for new, old in renamed.items()])
 
 
 def bind_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -60,9 +64,10 @@ def null_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """variable, pct_missing of each column, by one aggregate."""
+    """variable, pct_missing of each column (NaN is missing), by one aggregate."""
     columns = columns or df.columns
-    one = df.agg(*[(100.0 * F.count_if(F.col(c).isNull()) / F.count(F.lit(1))).alias(c) for c in columns])
+    own = known(df, *columns)
+    one = df.agg(*[(100.0 * F.count_if(own[c].isNull()) / F.count(F.lit(1))).alias(c) for c in columns])
     return one.unpivot([], columns, "variable", "pct_missing")
 
 
@@ -75,7 +80,7 @@ def drop_sparse(df: DataFrame, columns: list[str], limit: float = 50.0) -> tuple
 
 def with_missing_flags(df: DataFrame, columns: list[str], limit: float = 50.0) -> DataFrame:
     """Adds missing_feature_count, missing_feature_pct and sufficient_data of each row."""
-    count = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    count = sum((v.isNull().cast("int") for v in known(df, *columns).values()), F.lit(0))
     share = count * 100.0 / len(columns)
     return df.withColumns({"missing_feature_count": count, "missing_feature_pct": share, "sufficient_data": share < limit})
 

@@ -21,14 +21,23 @@ def flat(spark, d) -> DataFrame:
 
 
 def distances(spark, d) -> DataFrame:
-    f = flat(spark, d)
-    centres = F.broadcast(f.groupBy(F.col("label").alias("c"), "d").agg(F.avg("x").alias("m")))  # classes times dimensions
-    return f.join(centres, "d").groupBy("vec_id", "label", "c").agg(F.sqrt(F.sum((F.col("x") - F.col("m")) ** 2)).alias("dist"))
+    """vec_id, label and dists, the distances to the class centres as (c, dist) in order of classes.
+
+    Centres are classes times dimensions and go to the rows as one broadcast array, so rows are not shuffled.
+    """
+    by = flat(spark, d).groupBy(F.col("label").alias("c"), "d").agg(F.avg("x").alias("m"))
+    own = by.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("m"))
+    centres = F.broadcast(own.agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("centres")))
+    square = lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)
+    dist = lambda m: F.sqrt(F.aggregate(F.zip_with("embedding", m, square), F.lit(0.0), lambda s, v: s + v))
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding").join(centres)
+    return rows.select("vec_id", "label", F.transform("centres", lambda s: F.struct(s["c"].alias("c"), dist(s["m"]).alias("dist"))).alias("dists"))
 
 
 def predicted(spark, d) -> DataFrame:
     """Each vector's class and that of the nearest class centre."""
-    return distances(spark, d).groupBy("vec_id", F.col("label").alias("actual")).agg(F.min_by("c", F.struct(F.round("dist", 9), "c")).alias("predicted"))
+    nearest = F.array_min(F.transform("dists", lambda s: F.struct(F.round(s["dist"], 9).alias("dist"), s["c"].alias("c"))))
+    return distances(spark, d).select("vec_id", F.col("label").alias("actual"), nearest["c"].alias("predicted"))
 
 
 @query(f"WITH {FLAT}, s AS (SELECT d, avg(x) AS m, stddev_samp(x) AS s FROM fl GROUP BY d) SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - m) / nullif(s, 0), 6) AS z FROM fl JOIN s USING (d) WHERE d < 8")
@@ -170,7 +179,7 @@ def importance_merge(spark, d):
     return out.select("feature", *[F.round(c, 4).alias(c) for c in ("norm_a", "norm_b", "importance_avg")])
 
 
-@query("SELECT CAST(a AS DOUBLE) AS nrounds, CAST(b AS DOUBLE) AS max_depth, CAST(c AS DOUBLE) AS eta, CAST(g AS DOUBLE) AS gamma, CAST(s AS DOUBLE) AS colsample_bytree, 1.0::DOUBLE AS min_child_weight, CAST(u AS DOUBLE) AS subsample FROM unnest([100, 200, 300]) t1(a), unnest([3, 6, 9]) t2(b), unnest([0.01, 0.1, 0.3]) t3(c), unnest([0, 1]) t4(g), unnest([0.6, 0.8]) t5(s), unnest([0.7, 1.0]) t6(u)")
+@query("SELECT CAST(a AS DOUBLE) AS nrounds, CAST(b AS DOUBLE) AS max_depth, CAST(c AS DOUBLE) AS eta, CAST(g AS DOUBLE) AS gamma, CAST(s AS DOUBLE) AS colsample_bytree, 1.0::DOUBLE AS min_child_weight, CAST(u AS DOUBLE) AS subsample FROM unnest([100, 200, 300]) t1(a), unnest([3, 4, 6]) t2(b), unnest([0.01, 0.05, 0.1]) t3(c), unnest([0, 0.1]) t4(g), unnest([0.6, 0.8]) t5(s), unnest([0.7, 0.8]) t6(u)")
 def param_grid(spark, d):
     return models.param_grid(spark, models.GRIDS["boost"])
 
@@ -273,10 +282,10 @@ SOFT = f"{PRED}, so AS (SELECT vec_id, sum(exp(-dist) * (c * 10.0)) / sum(exp(-d
 
 def expected(spark, d) -> DataFrame:
     """Class probabilities by distance, class c of risk 10 c, and the risk they lead to expect."""
-    p = distances(spark, d).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("c", F.exp(-F.col("dist")).alias("e")))).alias("s"))
-    weights = F.transform("s", lambda x: x["e"])
+    weights = F.transform("dists", lambda s: F.exp(-s["dist"]))
     total = F.aggregate(weights, F.lit(0.0), lambda a, v: a + v)
-    return p.select("vec_id", score.expected_risk(F.transform(weights, lambda v: v / total), F.transform("s", lambda x: x["c"] * 10.0)).alias("expected"))
+    told = score.expected_risk(F.transform(weights, lambda v: v / total), F.transform("dists", lambda s: s["c"] * 10.0))
+    return distances(spark, d).select("vec_id", told.alias("expected"))
 
 
 @query(f"WITH {SOFT} SELECT pr.vec_id, round(CAST(expected AS DOUBLE), 6) AS expected, predicted * 10.0::DOUBLE AS class_risk FROM so JOIN pr USING (vec_id)")
