@@ -184,8 +184,8 @@ def quantiles(df: DataFrame, by: list[str], columns: list[str], at: dict[str, fl
     flat = df.select(*by, F.explode(F.filter(values, lambda x: x["v"].isNotNull())).alias("x")).select(*by, "x.feature", "x.v")
     # A null group would be lost in joins by equality.
     named = [F.struct(*[F.col(c) for c in by]).alias("by_")] if by else [F.lit(0).alias("by_")]
-    seen = flat.select(*named, "feature", "v").groupBy(F.to_json(F.struct("by_")).alias("g"), "by_", "feature", "v").agg(F.count(F.lit(1)).alias("n")).drop("by_")
-    placed = in_parts(seen, ["g", "feature"], parts).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("g", "feature", "part").orderBy("v")))
+    seen = flat.select(*named, "feature", "v").groupBy(F.to_json(F.struct("by_")).alias("group_"), "by_", "feature", "v").agg(F.count(F.lit(1)).alias("n")).drop("by_")
+    placed = in_parts(seen, ["group_", "feature"], parts).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("group_", "feature", "part").orderBy("v")))
     low, high = (lambda q: F.floor((F.col("all") - 1) * q)), (lambda q: F.ceil((F.col("all") - 1) * q))
     holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
 
@@ -195,8 +195,8 @@ def quantiles(df: DataFrame, by: list[str], columns: list[str], at: dict[str, fl
         rank = (F.max(F.when(mine, F.col("all"))) - 1) * q
         return a + (b - a) * (rank - F.floor(rank))
 
-    told = placed.groupBy("g").agg(*[value(c, q).alias(f"{name}_{c}") for name, q in at.items() for c in columns])
+    told = placed.groupBy("group_").agg(*[value(c, q).alias(f"{name}_{c}") for name, q in at.items() for c in columns])
     if not by:
-        return told.drop("g")
-    groups = df.select(*by).distinct().withColumn("g", F.to_json(F.struct(F.struct(*[F.col(c) for c in by]).alias("by_"))))
-    return groups.join(told, "g", "left").drop("g")
+        return told.drop("group_")
+    groups = df.select(*by).distinct().withColumn("group_", F.to_json(F.struct(F.struct(*[F.col(c) for c in by]).alias("by_"))))
+    return groups.join(told, "group_", "left").drop("group_")

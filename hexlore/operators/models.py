@@ -55,6 +55,14 @@ def assembled(df: DataFrame, predictors: list[str], out: str = "features") -> Da
     return df.withColumn(out, array_to_vector(values))
 
 
+def with_vector(df: DataFrame, values: str, out: str) -> DataFrame:
+    return df.withColumn(out, array_to_vector(F.col(values)))
+
+
+def zeros(n: int) -> Column:
+    return array_to_vector(F.array(*[F.lit(0.0)] * n))
+
+
 def param_grid(spark, grid: dict[str, list]) -> DataFrame:
     """Every combination of values, one per row."""
     names = list(grid)
@@ -81,6 +89,12 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.7, se
     return rows.withColumn("in_train", F.col("before_") + F.col("place_") <= F.col("need_")).select(*df.columns, "in_train")
 
 
+def linear(alpha: float, strength: float, features: str = "features", label: str = "label") -> Pipeline:
+    """One multinomial linear model on scaled features, without tuning."""
+    lr = LogisticRegression(featuresCol="scaled_", labelCol=label, family="multinomial", maxIter=100, standardization=False, elasticNetParam=alpha, regParam=strength)
+    return Pipeline(stages=[StandardScaler(inputCol=features, outputCol="scaled_", withMean=True, withStd=True), lr])
+
+
 def elastic_net(features: str = "features", label: str = "label", folds: int = 5, grid: dict | None = None, fold_col: str = "", seed: int = 42) -> CrossValidator:
     lr = LogisticRegression(featuresCol="scaled_", labelCol=label, family="multinomial", maxIter=100, standardization=False)
     g = grid or GRIDS["elastic"]
@@ -97,7 +111,7 @@ def forest(features: str = "features", label: str = "label", trees: int = 500, f
 
 def _tuned(estimator, params, label: str, folds: int, fold_col: str, seed: int) -> CrossValidator:
     score = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    return CrossValidator(estimator=estimator, estimatorParamMaps=params, evaluator=score, numFolds=folds, foldCol=fold_col, seed=seed, parallelism=2)
+    return CrossValidator(estimator=estimator, estimatorParamMaps=params, evaluator=score, numFolds=folds, foldCol=fold_col, seed=seed, parallelism=8)
 
 
 @dataclass
@@ -169,6 +183,7 @@ def importance(model, names: list[str], spark) -> DataFrame:
     """feature, importance: split gains, or absolute coefficients averaged over classes."""
     best = model.bestModel if isinstance(model, CrossValidatorModel) else model
     last = best.stages[-1] if hasattr(best, "stages") else best
+    # Boosted classes: the mean over the classes' models.
     if isinstance(last, BoostedClasses):
         values = np.mean([m.featureImportances.toArray() for m in last.models], axis=0)
     elif hasattr(last, "featureImportances"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexlore.functions.nulls import clamp, quantiles, with_ecdf, with_minmax100
+from hexlore.functions.nulls import clamp, complete, quantiles, with_ecdf, with_minmax100
 
 #: The categories in order of score.
 CATEGORIES = ("Low", "Moderate", "High", "Very High")
@@ -53,6 +53,12 @@ def factors(df: DataFrame, key: str, features: list[str], top_n: int = 3, percen
     return ranked.withColumn("contributing_factors", told).drop(*[f"e_{c}" for c in features])
 
 
+def complete_only(scored: DataFrame, predictors: list[str], columns: list[str]) -> DataFrame:
+    """scored with null in columns wherever a predictor is missing: the linear model knows nothing of such rows."""
+    whole = complete(scored, predictors)
+    return scored.withColumns({c: F.when(whole, F.col(c)) for c in columns})
+
+
 def category_counts(df: DataFrame, category: str) -> DataFrame:
     """category, n, pct (one decimal, halves to even)."""
     counts = df.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hexlore.config import Config
 from hexlore.functions import nulls
-from hexlore.operators import cluster, models, score, shape
+from hexlore.operators import cluster, geo, models, score, shape
 from hexlore.plans.registry import query, r6, rounded, table
 
 FLAT = "fl AS (SELECT vec_id, label, unnest(range(len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
@@ -97,9 +97,12 @@ def kmeans_best_of_n(spark, d):
     """The whole sweep: cost and mean silhouette of the best fit by k, and the k chosen by them."""
     config = Config()
     e, _ = cluster.standardise(table(spark, d, "embeddings"), "embedding", "features")
-    e = e.select("vec_id", "features").cache()
+    e = e.select("vec_id", "features").persist()
     low, high = config.k_range
-    fits = cluster.sweep_kmeans(e, "vec_id", "features", range(low, high + 1), config.restarts, config.most_iterations, config.seed)
+    try:
+        fits = cluster.sweep_kmeans(e, "vec_id", "features", range(low, high + 1), config.restarts, config.most_iterations, config.seed)
+    finally:
+        e.unpersist()
     best = cluster.choose_k({k: s for k, _, s in fits}, config.least_k)
     return spark.createDataFrame([(k, c, s, k == best) for k, c, s in fits], "k int, wcss double, silhouette double, chosen boolean")
 
@@ -185,53 +188,79 @@ def param_grid(spark, d):
 
 
 def classes(spark, d) -> DataFrame:
-    """Whole vectors as ML features, with their labels as classes, a split and spatial-like folds."""
+    """Whole vectors as ML features, with their labels as classes, a split, and folds of square blocks of their places."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return models.stratified_split(e, "vec_id", "label").withColumn("fold", (F.col("vec_id") % 3).cast("int"))
-
-
-def scored(model, df) -> DataFrame:
-    return model.transform(df.where("not in_train")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    x, y = geo.pseudo_xy("vec_id")
+    return models.stratified_split(e, "vec_id", "label").withColumn("fold", geo.fold_of_block(x, y, 0.25, 3))
+
+
+def scored(spark, d, fit) -> DataFrame:
+    """accuracy on the rows held out, of what fit makes of the others."""
+    df = classes(spark, d).persist()
+    try:
+        hit = (F.col("prediction") == F.col("label")).cast("double")
+        accuracy = fit(df.where("in_train")).transform(df.where("not in_train")).agg(F.avg(hit)).first()[0]
+    finally:
+        df.unpersist()
+    return spark.createDataFrame([(accuracy,)], "accuracy double")
 
 
 @query()
 def elastic_cv(spark, d):
-    df = classes(spark, d).cache()
-    return scored(models.elastic_net(folds=2, grid={"alpha": [0.0, 1.0], "lambda": [0.001, 0.1]}).fit(df.where("in_train")), df)
+    """Four of the sixty settings, two folds; run_models tunes on the run's own cells."""
+    return scored(spark, d, models.elastic_net(folds=2, grid={"alpha": [0.0, 1.0], "lambda": [0.001, 0.1]}).fit)
 
 
 @query()
 def rf_cv(spark, d):
-    df = classes(spark, d).cache()
-    return scored(models.forest(trees=20, folds=2, grid={"mtry": [3, 5]}, depth=6).fit(df.where("in_train")), df)
+    """Two of the four settings with twenty trees, two folds."""
+    return scored(spark, d, models.forest(trees=20, folds=2, grid={"mtry": [3, 5]}, depth=6).fit)
 
 
 @query()
 def gbt_multiclass(spark, d):
-    df = classes(spark, d).cache()
-    n_classes = int(df.agg(F.max("label")).first()[0]) + 1
-    return scored(models.BoostedClasses.fit(df.where("in_train"), n_classes, nrounds=5), df)
+    """One of the 216 settings with five rounds: ten classes of it are ten boosted models."""
+    n_classes = int(table(spark, d, "embeddings").agg(F.max("label")).first()[0]) + 1
+    return scored(spark, d, lambda train: models.BoostedClasses.fit(train, n_classes, nrounds=5))
 
 
 @query()
 def spatial_cv(spark, d):
-    df = classes(spark, d).cache()
-    accuracy = models.cross_validate(df, lambda t: models.elastic_net(folds=2, grid={"alpha": [0.0], "lambda": [0.01]}).fit(t), "label", "fold")
+    """Accuracy over folds of square blocks, a model refitted without each."""
+    df = classes(spark, d).persist()
+    try:
+        accuracy = models.cross_validate(df, models.linear(0.0, 0.01).fit, "label", "fold")
+    finally:
+        df.unpersist()
     return spark.createDataFrame([(accuracy,)], "accuracy double")
 
 
 @query()
 def cluster_folds(spark, d):
-    return models.cluster_folds(classes(spark, d).drop("fold")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    """The sizes of folds of like rows, and the accuracy on each of a model refitted without it."""
+    df = models.cluster_folds(classes(spark, d).drop("fold")).select("vec_id", "label", "features", "fold").persist()
+    try:
+        n = {r.fold: r["count"] for r in df.groupBy("fold").count().collect()}  # five rows
+        hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+        rows = [(f, n[f], models.linear(0.0, 0.01).fit(df.where(F.col("fold") != f)).transform(df.where(F.col("fold") == f)).agg(hit).first()[0]) for f in sorted(n)]
+    finally:
+        df.unpersist()
+    return spark.createDataFrame(rows, "fold int, n long, accuracy double")
 
 
 @query()
 def variable_importance(spark, d):
-    df = classes(spark, d).cache()
-    names = [f"d{k}" for k in range(df.first().features.size)]
-    train = df.where("in_train")
-    fitted = {"elastic": models.elastic_net(folds=2, grid={"alpha": [0.0], "lambda": [0.01]}).fit(train), "forest": models.forest(trees=10, folds=2, grid={"mtry": [3]}, depth=5).fit(train)}
-    return models.merge_importance({name: models.importance(m, names, spark) for name, m in fitted.items()})
+    """What all three kinds of models go by, on all dimensions; quick settings."""
+    df = classes(spark, d).persist()
+    try:
+        names = [f"d{k}" for k in range(df.first().features.size)]
+        train = df.where("in_train")
+        n_classes = int(train.agg(F.max("label")).first()[0]) + 1
+        fitted = {"elastic": models.linear(0.0, 0.01).fit(train), "forest": models.forest(trees=10, folds=2, grid={"mtry": [3]}, depth=5).fit(train), "boost": models.BoostedClasses.fit(train, n_classes, nrounds=2)}
+        tables = {name: models.importance(m, names, spark) for name, m in fitted.items()}
+    finally:
+        df.unpersist()
+    return models.merge_importance(tables)
 
 
 SEG = "sg AS (SELECT c_mktsegment AS cluster, c_acctbal AS rent, c_custkey * 7919 % 1000 / 10.0 AS demo, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey * 104729 % 1000 / 10.0 END AS vuln FROM customer)"

@@ -22,8 +22,15 @@ SCHEMAS = {
     "evictions": "eviction_id long, latitude double, longitude double, filing_date date, case_type string, outcome string",
     "land_values": "parcel_id long, latitude double, longitude double, assessment_date date, land_value double, improvement_value double",
     "ownership": "property_id long, latitude double, longitude double, owner_name string, owner_type string, acquisition_date date, units int",
-    "statistics": "unit_id string, variable string, estimate double",
+    "statistics": "unit_id string, variable string, estimate double, ring array<struct<x:double,y:double>>",
+    "roads": "road_id string, RTTYP string, line array<struct<x:double,y:double>>",
+    "rent_history": "Period string, `Building Address` string, `Building Name` string, `Zip Code` string, `Asking Rent Per Unit` double",
 }
+#: The variables of the statistics.
+STATISTICS = [
+    "median_income", "total_pop", "white_nh", "black_nh", "asian_nh", "hispanic", "total_tenure", "owner_occupied", "renter_occupied",
+    "total_edu", "less_than_hs", "hs_grad", "some_college", "bachelors", "graduate", "total_poverty_det", "below_poverty", "median_rent", "median_home_value",
+]
 BAD = "_bad_row"
 
 
@@ -37,6 +44,44 @@ def load(spark: SparkSession, path: str, description: str = "") -> DataFrame:
     return out
 
 
+def geojson_features(lines: DataFrame, properties: str, column: str = "value") -> DataFrame:
+    """The properties and the ring (outer, not closed, x and y) of each polygon in rows of GeoJSON text.
+
+    A row holds a Feature or a FeatureCollection; a MultiPolygon gives a row per part. Holes and other geometries are
+    left out, as are rows that are no GeoJSON.
+    """
+    polygon, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    feature = f"struct<type:string,properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>"
+    whole = F.from_json(F.col(column), f"features array<{feature}>")["features"]
+    lone = F.from_json(F.col(column), f"type string, properties struct<{properties}>, geometry struct<type:string,coordinates:string>")
+    every = lines.select(F.explode(F.coalesce(whole, F.array(lone))).alias("f")).where("f.geometry is not null")
+    text = F.col("f.geometry.coordinates")
+    parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(text, polygon))).when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(text, many))
+    rows = every.select("f.properties.*", F.explode(parts).alias("part"))
+    outer = F.col("part")[0]
+    ring = F.transform(F.slice(outer, 1, F.size(outer) - 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return rows.withColumn("ring", ring).drop("part")
+
+
+def read_statistics(spark: SparkSession, path: str, variables: list[str] = STATISTICS) -> DataFrame:
+    """unit_id, variable, estimate, ring in long form from Parquet, the variables asked for alone; other columns are left out."""
+    rows = load(spark, path, "statistics")
+    return rows.select("unit_id", "variable", F.col("estimate").cast("double").alias("estimate"), "ring").where(F.col("variable").isin(variables))
+
+
+def read_roads(spark: SparkSession, path: str, classes: tuple[str, ...] = ("I", "S")) -> DataFrame:
+    """The roads of some classes from Parquet."""
+    return load(spark, path, "roads").where(F.col("RTTYP").isin(*classes))
+
+
+def read_rent_history(spark: SparkSession, path: str) -> DataFrame:
+    """building_address, building_name, zip, period (a date, null if it can't be read), rent from the CSV of asking rents."""
+    from hexlore.operators.events import parse_quarter
+
+    rows = read_csv(spark, path, SCHEMAS["rent_history"])
+    return rows.select(F.col("Building Address").alias("building_address"), F.col("Building Name").alias("building_name"), F.col("Zip Code").alias("zip"), parse_quarter(F.col("Period")).alias("period"), F.col("Asking Rent Per Unit").alias("rent"))
+
+
 def save(df: DataFrame, path: str, description: str = "") -> None:
     df.write.mode("overwrite").parquet(path)
     log.info("wrote %s", description or path)
