@@ -26,10 +26,20 @@ SPAN = "struct<s:bigint,k:int,e:bigint>"
 CODES = 128
 
 
-def places(text: Column, pattern: str, keep) -> Column:
-    """Start and length of each kept match of a pattern, as (gap before, length, kept)."""
-    pieces = F.split(text, pattern, -1)
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("n"), keep(m, i).alias("ok")))
+def matches(text: Column, pattern: str) -> Column:
+    """gap (the characters since the last match), n, token of each match of a pattern; text is read twice in all."""
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # There is one piece more than matches.
+    both = F.zip_with(found, pieces, lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), m.alias("token")))
+    return F.filter(both, lambda x: x["token"].isNotNull())
+
+
+def places(text: Column, pattern: str, group: int, least: int) -> Column:
+    """gap, n, ok of each match; ok says that the group is long enough."""
+    if not group:
+        return F.transform(matches(text, pattern), lambda x: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.lit(True).alias("ok")))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.zip_with(matches(text, pattern), values, lambda x, v: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), (F.length(v) >= least).alias("ok")))
 
 
 def as_spans(found: Column, kind: int) -> Column:
@@ -64,8 +74,6 @@ def open_parts(runs: Column, fixed: Column) -> Column:
 
 def candidate_runs(text: Column) -> Column:
     """s, e, token of each candidate run."""
-    pieces = F.split(text, CANDIDATE, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("n"), m.alias("token")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,token:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -73,7 +81,7 @@ def candidate_runs(text: Column) -> Column:
         run = F.struct(begin.alias("s"), (begin + x["n"]).alias("e"), x["token"].alias("token"))
         return F.struct((begin + x["n"]).alias("at"), F.concat(acc["out"], F.array(run)).alias("out"))
 
-    return F.when(text.rlike(CANDIDATE), F.aggregate(found, start, step, lambda acc: acc["out"]))
+    return F.when(text.rlike(CANDIDATE), F.aggregate(matches(text, CANDIDATE), start, step, lambda acc: acc["out"]))
 
 
 def base_found(text: Column, kind: str) -> Column:
@@ -81,12 +89,11 @@ def base_found(text: Column, kind: str) -> Column:
     pattern, group, least = BASE[kind]
     if group:
         # A match too short is dropped only after it has used up its place.
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        return F.when(text.rlike(pattern), places(text, pattern, lambda m, i: F.length(F.get(value, i)) >= least))
+        return F.when(text.rlike(pattern), places(text, pattern, group, least))
     # These are maximal runs, so the least length may be part of the pattern.
     head = "AKIA[A-Z0-9]" if kind == "access" else "[0-9a-f]"
     long_enough = f"{head}{{{least - 4 if kind == 'access' else least},}}"
-    return F.when(text.rlike(long_enough), places(text, long_enough, lambda m, i: F.lit(True)))
+    return F.when(text.rlike(long_enough), places(text, long_enough, 0, 0))
 
 
 def pair_codes(token: Column) -> Column:
