@@ -88,6 +88,53 @@ def test_an_empty_corpus(spark):
         assert docs.count() == 0
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, repeated rows, ties, very long texts, and further columns with names that stages use."""
+    long = " ".join(f"long{k}" for k in range(30_000))
+    clean = next(r.text for r in table(spark, D, "documents").collect() if 300 < len(r.text) < 2000)
+    rows = [(1, clean, "en", "a", 5), (1, clean, "en", "a", 5), (None, clean + " tail", None, None, None), (None, None, None, None, None), (None, None, None, None, None), (2, "", "en", "", 0), (3, long, "en", "a", 1), (4, "x token=abcdefgh1234 y", "en", "b", None), (4, " \n", "en", "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = {"kept": F.lit("k"), "id": F.lit(1), "th": F.lit(None).cast("string"), "root": F.lit("r"), "u": F.lit(0.5), "spans": F.lit("s"), "copies": F.lit(9), "sequence_id": F.lit("q"), "same": F.lit(3)}
+    docs = docs.withColumns(odd)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r.kept == "k" and r.sequence_id == "q" and r.same == 3 for r in got), name
+        if name == "quality classifier":
+            assert sum(r.text is None for r in got) in (0, 2) and sum(r.text == clean for r in got) in (0, 2)
+        if name == "near-duplicates":
+            # The copies are one, with or without their tail; what has no words all stays.
+            assert sorted((r.text or "")[:5] for r in got) == sorted([clean[:5], "", "", "", "long0", "x tok", " \n"])
+        if name == "secret scans":
+            assert len(got) == len(rows) and "x [secret] y" in {r.text for r in got} and sum(r.text is None for r in got) == 2
+        if name == "mixing":
+            n = {}
+            for r in got:
+                n[r.doc_id, r.text, r.source] = n.get((r.doc_id, r.text, r.source), 0) + 1
+            assert all(v <= 4 for v in n.values())
+    packed = pipeline.STAGES[-1][1](spark, docs, D)
+    assert packed.where("piece = 0").count() == len(rows) and packed.count() > len(rows)
+
+
+def test_mixing_stage_by_brute_force(spark, stages):
+    """The rows that the stage gives, source by source, against the plain draw of the operator's test."""
+    from tests.llm.test_mixing import fill, plain_draw
+
+    docs = [r for r in stages[3].collect()]
+    sizes = {}
+    for r in docs:
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    want = {}
+    for source, target in fill(sizes).items():
+        rows = [(r.doc_id, r.text) for r in docs if r.source == source]
+        whole = int(target / max(sizes[source], 1))
+        more = plain_draw(rows, target - whole * sizes[source], 42)[0] if whole < 2 else set()
+        want |= {k: whole + (k in more) for k, _ in rows}
+    got = {r.doc_id: r["count"] for r in stages[4].groupBy("doc_id").count().collect()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_planted_copies_and_secrets(spark):
     text = " ".join(f"word{k}" for k in range(60))
     rows = [(1, text), (2, text), (3, text + " more"), (4, " ".join(f"other{k}" for k in range(60))), (5, "my password=hunter2hunter2 ok")]
