@@ -156,7 +156,9 @@ def nearest(points: DataFrame, key: str, k: int, bucket: float | None = None) ->
     extent = max(wide or 0.0, high or 0.0)
     bucket = bucket or max(extent / max(1.0, math.sqrt(total / (2 * k))), 1e-12)
     placed = points.select(F.col(key).alias("k"), "x", "y", F.floor(F.col("x") / bucket).alias("bx"), F.floor(F.col("y") / bucket).alias("by"))
-    others = placed.select(F.col("k").alias("dst"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
+    # Of the points at one place the least keys alone can be among anyone's nearest, so a crowded place costs a few rows.
+    first = F.row_number().over(Window.partitionBy("x", "y").orderBy("k"))
+    others = placed.withColumn("n_", first).where(F.col("n_") <= k + 1).select(F.col("k").alias("dst"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
     reach, todo, done = 1, placed, None
     while True:
         around = todo.withColumn("cx", F.explode(F.sequence(F.col("bx") - reach, F.col("bx") + reach))).withColumn("cy", F.explode(F.sequence(F.col("by") - reach, F.col("by") + reach)))
