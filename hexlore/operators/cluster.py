@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexlore.functions.nulls import complete, quantiles
-from hexlore.operators.shape import drop_sparse
+from hexlore.operators.shape import drop_sparse, in_order
 
 #: Exact pairwise operations compare all rows with all rows, in blocks of vectors of so many bytes.
 BLOCK_BYTES = 2_000_000
@@ -167,8 +167,6 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int = 5, rou
     and for links: pairs of blocks give a spanning forest of their core rows, and core neighbours of rows that are none
     (fewer than least each), never all pairs.
     """
-    from pyspark.sql import Window
-
     def counted(a, b, same):
         hit = distances(a["v"], b["v"]) <= eps
         seen = both_ways(hit, a, b, same)
@@ -205,8 +203,7 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float, least: int = 5, rou
     found = _settled(over_blocks(flagged, key, vector, linked, "src long, dst long, core boolean", core=F.col("is_core")))
     links = found.where("core").select("src", "dst")
     label = _components(core, links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rounds)
-    # One row per cluster is numbered.
-    ids = label.select("root").distinct().withColumn("id", F.dense_rank().over(Window.orderBy("root")))
+    ids = in_order(label.select("root").distinct(), [F.col("root")], "id").withColumn("id", (F.col("id") + 1).cast("int"))
     named = label.join(ids, "root").select(F.col("k").alias("dst"), "id")
     border = found.where("not core").join(named, "dst").groupBy(F.col("src").alias("k")).agg(F.min("id").alias("border"))
     own = named.withColumnRenamed("dst", "k").withColumnRenamed("id", "own")

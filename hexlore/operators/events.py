@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hexlore.functions.nulls import pct
 from hexlore.operators.geo import latest
+from hexlore.operators.shape import in_order
 
 
 def parse_quarter(text: Column) -> Column:
@@ -58,8 +59,8 @@ def geocode(places: DataFrame, key: str, *gazetteers: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Adds a dense number per group of columns, in their order; numbered on the distinct groups, then joined back."""
+    """Adds a dense number per group of columns, in their order (nulls last); numbered on the distinct groups, then joined back."""
     groups = df.select(*[F.col(c).alias(f"{c}_g") for c in columns]).distinct()
-    ids = groups.withColumn(name, F.dense_rank().over(Window.orderBy(*groups.columns)))
+    ids = in_order(groups, [F.col(c).asc_nulls_last() for c in groups.columns], name).withColumn(name, (F.col(name) + 1).cast("int"))
     on = [F.col(c).eqNullSafe(F.col(f"{c}_g")) for c in columns]
     return df.join(ids, on, "left").drop(*groups.columns)

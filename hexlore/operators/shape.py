@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexlore.functions.nulls import known
+from hexlore.sources.tables import checkpointed
 
 
 def starts_with(df: DataFrame, prefix: str) -> list[str]:
@@ -85,6 +86,18 @@ def with_missing_flags(df: DataFrame, columns: list[str], limit: float = 50.0) -
     return df.withColumns({"missing_feature_count": count, "missing_feature_pct": share, "sufficient_data": share < limit})
 
 
+def in_order(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """df with its place (from 0) in an order; ranges of the order are numbered apart, then shifted by what is before them.
+
+    So no task orders the whole table; the numbers of rows by range are as few as there are partitions.
+    """
+    where = {"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}
+    rows = checkpointed(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns(where))
+    parts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("part_", (F.sum("n").over(Window.orderBy("part_")) - F.col("n")).alias("before_"))
+    return rows.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("at_")).drop("part_", "at_", "before_")
+
+
 def sample_rows(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """At most n rows, the same ones each time."""
     return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

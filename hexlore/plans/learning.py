@@ -87,7 +87,12 @@ def dbscan_core_noise(spark, d):
     return cluster.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", EPS).select("vec_id", "is_core", (F.col("cluster") == 0).alias("noise"))
 
 
-@query()
+IDS = f"""WITH RECURSIVE {PAIR}, nb AS (SELECT i, j FROM pa WHERE dist <= {EPS}), co AS (SELECT i FROM nb GROUP BY i HAVING count(*) >= 5), ln AS (SELECT nb.i, nb.j FROM nb JOIN co a ON nb.i = a.i JOIN co b ON nb.j = b.i),
+re AS (SELECT i, i AS j FROM co UNION SELECT re.i, ln.j FROM re JOIN ln ON re.j = ln.i), rt AS (SELECT i, min(j) AS root FROM re GROUP BY i), nu AS (SELECT i, dense_rank() OVER (ORDER BY root) AS id FROM rt),
+cl AS (SELECT e.vec_id, CAST(coalesce((SELECT id FROM nu WHERE nu.i = e.vec_id), (SELECT min(id) FROM nu JOIN nb ON nb.j = nu.i WHERE nb.i = e.vec_id), 0) AS INTEGER) AS cluster FROM embeddings e)"""
+
+
+@query(f"{IDS} SELECT vec_id, cluster FROM cl")
 def dbscan_ids(spark, d):
     return cluster.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", EPS).select("vec_id", "cluster")
 

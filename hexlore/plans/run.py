@@ -231,19 +231,9 @@ def scaled_new_rows(spark, d):
     return shape.pivot_longer(z, ["vec_id"], [str(k) for k in range(4)], "d", "z").select("vec_id", F.col("d").cast("int").alias("d"), r6("z").alias("z"))
 
 
-IDS = f"""WITH RECURSIVE {learning.PAIR}, nb AS (SELECT i, j FROM pa WHERE dist <= {learning.EPS}), co AS (SELECT i FROM nb GROUP BY i HAVING count(*) >= 5), ln AS (SELECT nb.i, nb.j FROM nb JOIN co a ON nb.i = a.i JOIN co b ON nb.j = b.i),
-re AS (SELECT i, i AS j FROM co UNION SELECT re.i, ln.j FROM re JOIN ln ON re.j = ln.i), rt AS (SELECT i, min(j) AS root FROM re GROUP BY i), nu AS (SELECT i, dense_rank() OVER (ORDER BY root) AS id FROM rt),
-cl AS (SELECT e.vec_id, CAST(coalesce((SELECT id FROM nu WHERE nu.i = e.vec_id), (SELECT min(id) FROM nu JOIN nb ON nb.j = nu.i WHERE nb.i = e.vec_id), 0) AS INTEGER) AS cluster FROM embeddings e)"""
-
-
-@query(f"{IDS} SELECT vec_id, cluster FROM cl")
-def dbscan_clusters(spark, d):
-    return cluster.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", learning.EPS).select("vec_id", "cluster")
-
-
-@query(f"{IDS}, m AS (SELECT count(CASE WHEN cluster = 0 THEN 1 END) AS n_noise, max(cluster) AS n_clusters FROM cl) SELECT cluster, count(*) AS n, any_value(n_noise) AS n_noise, any_value(n_clusters) AS n_clusters FROM cl, m GROUP BY cluster")
+@query(f"{learning.IDS}, m AS (SELECT count(CASE WHEN cluster = 0 THEN 1 END) AS n_noise, max(cluster) AS n_clusters FROM cl) SELECT cluster, count(*) AS n, any_value(n_noise) AS n_noise, any_value(n_clusters) AS n_clusters FROM cl, m GROUP BY cluster")
 def cluster_size_table(spark, d):
-    return cluster.cluster_sizes(dbscan_clusters(spark, d))
+    return cluster.cluster_sizes(learning.dbscan_ids(spark, d))
 
 
 @query(f"""WITH {learning.FLAT}, f AS (SELECT 'd' || d AS feature, stddev_samp(x) AS a, avg(abs(x)) AS b FROM fl GROUP BY d), n AS (SELECT feature, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 100 AS norm_a, (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 100 AS norm_b FROM f)
@@ -347,6 +337,17 @@ def run_scores(spark, d):
     return quick_run(spark, d).scores
 
 
+RING_SQL = f"{space.BINNED}, t AS (SELECT q, r, unnest(range(7)) AS k FROM cells)"
+
+
+@query(f"WITH {RING_SQL} SELECT q, r, CAST(k AS INTEGER) AS k, round({space.EDGE} * {S3}::DOUBLE * (q + r / 2.0) + {space.EDGE} * cos(radians(k % 6 * 60 - 30)), 6) AS x, round({space.EDGE} * 1.5::DOUBLE * r + {space.EDGE} * sin(radians(k % 6 * 60 - 30)), 6) AS y FROM t")
+def geojson_corners(spark, d):
+    """The corners of each cell, closed, as its GeoJSON text has them."""
+    text = space.cells(spark, d).select("q", "r", geo.geojson(geo.ring(F.col("q"), F.col("r"), space.EDGE)).alias("t"))
+    points = F.from_json("t", "coordinates array<array<array<double>>>")["coordinates"][0]
+    return rounded(text.select("q", "r", F.posexplode(points).alias("k", "p")).select("q", "r", "k", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")), "x", "y")
+
+
 @query()
 def run_score_map(spark, d):
     """The scores with the rings of their cells as GeoJSON, in degrees."""

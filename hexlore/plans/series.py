@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexlore.functions import nulls
-from hexlore.operators import events, features, shape
+from hexlore.operators import events, features, geo, shape
 from hexlore.operators.score import categorise
 from hexlore.plans.registry import query, r6, rounded, table
 
@@ -202,23 +202,31 @@ FROM p JOIN dc ON p.cell = dc.cell LEFT JOIN rf ON p.cell = rf.cell),
 mm AS (SELECT *, CASE WHEN income > 0 THEN median_rent * 12 / income END AS rent_burden_proxy, (max(income) OVER () - income) / nullif(max(income) OVER () - min(income) OVER (), 0) * 100 AS vuln_low_income, (renters - min(renters) OVER ()) / nullif(max(renters) OVER () - min(renters) OVER (), 0) * 100 AS vuln_high_rent,
 (poverty - min(poverty) OVER ()) / nullif(max(poverty) OVER () - min(poverty) OVER (), 0) * 100 AS vuln_poverty, (max(college) OVER () - college) / nullif(max(college) OVER () - min(college) OVER (), 0) * 100 AS vuln_low_edu FROM base),
 vul AS (SELECT *, (vuln_low_income + vuln_high_rent + vuln_poverty + vuln_low_edu) / 4 AS vulnerability_index FROM mm),
-lagged AS (SELECT vul.*, l.m AS rent_change_total_lag FROM vul LEFT JOIN (SELECT a.cell, avg(b.rent_change_total) AS m FROM vul a JOIN vul b ON abs(a.cell - b.cell) <= 3 AND a.cell <> b.cell GROUP BY a.cell) l ON vul.cell = l.cell),
+spot AS (SELECT cell, ((cell * 7919) % 10007) / 10007.0 AS x, ((cell * 104729) % 10007) / 10007.0 AS y FROM vul), nn AS (SELECT a.cell, b.cell AS other, row_number() OVER (PARTITION BY a.cell ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell) AS k FROM spot a JOIN spot b ON a.cell <> b.cell),
+lg AS (SELECT nn.cell, avg(rent_change_total) AS rent_change_total_lag, avg(demo_density) AS demo_density_lag, avg(income) AS income_lag, avg(vulnerability_index) AS vulnerability_index_lag FROM nn JOIN vul ON other = vul.cell WHERE k <= 6 GROUP BY nn.cell),
+lagged AS (SELECT vul.*, rent_change_total_lag, demo_density_lag, income_lag, vulnerability_index_lag FROM vul LEFT JOIN lg ON vul.cell = lg.cell),
 feat AS (SELECT *, rent_change_total * vulnerability_index AS rent_vuln_interaction, demo_density * rent_level_ratio AS demo_rent_interaction, vuln_low_income * rent_burden_proxy AS income_burden_interaction, (rent_change_total + rent_change_total_lag) / 2 AS neighborhood_rent_pressure FROM lagged)"""
 VULN = ["rent_burden_proxy", "vuln_low_income", "vuln_high_rent", "vuln_poverty", "vuln_low_edu", "vulnerability_index"]
 INTER = ["rent_vuln_interaction", "demo_rent_interaction", "income_burden_interaction", "neighborhood_rent_pressure"]
+LAGGED = ["rent_change_total", "demo_density", "income", "vulnerability_index"]
 FEATURES = ["rent_change_total", "rent_level_ratio", "demo_density", *VULN, *INTER]
 
 
-def cell_table(spark, d) -> DataFrame:
+def vulnerable(spark, d) -> DataFrame:
+    """The cell table up to the vulnerability index."""
     seg = segments(spark, d)
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
     dc = table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_nationkey").cast("long").alias("cell")).agg(F.count("o_orderkey").alias("n_orders"))
     pct = lambda c: nulls.pct(c, "total")
     base = seg.join(dc, "cell").join(rent_table(spark, d).select("cell", "median_rent", "rent_change_total", "rent_level_ratio"), "cell", "left")
     base = base.select("cell", F.col("total").alias("income"), pct("building").alias("renters"), pct("household").alias("poverty"), F.when(F.col("cell") % 6 != 0, pct("machinery")).alias("college"), "median_rent", "rent_change_total", "rent_level_ratio", (F.col("n_orders") / 2.5).alias("demo_density"))
-    out = features.vulnerability(base, "income", "renters", "poverty", "college", "median_rent")
-    near = out.select(F.explode(F.transform(F.array(*[F.lit(k) for k in (-3, -2, -1, 1, 2, 3)]), lambda k: F.col("cell") + k)).alias("cell"), F.col("rent_change_total").alias("x"))
-    return features.interactions(out.join(near.groupBy("cell").agg(F.avg("x").alias("rent_change_total_lag")), "cell", "left"))
+    return features.vulnerability(base, "income", "renters", "poverty", "college", "median_rent")
+
+
+def cell_table(spark, d) -> DataFrame:
+    out = vulnerable(spark, d)
+    x, y = geo.pseudo_xy("cell")
+    return features.interactions(features.neighbourhood(out.withColumns({"x": x, "y": y}), "cell", LAGGED)).drop("x", "y")
 
 
 def listed(columns) -> str:
@@ -227,7 +235,7 @@ def listed(columns) -> str:
 
 @query(f"WITH {CELL} SELECT cell, {listed(VULN)} FROM feat")
 def vulnerability_index(spark, d):
-    return rounded(cell_table(spark, d), *VULN).select("cell", *VULN)
+    return rounded(vulnerable(spark, d), *VULN).select("cell", *VULN)
 
 
 @query(f"WITH {CELL} SELECT cell, {listed(INTER)} FROM feat")
@@ -235,6 +243,15 @@ def interactions(spark, d):
     return rounded(cell_table(spark, d), *INTER).select("cell", *INTER)
 
 
+LAGS = [f"{c}_lag" for c in LAGGED]
+
+
+@query(f"WITH {CELL} SELECT cell, {listed(LAGS)} FROM feat")
+def feature_lags(spark, d):
+    """The means of four features over the six nearest cells."""
+    return rounded(cell_table(spark, d), *LAGS).select("cell", *LAGS)
+
+
 COUNT_MISSING = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in FEATURES)
 
 

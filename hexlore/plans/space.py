@@ -101,8 +101,8 @@ def areal_interp_polygon(spark, d):
     zone = [(0.1, 0.1), (0.9, 0.1), (0.9, 0.9), (0.5, 0.4), (0.1, 0.9)]
     zones = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in zone])], "zone long, outline array<struct<x:double,y:double>>")
     rings = cells(spark, d).withColumn("ring", geo.ring(F.col("q"), F.col("r"), EDGE))
-    pairs = geo.with_clip_area(rings.join(F.broadcast(zones)), "outline", "ring", "shared")  # one zone, so the broadcast has one row
-    return pairs.where("shared > 0").select("zone", "q", "r", r6(F.col("shared") / geo.cell_area(EDGE)).alias("inside"))
+    pairs = geo.polygon_overlay(zones, rings, "outline", "ring", 8 * EDGE)
+    return pairs.select("zone", "q", "r", r6(F.col("shared") / geo.cell_area(EDGE)).alias("inside"))
 
 
 @query(f"WITH {POINTS}, {SUP} SELECT DISTINCT pt.k FROM pt JOIN sp ON abs(pt.x - sp.x) <= 0.02 AND abs(pt.y - sp.y) <= 0.02")
