@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexlore.llm.common import cut_lineage, words
+from hexlore.operators.shape import in_order
 
 #: Ranks are numbers of RANK_BITS bits; intervals share the first LEVEL_BITS, parts of intervals twice as many.
 RANK_BITS, LEVEL_BITS = 40, 10
@@ -34,15 +35,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def in_order(df: DataFrame, by: Column, name: str) -> DataFrame:
-    """df with its place (from 0) in an order; ranges of the order are numbered apart, then shifted by what is before them."""
-    where = {"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}
-    rows = cut_lineage(df.repartitionByRange(by).sortWithinPartitions(by).withColumns(where))
-    parts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n"))
-    before = parts.select("part_", (F.sum("n").over(Window.orderBy("part_")) - F.col("n")).alias("before_"))
-    return rows.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("at_")).drop("part_", "at_", "before_")
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, most_copies: int) -> DataFrame:
     """source, source_size, target from (source, source_size): ratio times all sizes shared by weight, under the caps.
 
@@ -51,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, most_copie
     from sums over all sources: the level of those that are not full rises until no more of them fill.
     """
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    s = in_order(sizes.select("source", "source_size"), F.col("source").asc_nulls_last(), "place").withColumn("w", w).withColumn("cap", most_copies * F.col("source_size"))
+    s = in_order(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "place").withColumn("w", w).withColumn("cap", most_copies * F.col("source_size"))
     s = cut_lineage(s.withColumn("fill", F.col("cap") / F.col("w")).drop("place"))
     level, n_full = float("-inf"), -1
     while True:
