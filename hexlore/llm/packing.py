@@ -69,7 +69,7 @@ class BestFit:
 
 
 def pack(
-    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, open_bins: int = 1024, with_ids: bool = False
+    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, with_ids: bool = False
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and the ids, if asked for).
 
