@@ -22,7 +22,7 @@ SCHEMAS = {
     "evictions": "eviction_id long, latitude double, longitude double, filing_date date, case_type string, outcome string",
     "land_values": "parcel_id long, latitude double, longitude double, assessment_date date, land_value double, improvement_value double",
     "ownership": "property_id long, latitude double, longitude double, owner_name string, owner_type string, acquisition_date date, units int",
-    "statistics": "unit_id string, variable string, estimate double, ring array<struct<x:double,y:double>>",
+    "statistics": "unit_id string, variable string, estimate double",
     "roads": "road_id string, RTTYP string, line array<struct<x:double,y:double>>",
     "rent_history": "Period string, `Building Address` string, `Building Name` string, `Zip Code` string, `Asking Rent Per Unit` double",
 }
@@ -64,9 +64,10 @@ def geojson_features(lines: DataFrame, properties: str, column: str = "value") -
 
 
 def read_statistics(spark: SparkSession, path: str, variables: list[str] = STATISTICS) -> DataFrame:
-    """unit_id, variable, estimate, ring in long form from Parquet, the variables asked for alone; other columns are left out."""
+    """unit_id, variable, estimate and, where there is one, ring, in long form from Parquet; the variables asked for alone."""
     rows = load(spark, path, "statistics")
-    return rows.select("unit_id", "variable", F.col("estimate").cast("double").alias("estimate"), "ring").where(F.col("variable").isin(variables))
+    kept = ["unit_id", "variable", F.col("estimate").cast("double").alias("estimate"), *["ring"] * ("ring" in rows.columns)]
+    return rows.select(*kept).where(F.col("variable").isin(variables))
 
 
 def read_roads(spark: SparkSession, path: str, classes: tuple[str, ...] = ("I", "S")) -> DataFrame:
