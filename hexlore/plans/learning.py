@@ -12,7 +12,8 @@ from hexlore.operators import cluster, geo, models, score, shape
 from hexlore.plans.registry import query, r6, rounded, table
 
 FLAT = "fl AS (SELECT vec_id, label, unnest(range(len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
-PRED = f"""{FLAT}, ce AS (SELECT label AS c, d, avg(x) AS m FROM fl GROUP BY label, d), di AS (SELECT vec_id, label, c, sqrt(sum((x - m) ** 2)) AS dist FROM fl JOIN ce USING (d) GROUP BY vec_id, label, c),
+PRED = f"""{FLAT}, ce AS (SELECT label AS c, d, avg(x) AS m FROM fl GROUP BY label, d), di AS (SELECT vec_id, label, c, sqrt(sum((x - m) ** 2)) AS dist FROM fl
+JOIN ce USING (d) GROUP BY vec_id, label, c),
 pr AS (SELECT vec_id, label AS actual, arg_min(c, (round(dist, 9), c)) AS predicted FROM di GROUP BY vec_id, label)"""
 
 
@@ -40,14 +41,16 @@ def predicted(spark, d) -> DataFrame:
     return distances(spark, d).select("vec_id", F.col("label").alias("actual"), nearest["c"].alias("predicted"))
 
 
-@query(f"WITH {FLAT}, s AS (SELECT d, avg(x) AS m, stddev_samp(x) AS s FROM fl GROUP BY d) SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - m) / nullif(s, 0), 6) AS z FROM fl JOIN s USING (d) WHERE d < 8")
+@query(f"""WITH {FLAT}, s AS (SELECT d, avg(x) AS m, stddev_samp(x) AS s FROM fl GROUP BY d)
+SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - m) / nullif(s, 0), 6) AS z FROM fl JOIN s USING (d) WHERE d < 8""")
 def zscore_matrix(spark, d):
     wide = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(str(k)) for k in range(8)])
     z = nulls.with_zscores(wide, {f"z{k}": str(k) for k in range(8)}).select("vec_id", *[F.col(f"z{k}").alias(str(k)) for k in range(8)])
     return shape.pivot_longer(z, ["vec_id"], [str(k) for k in range(8)], "d", "z").select("vec_id", F.col("d").cast("int").alias("d"), r6("z").alias("z"))
 
 
-@query(f"WITH {FLAT}, s AS (SELECT d, avg(x) AS m, stddev_samp(x) AS s FROM fl GROUP BY d) SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - m) / nullif(s, 0), 6) AS z FROM fl JOIN s USING (d)")
+@query(f"""WITH {FLAT}, s AS (SELECT d, avg(x) AS m, stddev_samp(x) AS s FROM fl GROUP BY d)
+SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - m) / nullif(s, 0), 6) AS z FROM fl JOIN s USING (d)""")
 def zscore_matrix_all(spark, d):
     """zscore_matrix, whose SQL ends at the eighth dimension, over all dimensions."""
     f = flat(spark, d)
@@ -55,16 +58,19 @@ def zscore_matrix_all(spark, d):
     return f.join(by, "d").select("vec_id", "d", r6(nulls.safe_div(F.col("x") - F.col("m"), "s")).alias("z"))
 
 
-PAIR = "pa AS (SELECT a.vec_id AS i, a.label AS li, b.vec_id AS j, b.label AS lj, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist FROM embeddings a JOIN embeddings b ON true)"
+PAIR = """pa AS (SELECT a.vec_id AS i, a.label AS li, b.vec_id AS j, b.label AS lj, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist
+FROM embeddings a JOIN embeddings b ON true)"""
 
 
-@query(f"""WITH {PAIR}, m AS (SELECT i, li, lj, sum(dist) AS t, count(*) AS n FROM pa GROUP BY i, li, lj), ab AS (SELECT i, li, max(CASE WHEN li = lj AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN li <> lj THEN t / n END) AS b FROM m GROUP BY i, li)
+@query(f"""WITH {PAIR}, m AS (SELECT i, li, lj, sum(dist) AS t, count(*) AS n FROM pa GROUP BY i, li, lj), ab AS (SELECT i, li, max(CASE
+WHEN li = lj AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN li <> lj THEN t / n END) AS b FROM m GROUP BY i, li)
 SELECT i AS vec_id, CAST(li AS VARCHAR) AS label, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) AS silhouette FROM ab""")
 def pairwise_silhouette(spark, d):
     return rounded(cluster.silhouette(table(spark, d, "embeddings"), "vec_id", "embedding", "label"), "silhouette")
 
 
-@query(f"""WITH {FLAT}, g AS (SELECT label, d, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM fl GROUP BY label, d), c AS (SELECT d, sum(n * m) / sum(n) AS g FROM g GROUP BY d)
+@query(f"""WITH {FLAT}, g AS (SELECT label, d, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM fl GROUP BY label, d), c AS (SELECT d, sum(n * m) / sum(n) AS g FROM g
+GROUP BY d)
 SELECT round(sum(n * v) + sum(n * (m - g) ** 2), 6) AS totss, round(sum(n * v), 6) AS withinss, round(sum(n * (m - g) ** 2), 6) AS betweenss FROM g JOIN c USING (d)""")
 def wcss_bss(spark, d):
     return rounded(cluster.sums_of_squares(table(spark, d, "embeddings"), "embedding", "label"), "totss", "withinss", "betweenss")
@@ -87,9 +93,12 @@ def dbscan_core_noise(spark, d):
     return cluster.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", EPS).select("vec_id", "is_core", (F.col("cluster") == 0).alias("noise"))
 
 
-IDS = f"""WITH RECURSIVE {PAIR}, nb AS (SELECT i, j FROM pa WHERE dist <= {EPS}), co AS (SELECT i FROM nb GROUP BY i HAVING count(*) >= 5), ln AS (SELECT nb.i, nb.j FROM nb JOIN co a ON nb.i = a.i JOIN co b ON nb.j = b.i),
-re AS (SELECT i, i AS j FROM co UNION SELECT re.i, ln.j FROM re JOIN ln ON re.j = ln.i), rt AS (SELECT i, min(j) AS root FROM re GROUP BY i), nu AS (SELECT i, dense_rank() OVER (ORDER BY root) AS id FROM rt),
-cl AS (SELECT e.vec_id, CAST(coalesce((SELECT id FROM nu WHERE nu.i = e.vec_id), (SELECT min(id) FROM nu JOIN nb ON nb.j = nu.i WHERE nb.i = e.vec_id), 0) AS INTEGER) AS cluster FROM embeddings e)"""
+IDS = f"""WITH RECURSIVE {PAIR}, nb AS (SELECT i, j FROM pa WHERE dist <= {EPS}), co AS (SELECT i FROM nb GROUP BY i HAVING count(*) >= 5), ln AS (SELECT nb.i, nb.j
+FROM nb JOIN co a ON nb.i = a.i JOIN co b ON nb.j = b.i),
+re AS (SELECT i, i AS j FROM co UNION SELECT re.i, ln.j FROM re JOIN ln ON re.j = ln.i), rt AS (SELECT i, min(j) AS root FROM re
+GROUP BY i), nu AS (SELECT i, dense_rank() OVER (ORDER BY root) AS id FROM rt),
+cl AS (SELECT e.vec_id, CAST(coalesce((SELECT id FROM nu WHERE nu.i = e.vec_id), (SELECT min(id) FROM nu JOIN nb ON nb.j = nu.i
+WHERE nb.i = e.vec_id), 0) AS INTEGER) AS cluster FROM embeddings e)"""
 
 
 @query(f"{IDS} SELECT vec_id, cluster FROM cl")
@@ -124,7 +133,9 @@ def pca_two(spark, d):
     return out.select("vec_id", *[F.get("pca", F.lit(k)).alias(f"pc{k + 1}") for k in range(2)], F.lit(shares[0]).alias("variance_1"))
 
 
-@query(f"WITH {PRED}, b AS (SELECT predicted, max(n) AS best FROM (SELECT actual, predicted, count(*) AS n FROM pr GROUP BY 1, 2) GROUP BY predicted) SELECT round((SELECT avg(CAST(actual = predicted AS INTEGER)) FROM pr), 6) AS agreement, round((SELECT sum(best) FROM b) * 1.0 / (SELECT count(*) FROM pr), 6) AS aligned_agreement")
+@query(f"""WITH {PRED}, b AS (SELECT predicted, max(n) AS best FROM (SELECT actual, predicted, count(*) AS n FROM pr GROUP BY 1, 2) GROUP BY predicted)
+SELECT round((SELECT avg(CAST(actual = predicted AS INTEGER)) FROM pr), 6) AS agreement, round((SELECT sum(best) FROM b) * 1.0 / (SELECT count(*)
+FROM pr), 6) AS aligned_agreement""")
 def label_agreement(spark, d):
     return rounded(cluster.agreement(predicted(spark, d), "actual", "predicted"), "agreement", "aligned_agreement")
 
@@ -134,8 +145,12 @@ def stratified_split(spark, d):
     return models.stratified_split(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label")
 
 
-MATRIX = f"{PRED}, lv AS (SELECT actual AS l FROM pr UNION SELECT predicted FROM pr), cm AS (SELECT a.l AS actual, b.l AS predicted, coalesce(n, 0) AS n FROM lv a CROSS JOIN lv b LEFT JOIN (SELECT actual, predicted, count(*) AS n FROM pr GROUP BY 1, 2) c ON a.l = c.actual AND b.l = c.predicted)"
-BYC = f"{MATRIX}, bc AS (SELECT l AS class, (SELECT sum(n) FROM cm WHERE actual = l) AS n, (SELECT sum(n) FROM cm WHERE predicted = l) AS np, (SELECT sum(n) FROM cm WHERE predicted = l AND actual = l) AS tp FROM lv), f1 AS (SELECT *, CASE WHEN tp > 0 THEN 2.0 * tp / (n + np) END AS f1 FROM bc)"
+MATRIX = f"""{PRED}, lv AS (SELECT actual AS l FROM pr UNION SELECT predicted FROM pr),
+cm AS (SELECT a.l AS actual, b.l AS predicted, coalesce(n, 0) AS n FROM lv a CROSS JOIN lv b LEFT JOIN (SELECT actual, predicted, count(*) AS n FROM pr
+GROUP BY 1, 2) c ON a.l = c.actual AND b.l = c.predicted)"""
+BYC = f"""{MATRIX}, bc AS (SELECT l AS class, (SELECT sum(n) FROM cm WHERE actual = l) AS n, (SELECT sum(n) FROM cm WHERE predicted = l) AS np, (SELECT sum(n) FROM cm
+WHERE predicted = l AND actual = l) AS tp FROM lv),
+f1 AS (SELECT *, CASE WHEN tp > 0 THEN 2.0 * tp / (n + np) END AS f1 FROM bc)"""
 
 
 @query(f"WITH {MATRIX} SELECT actual, predicted, CAST(n AS BIGINT) AS n FROM cm")
@@ -143,7 +158,8 @@ def confusion_matrix(spark, d):
     return models.confusion(predicted(spark, d), "actual", "predicted")
 
 
-@query(f"WITH {BYC}, s AS (SELECT sum(tp) * 1.0 / sum(n) AS po, sum(n * np) * 1.0 / (sum(n) * sum(n)) AS pe, avg(f1) AS f FROM f1) SELECT round(CAST(po AS DOUBLE), 6) AS accuracy, round(CAST((po - pe) / (1 - pe) AS DOUBLE), 6) AS kappa, round(CAST(f AS DOUBLE), 6) AS mean_f1 FROM s")
+@query(f"""WITH {BYC}, s AS (SELECT sum(tp) * 1.0 / sum(n) AS po, sum(n * np) * 1.0 / (sum(n) * sum(n)) AS pe, avg(f1) AS f FROM f1)
+SELECT round(CAST(po AS DOUBLE), 6) AS accuracy, round(CAST((po - pe) / (1 - pe) AS DOUBLE), 6) AS kappa, round(CAST(f AS DOUBLE), 6) AS mean_f1 FROM s""")
 def accuracy_kappa(spark, d):
     return rounded(models.metrics(models.confusion(predicted(spark, d), "actual", "predicted")), "accuracy", "kappa", "mean_f1")
 
@@ -153,14 +169,16 @@ def f1_by_class(spark, d):
     return models.by_class(models.confusion(predicted(spark, d), "actual", "predicted")).select("class", r6("f1").alias("f1"))
 
 
-@query(f"WITH {PRED} SELECT actual AS class, 'centre' AS model, round(avg(CAST(actual = predicted AS INTEGER)), 6) AS accuracy FROM pr GROUP BY actual UNION ALL SELECT actual, 'constant', round(avg(CAST(actual = 3 AS INTEGER)), 6) FROM pr GROUP BY actual")
+@query(f"""WITH {PRED} SELECT actual AS class, 'centre' AS model, round(avg(CAST(actual = predicted AS INTEGER)), 6) AS accuracy FROM pr GROUP BY actual
+UNION ALL SELECT actual, 'constant', round(avg(CAST(actual = 3 AS INTEGER)), 6) FROM pr GROUP BY actual""")
 def accuracy_by_class_long(spark, d):
     hit = lambda c: F.avg((F.col("actual") == c).cast("double"))
     wide = predicted(spark, d).groupBy(F.col("actual").alias("class")).agg(hit(F.col("predicted")).alias("centre"), hit(F.lit(3)).alias("constant"))
     return rounded(shape.pivot_longer(wide, ["class"], ["centre", "constant"], "model", "accuracy"), "accuracy")
 
 
-@query(f"WITH {PRED}, u AS (SELECT 'Actual' AS type, actual AS class FROM pr UNION ALL SELECT 'Predicted', predicted FROM pr) SELECT type, class, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY type), 6) AS proportion FROM u GROUP BY 1, 2")
+@query(f"""WITH {PRED}, u AS (SELECT 'Actual' AS type, actual AS class FROM pr UNION ALL SELECT 'Predicted', predicted FROM pr)
+SELECT type, class, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY type), 6) AS proportion FROM u GROUP BY 1, 2""")
 def prediction_distribution(spark, d):
     from pyspark.sql import Window
 
@@ -173,11 +191,14 @@ def agreement_counts(spark, d):
     return models.agreement_counts(predicted(spark, d), "actual", "predicted")
 
 
-IMP = "ia AS (SELECT 'd' || d AS feature, stddev_samp(x) AS imp_a FROM fl WHERE d < 12 GROUP BY d), ib AS (SELECT 'd' || d AS feature, avg(abs(x)) AS imp_b FROM fl WHERE d BETWEEN 4 AND 15 GROUP BY d)"
+IMP = """ia AS (SELECT 'd' || d AS feature, stddev_samp(x) AS imp_a FROM fl WHERE d < 12 GROUP BY d),
+ib AS (SELECT 'd' || d AS feature, avg(abs(x)) AS imp_b FROM fl WHERE d BETWEEN 4 AND 15 GROUP BY d)"""
 
 
-@query(f"""WITH {FLAT}, {IMP}, j AS (SELECT coalesce(ia.feature, ib.feature) AS feature, imp_a, imp_b FROM ia FULL JOIN ib ON ia.feature = ib.feature), n AS (SELECT *, (imp_a - min(imp_a) OVER ()) / (max(imp_a) OVER () - min(imp_a) OVER ()) * 100 AS norm_a, (imp_b - min(imp_b) OVER ()) / (max(imp_b) OVER () - min(imp_b) OVER ()) * 100 AS norm_b FROM j)
-SELECT feature, round(norm_a, 4) AS norm_a, round(norm_b, 4) AS norm_b, round(list_avg(list_filter([norm_a, norm_b], lambda x: x IS NOT NULL)), 4) AS importance_avg FROM n""")
+@query(f"""WITH {FLAT}, {IMP}, j AS (SELECT coalesce(ia.feature, ib.feature) AS feature, imp_a, imp_b FROM ia FULL
+JOIN ib ON ia.feature = ib.feature), n AS (SELECT *, (imp_a - min(imp_a) OVER ()) / (max(imp_a) OVER () - min(imp_a) OVER ()) * 100 AS norm_a, (imp_b - min(imp_b) OVER ()) / (max(imp_b) OVER () - min(imp_b) OVER ()) * 100 AS norm_b FROM j)
+SELECT feature, round(norm_a, 4) AS norm_a, round(norm_b, 4) AS norm_b, round(list_avg(list_filter([norm_a, norm_b], lambda x: x IS NOT NULL)), 4) AS importance_avg
+FROM n""")
 def importance_merge(spark, d):
     f = flat(spark, d)
     name = F.concat(F.lit("d"), F.col("d").cast("string")).alias("feature")
@@ -268,7 +289,8 @@ def variable_importance(spark, d):
     return models.merge_importance(tables)
 
 
-SEG = "sg AS (SELECT c_mktsegment AS cluster, c_acctbal AS rent, c_custkey * 7919 % 1000 / 10.0 AS demo, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey * 104729 % 1000 / 10.0 END AS vuln FROM customer)"
+SEG = """sg AS (SELECT c_mktsegment AS cluster, c_acctbal AS rent, c_custkey * 7919 % 1000 / 10.0 AS demo, CASE
+WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey * 104729 % 1000 / 10.0 END AS vuln FROM customer)"""
 PROF = f"{SEG}, pf AS (SELECT cluster, count(*) AS n, avg(rent) AS mean_rent, avg(demo) AS mean_demo, avg(vuln) AS mean_vuln FROM sg GROUP BY cluster)"
 MEANS = ["mean_rent", "mean_demo", "mean_vuln"]
 
@@ -291,13 +313,16 @@ def cluster_profiles(spark, d):
     return rounded(profiled(spark, d), *MEANS)
 
 
-@query(f"""WITH {SEG}, md AS (SELECT cluster, median(rent) AS a, median(demo) AS b, median(vuln) AS c FROM sg GROUP BY cluster), e AS (SELECT md.cluster, avg(CAST(rent <= a AS INTEGER)) AS a, avg(CAST(demo <= b AS INTEGER)) AS b, avg(CASE WHEN vuln IS NOT NULL THEN CAST(vuln <= c AS INTEGER) END) AS c FROM md CROSS JOIN sg GROUP BY md.cluster)
+@query(f"""WITH {SEG}, md AS (SELECT cluster, median(rent) AS a, median(demo) AS b, median(vuln) AS c FROM sg
+GROUP BY cluster), e AS (SELECT md.cluster, avg(CAST(rent <= a AS INTEGER)) AS a, avg(CAST(demo <= b AS INTEGER)) AS b, avg(CASE
+WHEN vuln IS NOT NULL THEN CAST(vuln <= c AS INTEGER) END) AS c FROM md CROSS JOIN sg GROUP BY md.cluster)
 SELECT cluster, {" || ' + ' || ".join(f"CASE WHEN {c} > 0.66 THEN 'High' WHEN {c} > 0.33 THEN 'Moderate' ELSE 'Low' END || ' {n}'" for c, n in zip('abc', ('Rent', 'Demolition', 'Vulnerability')))} AS label_text FROM e""")
 def cluster_labels_text(spark, d):
     return cluster.labels(segmented(spark, d), "cluster", {"Rent": "rent", "Demolition": "demo", "Vulnerability": "vuln"})
 
 
-@query(f"WITH {PROF}, nm AS (SELECT cluster, {', '.join(f'{norm(c)} AS {c}' for c in MEANS)} FROM pf) SELECT cluster, unnest([{', '.join(repr(c) for c in MEANS)}]) AS variable, round(unnest([{', '.join(MEANS)}]), 6) AS value FROM nm")
+@query(f"""WITH {PROF}, nm AS (SELECT cluster, {', '.join(f'{norm(c)} AS {c}' for c in MEANS)} FROM pf)
+SELECT cluster, unnest([{', '.join(repr(c) for c in MEANS)}]) AS variable, round(unnest([{', '.join(MEANS)}]), 6) AS value FROM nm""")
 def profile_normalized_long(spark, d):
     n = nulls.with_minmax100(profiled(spark, d), {f"n_{c}": c for c in MEANS}).select("cluster", *[F.col(f"n_{c}").alias(c) for c in MEANS])
     return rounded(shape.pivot_longer(n, ["cluster"], MEANS), "value")
@@ -329,9 +354,12 @@ def expected_risk(spark, d):
     return rounded(expected(spark, d).join(known, "vec_id"), "expected")
 
 
-ENS = f"""{SOFT}, en AS (SELECT so.vec_id, CASE WHEN so.vec_id % 10 = 0 THEN NULL ELSE expected END AS el, predicted * 12.0 AS rf, (actual + 1) * 11.0 AS xg FROM so JOIN pr USING (vec_id)),
-es AS (SELECT vec_id, round(CAST(greatest(0, least(100, CASE WHEN el IS NULL THEN (rf + xg) / 2 ELSE el * 0.6 / 2.0 + rf * 0.65 / 2.0 + xg * 0.75 / 2.0 END)) AS DOUBLE), 6) AS risk_score FROM en),
-ec AS (SELECT *, CASE WHEN risk_score <= 25 THEN 'Low' WHEN risk_score <= 50 THEN 'Moderate' WHEN risk_score <= 75 THEN 'High' WHEN risk_score > 75 THEN 'Very High' END AS risk_category FROM es)"""
+ENS = f"""{SOFT}, en AS (SELECT so.vec_id, CASE WHEN so.vec_id % 10 = 0 THEN NULL ELSE expected END AS el, predicted * 12.0 AS rf, (actual + 1) * 11.0 AS xg FROM so
+JOIN pr USING (vec_id)),
+es AS (SELECT vec_id, round(CAST(greatest(0, least(100, CASE
+WHEN el IS NULL THEN (rf + xg) / 2 ELSE el * 0.6 / 2.0 + rf * 0.65 / 2.0 + xg * 0.75 / 2.0 END)) AS DOUBLE), 6) AS risk_score FROM en),
+ec AS (SELECT *, CASE WHEN risk_score <= 25 THEN 'Low' WHEN risk_score <= 50 THEN 'Moderate' WHEN risk_score <= 75 THEN 'High'
+WHEN risk_score > 75 THEN 'Very High' END AS risk_category FROM es)"""
 
 
 def ensembled(spark, d) -> DataFrame:
@@ -363,24 +391,30 @@ def top10_risk(spark, d):
     return score.top(ensembled(spark, d), "risk_score", "vec_id")
 
 
-@query(f"WITH {ENS}, m AS (SELECT min(risk_score) AS lo, max(risk_score) AS hi FROM ec) SELECT CAST(least(50, floor((risk_score - lo) * 50 / (hi - lo)) + 1) AS INTEGER) AS bin, count(*) AS n FROM ec CROSS JOIN m GROUP BY 1")
+@query(f"""WITH {ENS}, m AS (SELECT min(risk_score) AS lo, max(risk_score) AS hi FROM ec)
+SELECT CAST(least(50, floor((risk_score - lo) * 50 / (hi - lo)) + 1) AS INTEGER) AS bin, count(*) AS n FROM ec CROSS JOIN m GROUP BY 1""")
 def score_histogram(spark, d):
     return score.histogram(ensembled(spark, d), "risk_score")
 
 
-@query(f"WITH {ENS} SELECT count(*) AS n_cells, round(avg(risk_score), 4) AS mean_score, round(median(risk_score), 4) AS median_score, count(CASE WHEN risk_category IN ('High', 'Very High') THEN 1 END) AS n_high, round(count(CASE WHEN risk_category IN ('High', 'Very High') THEN 1 END) * 100.0 / count(*), 4) AS pct_high FROM ec")
+@query(f"""WITH {ENS} SELECT count(*) AS n_cells, round(avg(risk_score), 4) AS mean_score, round(median(risk_score), 4) AS median_score, count(CASE
+WHEN risk_category IN ('High', 'Very High') THEN 1 END) AS n_high, round(count(CASE
+WHEN risk_category IN ('High', 'Very High') THEN 1 END) * 100.0 / count(*), 4) AS pct_high FROM ec""")
 def dashboard_metrics(spark, d):
     out = score.dashboard(ensembled(spark, d), "risk_score", "risk_category")
     return out.withColumns({c: F.round(c, 4) for c in ("mean_score", "median_score", "pct_high")})
 
 
-@query("SELECT min(c_acctbal) AS min, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(median(c_acctbal), 4) AS median, round(avg(c_acctbal), 4) AS mean, round(quantile_cont(c_acctbal, 0.75), 4) AS q3, max(c_acctbal) AS max FROM customer")
+@query("""SELECT min(c_acctbal) AS min, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(median(c_acctbal), 4) AS median, round(avg(c_acctbal), 4) AS mean,
+round(quantile_cont(c_acctbal, 0.75), 4) AS q3, max(c_acctbal) AS max FROM customer""")
 def five_number_summary(spark, d):
     out = score.five_numbers(table(spark, d, "customer"), "c_acctbal")
     return out.withColumns({c: F.round(c, 4) for c in ("q1", "median", "mean", "q3")})
 
 
-ECDF = "ed AS (SELECT c_custkey, rent, demo, vuln, CASE WHEN rent IS NOT NULL THEN cume_dist() OVER (PARTITION BY rent IS NULL ORDER BY rent) END AS er, CASE WHEN demo IS NOT NULL THEN cume_dist() OVER (PARTITION BY demo IS NULL ORDER BY demo) END AS ed, CASE WHEN vuln IS NOT NULL THEN cume_dist() OVER (PARTITION BY vuln IS NULL ORDER BY vuln) END AS ev FROM sk)"
+ECDF = """ed AS (SELECT c_custkey, rent, demo, vuln, CASE WHEN rent IS NOT NULL THEN cume_dist() OVER (PARTITION BY rent IS NULL ORDER BY rent) END AS er, CASE
+WHEN demo IS NOT NULL THEN cume_dist() OVER (PARTITION BY demo IS NULL ORDER BY demo) END AS ed, CASE
+WHEN vuln IS NOT NULL THEN cume_dist() OVER (PARTITION BY vuln IS NULL ORDER BY vuln) END AS ev FROM sk)"""
 SK = SEG.replace("sg AS (SELECT", "sk AS (SELECT c_custkey,")
 
 
@@ -398,7 +432,8 @@ def contributing_factors(spark, d):
     return score.factors(segmented(spark, d), "c_custkey", ["vuln", "rent", "demo"], top_n=2).select("c_custkey", "contributing_factors")
 
 
-@query(f"WITH {ENS} SELECT vec_id, '<b>Cell ' || vec_id || '</b><br>Score: ' || format('{{:,.1f}}', round_even(risk_score, 1)) || '<br>Risk: ' || risk_category || '<br>' || CASE WHEN vec_id % 3 = 0 THEN 'NA' ELSE 'rent<br>demo' END AS popup FROM ec")
+@query(f"""WITH {ENS} SELECT vec_id, '<b>Cell ' || vec_id || '</b><br>Score: ' || format('{{:,.1f}}', round_even(risk_score, 1)) || '<br>Risk: ' || risk_category || '<br>' || CASE
+WHEN vec_id % 3 = 0 THEN 'NA' ELSE 'rent<br>demo' END AS popup FROM ec""")
 def popup_text(spark, d):
     e = ensembled(spark, d)
     why = F.when(F.col("vec_id") % 3 != 0, F.lit("rent; demo"))

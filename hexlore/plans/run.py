@@ -97,9 +97,12 @@ S3 = repr(geo.SQRT3)
 def grid_sql() -> str:
     dx, dy = f"({DEGREE} * {math.cos(math.radians(ORIGIN[1]))!r})", DEGREE
     return f"""WITH ends AS (SELECT ({WEST} - {ORIGIN[0]}) * {dx} AS x0, ({SOUTH} - {ORIGIN[1]}) * {dy} AS y0, ({WEST} + {SPAN} - {ORIGIN[0]}) * {dx} AS x1, ({SOUTH} + {SPAN} - {ORIGIN[1]}) * {dy} AS y1),
-cells AS (SELECT q, r, {EDGE}::DOUBLE * {S3}::DOUBLE * (q + r / 2.0) AS x, {EDGE}::DOUBLE * 1.5 * r AS y FROM (SELECT unnest(range(-40, 41)) AS q) CROSS JOIN (SELECT unnest(range(-40, 41)) AS r)),
+cells AS (SELECT q, r, {EDGE}::DOUBLE * {S3}::DOUBLE * (q + r / 2.0) AS x, {EDGE}::DOUBLE * 1.5 * r AS y FROM (SELECT unnest(range(-40, 41)) AS q) CROSS
+JOIN (SELECT unnest(range(-40, 41)) AS r)),
 inside AS (SELECT q, r, x, y FROM cells, ends WHERE x > x0 AND x < x1 AND y > y0 AND y < y1)
-SELECT CAST(q AS BIGINT) AS q, CAST(r AS BIGINT) AS r, CAST(dense_rank() OVER (ORDER BY (q + 1048576) * 2097152 + (r + 1048576)) AS INTEGER) AS hex_id, round(x / {dx} + {ORIGIN[0]}, 6) AS longitude, round(y / {dy} + {ORIGIN[1]}, 6) AS latitude, round(1.5 * {S3}::DOUBLE * {EDGE}::DOUBLE * {EDGE}::DOUBLE / 1000000, 6) AS area_km2 FROM inside"""
+SELECT CAST(q AS BIGINT) AS q, CAST(r AS BIGINT) AS r, CAST(dense_rank() OVER (ORDER BY (q + 1048576) * 2097152 + (r + 1048576)) AS INTEGER) AS hex_id,
+round(x / {dx} + {ORIGIN[0]}, 6) AS longitude, round(y / {dy} + {ORIGIN[1]}, 6) AS latitude,
+round(1.5 * {S3}::DOUBLE * {EDGE}::DOUBLE * {EDGE}::DOUBLE / 1000000, 6) AS area_km2 FROM inside"""
 
 
 @query(grid_sql())
@@ -119,14 +122,17 @@ def zones(spark) -> DataFrame:
     return spark.createDataFrame([(z, [{"x": x, "y": y} for x, y in ring]) for z, ring in ZONES.items()], f"zone int, ring {geo.RING}")
 
 
-@query(f"""WITH {space.POINTS}, {SIDES}, c AS (SELECT k.k, zone, count(*) AS n FROM pt k JOIN sides ON (y0 > k.y) <> (y1 > k.y) AND k.x < (x1 - x0) * (k.y - y0) / (y1 - y0) + x0 GROUP BY k.k, zone HAVING count(*) % 2 = 1)
+@query(f"""WITH {space.POINTS}, {SIDES}, c AS (SELECT k.k, zone, count(*) AS n FROM pt k
+JOIN sides ON (y0 > k.y) <> (y1 > k.y) AND k.x < (x1 - x0) * (k.y - y0) / (y1 - y0) + x0 GROUP BY k.k, zone HAVING count(*) % 2 = 1)
 SELECT pt.k, CAST(zone AS INTEGER) AS zone FROM pt LEFT JOIN c ON pt.k = c.k""")
 def point_in_polygon(spark, d):
     """Customers with the zones that they are in: none, one, or a row for each."""
     return geo.points_in_polygons(space.points(spark, d), zones(spark), "ring", 0.25).select("k", "zone")
 
 
-@query(f"WITH {SIDES} SELECT CAST(zone AS INTEGER) AS zone, round(CAST(abs(sum(x0 * y1 - x1 * y0)) / 2 AS DOUBLE), 6) AS area, round(CAST(sum((x0 + x1) * (x0 * y1 - x1 * y0)) / (3 * sum(x0 * y1 - x1 * y0)) AS DOUBLE), 6) AS cx, round(CAST(sum((y0 + y1) * (x0 * y1 - x1 * y0)) / (3 * sum(x0 * y1 - x1 * y0)) AS DOUBLE), 6) AS cy FROM sides GROUP BY zone")
+@query(f"""WITH {SIDES} SELECT CAST(zone AS INTEGER) AS zone, round(CAST(abs(sum(x0 * y1 - x1 * y0)) / 2 AS DOUBLE), 6) AS area,
+round(CAST(sum((x0 + x1) * (x0 * y1 - x1 * y0)) / (3 * sum(x0 * y1 - x1 * y0)) AS DOUBLE), 6) AS cx,
+round(CAST(sum((y0 + y1) * (x0 * y1 - x1 * y0)) / (3 * sum(x0 * y1 - x1 * y0)) AS DOUBLE), 6) AS cy FROM sides GROUP BY zone""")
 def polygon_centroids(spark, d):
     cx, cy = geo.ring_centroid(F.col("ring"))
     return rounded(zones(spark).select("zone", geo.ring_area(F.col("ring")).alias("area"), cx.alias("cx"), cy.alias("cy")), "area", "cx", "cy")
@@ -153,10 +159,13 @@ def tract_totals_on_cells(spark, d):
 
 
 LAG_COLUMNS = {"rent_change_total": "v", "demo_density": "k % 17 * 1.5", "median_income": "v + k % 5", "vulnerability_index": "CASE WHEN k % 9 = 0 THEN NULL ELSE k % 101 * 1.0 END"}
-NEAR = f"{space.POINTS}, lc AS (SELECT k, x, y, {', '.join(f'{e} AS {c}' for c, e in LAG_COLUMNS.items())} FROM pt), nn AS (SELECT a.k AS src, b.*, row_number() OVER (PARTITION BY a.k ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.k) AS rank FROM lc a JOIN lc b ON a.k <> b.k AND abs(a.x - b.x) < 0.5 AND abs(a.y - b.y) < 0.5)"
+NEAR = f"""{space.POINTS}, lc AS (SELECT k, x, y, {', '.join(f'{e} AS {c}' for c, e in LAG_COLUMNS.items())} FROM pt),
+nn AS (SELECT a.k AS src, b.*, row_number() OVER (PARTITION BY a.k ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.k) AS rank FROM lc a
+JOIN lc b ON a.k <> b.k AND abs(a.x - b.x) < 0.5 AND abs(a.y - b.y) < 0.5)"""
 
 
-@query(f"WITH {NEAR} SELECT src AS k, {', '.join(f'round(avg({c}), 6) AS {c}_lag' for c in LAG_COLUMNS)}, CASE WHEN (SELECT count(*) - count(vulnerability_index) FROM lc) = 0 THEN round(avg(vulnerability_index), 6) END AS strict_lag FROM nn WHERE rank <= 6 GROUP BY src")
+@query(f"""WITH {NEAR} SELECT src AS k, {', '.join(f'round(avg({c}), 6) AS {c}_lag' for c in LAG_COLUMNS)}, CASE WHEN (SELECT count(*) - count(vulnerability_index)
+FROM lc) = 0 THEN round(avg(vulnerability_index), 6) END AS strict_lag FROM nn WHERE rank <= 6 GROUP BY src""")
 def neighbourhood_lags(spark, d):
     """The four neighbourhood means by one search, and one of them by the strict rule."""
     p = space.points(spark, d).select("k", "x", "y", *[F.expr(e).cast("double").alias(c) for c, e in LAG_COLUMNS.items()])
@@ -166,7 +175,8 @@ def neighbourhood_lags(spark, d):
     return rounded(out.select("k", *lags).join(strict, "k"), *lags, "strict_lag")
 
 
-@query("SELECT count(CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0 THEN 1 END) AS n_complete, count(*) AS n_rows, round_even(count(CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0 THEN 1 END) * 100.0 / count(*), 1) AS pct_complete FROM orders")
+@query("""SELECT count(CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0 THEN 1 END) AS n_complete, count(*) AS n_rows, round_even(count(CASE
+WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0 THEN 1 END) * 100.0 / count(*), 1) AS pct_complete FROM orders""")
 def complete_cases(spark, d):
     return nulls.completeness(series.gappy(spark, d), ["o_orderkey", "price", "priority"])
 
@@ -179,7 +189,10 @@ def complete_case_scores(spark, d):
     return score.complete_only(told, ["price", "priority"], ["linear"]).select("o_orderkey", "linear", "trees")
 
 
-@query(f"WITH {space.BINNED}, gr AS (SELECT q, r, CAST(dense_rank() OVER (ORDER BY (q + 1048576) * 2097152 + (r + 1048576)) AS INTEGER) AS hex_id, n, v FROM cells), s AS (SELECT hex_id, (q + 1048576) * 2097152 + (r + 1048576) AS cell_id, v * 2 AS risk FROM gr WHERE n > 2) SELECT gr.hex_id, (q + 1048576) * 2097152 + (r + 1048576) AS cell_id, round(risk, 6) AS risk FROM gr LEFT JOIN s ON gr.hex_id = s.hex_id AND s.cell_id = (q + 1048576) * 2097152 + (r + 1048576)")
+@query(f"""WITH {space.BINNED}, gr AS (SELECT q, r, CAST(dense_rank() OVER (ORDER BY (q + 1048576) * 2097152 + (r + 1048576)) AS INTEGER) AS hex_id, n, v FROM cells),
+s AS (SELECT hex_id, (q + 1048576) * 2097152 + (r + 1048576) AS cell_id, v * 2 AS risk FROM gr WHERE n > 2)
+SELECT gr.hex_id, (q + 1048576) * 2097152 + (r + 1048576) AS cell_id, round(risk, 6) AS risk FROM gr LEFT
+JOIN s ON gr.hex_id = s.hex_id AND s.cell_id = (q + 1048576) * 2097152 + (r + 1048576)""")
 def scores_on_grid(spark, d):
     """Scores brought back to the grid by both keys; cells without a score stay."""
     g = space.cells(spark, d).withColumn("cell_id", geo.cell_id(F.col("q"), F.col("r")))
@@ -188,7 +201,9 @@ def scores_on_grid(spark, d):
     return analysis.joined_to_grid(g.select("hex_id", "cell_id"), s).select("hex_id", "cell_id", r6("risk").alias("risk"))
 
 
-@query(f"WITH {series.CHANGES}, n AS (SELECT CAST(n_nationkey AS BIGINT) AS cell_id FROM nation), j AS (SELECT cell_id, period, v FROM n LEFT JOIN ch ON cell = cell_id) SELECT cell_id, period, round(v, 6) AS v FROM (SELECT *, rank() OVER (PARTITION BY cell_id ORDER BY period DESC NULLS LAST) AS k FROM j) WHERE k = 1")
+@query(f"""WITH {series.CHANGES}, n AS (SELECT CAST(n_nationkey AS BIGINT) AS cell_id FROM nation),
+j AS (SELECT cell_id, period, v FROM n LEFT JOIN ch ON cell = cell_id)
+SELECT cell_id, period, round(v, 6) AS v FROM (SELECT *, rank() OVER (PARTITION BY cell_id ORDER BY period DESC NULLS LAST) AS k FROM j) WHERE k = 1""")
 def rent_latest_all_cells(spark, d):
     """The last rents of every cell, cells without rents included."""
     cells = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("cell_id"))
@@ -199,7 +214,10 @@ def rent_latest_all_cells(spark, d):
 NAN = "CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'NaN'::DOUBLE ELSE c_acctbal END"
 
 
-@query("WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) SELECT c_custkey, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 100, 6) AS scaled, round((v - avg(v) OVER ()) / stddev_samp(v) OVER (), 6) AS z, (SELECT round(count(*) FILTER (v IS NULL) * 100.0 / count(*), 6) FROM t) AS pct_missing, v IS NOT NULL AS sufficient FROM t")
+@query("""WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer)
+SELECT c_custkey, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 100, 6) AS scaled,
+round((v - avg(v) OVER ()) / stddev_samp(v) OVER (), 6) AS z, (SELECT round(count(*) FILTER (v IS NULL) * 100.0 / count(*), 6)
+FROM t) AS pct_missing, v IS NOT NULL AS sufficient FROM t""")
 def nan_is_missing(spark, d):
     """NaN beside nulls in scaling, z-scores, the profile of gaps and the flags: it counts as missing everywhere."""
     k = F.col("c_custkey")
@@ -209,7 +227,9 @@ def nan_is_missing(spark, d):
     return rounded(shape.with_missing_flags(out, ["v"]), "scaled", "z").join(F.broadcast(gaps)).select("c_custkey", "scaled", "z", "pct_missing", F.col("sufficient_data").alias("sufficient"))
 
 
-@query(f"WITH {learning.SEG}, t AS (SELECT c_custkey, c_custkey % 6 AS cluster, rent, demo, vuln FROM (SELECT c_custkey, c_acctbal AS rent, c_custkey * 7919 % 1000 / 10.0 AS demo, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey * 104729 % 1000 / 10.0 END AS vuln FROM customer)) SELECT c_custkey, CAST(CASE WHEN cluster BETWEEN 1 AND 4 THEN cluster END AS INTEGER) AS cluster_class, CAST(cluster IN (1, 2) AS INTEGER) AS high_risk_cluster, rent, demo, vuln FROM t WHERE cluster BETWEEN 1 AND 4 AND vuln IS NOT NULL")
+@query(f"""WITH {learning.SEG}, t AS (SELECT c_custkey, c_custkey % 6 AS cluster, rent, demo, vuln FROM (SELECT c_custkey, c_acctbal AS rent, c_custkey * 7919 % 1000 / 10.0 AS demo,
+CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey * 104729 % 1000 / 10.0 END AS vuln FROM customer))
+SELECT c_custkey, CAST(CASE WHEN cluster BETWEEN 1 AND 4 THEN cluster END AS INTEGER) AS cluster_class, CAST(cluster IN (1, 2) AS INTEGER) AS high_risk_cluster, rent, demo, vuln FROM t WHERE cluster BETWEEN 1 AND 4 AND vuln IS NOT NULL""")
 def outcome_rows(spark, d):
     """The outcome of clusters 1 to 4, its binary form, and rows that miss neither outcome nor predictors."""
     rows = learning.segmented(spark, d).withColumn("cluster", F.col("c_custkey") % 6).withColumn("sufficient_data", F.lit(True))
@@ -221,7 +241,9 @@ def elastic_grid(spark, d):
     return models.param_grid(spark, models.GRIDS["elastic"]).select("alpha", F.round("lambda", 9).alias("lambda"))
 
 
-@query(f"WITH {learning.FLAT}, tr AS (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0), s AS (SELECT d, avg(x) AS m, stddev_samp(x) AS s FROM fl JOIN tr USING (vec_id) GROUP BY d) SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - m) / nullif(s, 0), 6) AS z FROM fl JOIN s USING (d) WHERE vec_id % 3 = 0 AND d < 4")
+@query(f"""WITH {learning.FLAT}, tr AS (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0),
+s AS (SELECT d, avg(x) AS m, stddev_samp(x) AS s FROM fl JOIN tr USING (vec_id) GROUP BY d)
+SELECT vec_id, CAST(d AS INTEGER) AS d, round((x - m) / nullif(s, 0), 6) AS z FROM fl JOIN s USING (d) WHERE vec_id % 3 = 0 AND d < 4""")
 def scaled_new_rows(spark, d):
     """New rows scaled by what was learnt from others (four dimensions as columns)."""
     wide = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(4)])
@@ -231,12 +253,14 @@ def scaled_new_rows(spark, d):
     return shape.pivot_longer(z, ["vec_id"], [str(k) for k in range(4)], "d", "z").select("vec_id", F.col("d").cast("int").alias("d"), r6("z").alias("z"))
 
 
-@query(f"{learning.IDS}, m AS (SELECT count(CASE WHEN cluster = 0 THEN 1 END) AS n_noise, max(cluster) AS n_clusters FROM cl) SELECT cluster, count(*) AS n, any_value(n_noise) AS n_noise, any_value(n_clusters) AS n_clusters FROM cl, m GROUP BY cluster")
+@query(f"""{learning.IDS}, m AS (SELECT count(CASE WHEN cluster = 0 THEN 1 END) AS n_noise, max(cluster) AS n_clusters FROM cl)
+SELECT cluster, count(*) AS n, any_value(n_noise) AS n_noise, any_value(n_clusters) AS n_clusters FROM cl, m GROUP BY cluster""")
 def cluster_size_table(spark, d):
     return cluster.cluster_sizes(learning.dbscan_ids(spark, d))
 
 
-@query(f"""WITH {learning.FLAT}, f AS (SELECT 'd' || d AS feature, stddev_samp(x) AS a, avg(abs(x)) AS b FROM fl GROUP BY d), n AS (SELECT feature, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 100 AS norm_a, (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 100 AS norm_b FROM f)
+@query(f"""WITH {learning.FLAT}, f AS (SELECT 'd' || d AS feature, stddev_samp(x) AS a, avg(abs(x)) AS b FROM fl
+GROUP BY d), n AS (SELECT feature, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) * 100 AS norm_a, (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) * 100 AS norm_b FROM f)
 SELECT feature, round((norm_a + norm_b) / 2, 4) AS importance_avg FROM n ORDER BY (norm_a + norm_b) / 2 DESC, feature LIMIT 20""")
 def top20_importance(spark, d):
     f = learning.flat(spark, d)
@@ -270,7 +294,12 @@ def classes_by_name(spark, d):
     return shape.select_as(p, ["p_partkey", *shape.between(p, "p_size", "p_retailprice")], without=["p_type"], name="p_name")
 
 
-@query(f"WITH {learning.PRED}, s AS (SELECT 'centre' AS model, 1 AS o, actual, predicted FROM pr UNION ALL SELECT 'shifted', 2, actual, (predicted + CAST(vec_id % 2 AS INTEGER)) % 10 FROM pr), c AS (SELECT model, actual AS class, count(*) AS n, count(CASE WHEN actual = predicted THEN 1 END) AS tp FROM s GROUP BY 1, 2), p AS (SELECT model, predicted AS class, count(*) AS np FROM s GROUP BY 1, 2) SELECT CAST(c.class AS VARCHAR) AS class, c.model, round(CASE WHEN tp > 0 THEN 2.0 * tp / (n + coalesce(np, 0)) END, 6) AS f1 FROM c LEFT JOIN p ON c.model = p.model AND c.class = p.class")
+@query(f"""WITH {learning.PRED}, s AS (SELECT 'centre' AS model, 1 AS o, actual, predicted FROM pr
+UNION ALL SELECT 'shifted', 2, actual, (predicted + CAST(vec_id % 2 AS INTEGER)) % 10 FROM pr),
+c AS (SELECT model, actual AS class, count(*) AS n, count(CASE WHEN actual = predicted THEN 1 END) AS tp FROM s GROUP BY 1, 2),
+p AS (SELECT model, predicted AS class, count(*) AS np FROM s GROUP BY 1, 2)
+SELECT CAST(c.class AS VARCHAR) AS class, c.model, round(CASE WHEN tp > 0 THEN 2.0 * tp / (n + coalesce(np, 0)) END, 6) AS f1 FROM c LEFT
+JOIN p ON c.model = p.model AND c.class = p.class""")
 def f1_by_class_and_model(spark, d):
     return rounded(models.f1_by_model(two_models(spark, d), "actual", {"centre": "predicted", "shifted": "other"}), "f1")
 
@@ -279,12 +308,17 @@ def two_models(spark, d) -> DataFrame:
     return learning.predicted(spark, d).withColumn("other", (F.col("predicted") + (F.col("vec_id") % 2).cast("int")) % 10)
 
 
-@query(f"WITH {learning.PRED}, s AS (SELECT actual, CAST(actual = predicted AS INTEGER) AS a, CAST(actual = (predicted + CAST(vec_id % 2 AS INTEGER)) % 10 AS INTEGER) AS b FROM pr) SELECT actual AS class, unnest(['centre', 'shifted']) AS model, round(unnest([avg(a), avg(b)]), 6) AS accuracy FROM s GROUP BY actual")
+@query(f"""WITH {learning.PRED}, s AS (SELECT actual, CAST(actual = predicted AS INTEGER) AS a, CAST(actual = (predicted + CAST(vec_id % 2 AS INTEGER)) % 10 AS INTEGER) AS b
+FROM pr)
+SELECT actual AS class, unnest(['centre', 'shifted']) AS model, round(unnest([avg(a), avg(b)]), 6) AS accuracy FROM s GROUP BY actual""")
 def accuracy_by_class_and_model(spark, d):
     return rounded(models.accuracy_by_model(two_models(spark, d), "actual", {"centre": "predicted", "shifted": "other"}), "accuracy")
 
 
-@query(f"WITH {learning.PRED}, s AS (SELECT 'centre' AS model, actual, predicted FROM pr UNION ALL SELECT 'shifted', actual, (predicted + CAST(vec_id % 2 AS INTEGER)) % 10 FROM pr), a AS (SELECT model, avg(CAST(actual = predicted AS INTEGER)) AS accuracy FROM s GROUP BY model) SELECT model, round(accuracy, 6) AS accuracy FROM a ORDER BY accuracy DESC, model LIMIT 1")
+@query(f"""WITH {learning.PRED}, s AS (SELECT 'centre' AS model, actual, predicted FROM pr UNION ALL SELECT 'shifted', actual, (predicted + CAST(vec_id % 2 AS INTEGER)) % 10
+FROM pr),
+a AS (SELECT model, avg(CAST(actual = predicted AS INTEGER)) AS accuracy FROM s GROUP BY model)
+SELECT model, round(accuracy, 6) AS accuracy FROM a ORDER BY accuracy DESC, model LIMIT 1""")
 def best_of_two_models(spark, d):
     return rounded(models.best_model(models.performance(two_models(spark, d), "actual", {"centre": "predicted", "shifted": "other"})), "accuracy")
 
@@ -340,7 +374,8 @@ def run_scores(spark, d):
 RING_SQL = f"{space.BINNED}, t AS (SELECT q, r, unnest(range(7)) AS k FROM cells)"
 
 
-@query(f"WITH {RING_SQL} SELECT q, r, CAST(k AS INTEGER) AS k, round({space.EDGE} * {S3}::DOUBLE * (q + r / 2.0) + {space.EDGE} * cos(radians(k % 6 * 60 - 30)), 6) AS x, round({space.EDGE} * 1.5::DOUBLE * r + {space.EDGE} * sin(radians(k % 6 * 60 - 30)), 6) AS y FROM t")
+@query(f"""WITH {RING_SQL} SELECT q, r, CAST(k AS INTEGER) AS k, round({space.EDGE} * {S3}::DOUBLE * (q + r / 2.0) + {space.EDGE} * cos(radians(k % 6 * 60 - 30)), 6) AS x,
+round({space.EDGE} * 1.5::DOUBLE * r + {space.EDGE} * sin(radians(k % 6 * 60 - 30)), 6) AS y FROM t""")
 def geojson_corners(spark, d):
     """The corners of each cell, closed, as its GeoJSON text has them."""
     text = space.cells(spark, d).select("q", "r", geo.geojson(geo.ring(F.col("q"), F.col("r"), space.EDGE)).alias("t"))

@@ -45,14 +45,16 @@ def rent_series_change(spark, d):
     return rounded(rent_changes(spark, d), "v", "change_1yr", "change_5yr")
 
 
-@query(f"WITH {CHANGES} SELECT cell, period, round(change_1yr, 6) AS change_1yr FROM (SELECT *, rank() OVER (PARTITION BY cell ORDER BY period DESC NULLS LAST) AS k FROM ch) WHERE k = 1")
+@query(f"""WITH {CHANGES} SELECT cell, period, round(change_1yr, 6) AS change_1yr FROM (SELECT *, rank() OVER (PARTITION BY cell ORDER BY period DESC NULLS LAST) AS k FROM ch)
+WHERE k = 1""")
 def rent_latest_ties(spark, d):
     return events.snapshot(rent_changes(spark, d), ["cell"], "period").select("cell", "period", r6("change_1yr").alias("change_1yr"))
 
 
 FLAGSHIP = f"""WITH {CHANGES}, last AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY cell ORDER BY period DESC NULLS LAST) AS k FROM ch) WHERE k = 1),
 sc AS (SELECT cell, (change_1yr - min(change_1yr) OVER ()) / nullif(max(change_1yr) OVER () - min(change_1yr) OVER (), 0) * 100 AS score FROM last)
-SELECT cell, round(score, 6) AS score, CASE WHEN round(score, 6) <= 25 THEN 'Low' WHEN round(score, 6) <= 50 THEN 'Moderate' WHEN round(score, 6) <= 75 THEN 'High' WHEN round(score, 6) > 75 THEN 'Very High' END AS category FROM sc"""
+SELECT cell, round(score, 6) AS score, CASE WHEN round(score, 6) <= 25 THEN 'Low' WHEN round(score, 6) <= 50 THEN 'Moderate' WHEN round(score, 6) <= 75 THEN 'High'
+WHEN round(score, 6) > 75 THEN 'Very High' END AS category FROM sc"""
 
 
 @query(FLAGSHIP)
@@ -61,7 +63,9 @@ def rent_pressure_scores(spark, d):
     return nulls.with_minmax100(last, {"score": "change_1yr"}).select("cell", r6("score").alias("score")).withColumn("category", categorise(F.col("score")))
 
 
-@query(f"WITH {RENT}, c AS (SELECT a.cell, a.period, (a.v - b.v) / nullif(b.v, 0) * 100 AS x FROM rent a LEFT JOIN rent b ON a.cell = b.cell AND b.period = CAST(a.period - INTERVAL 12 MONTH AS DATE)) SELECT cell, period, round(x, 6) AS change_calendar FROM c")
+@query(f"""WITH {RENT}, c AS (SELECT a.cell, a.period, (a.v - b.v) / nullif(b.v, 0) * 100 AS x FROM rent a LEFT
+JOIN rent b ON a.cell = b.cell AND b.period = CAST(a.period - INTERVAL 12 MONTH AS DATE))
+SELECT cell, period, round(x, 6) AS change_calendar FROM c""")
 def rent_calendar_change(spark, d):
     return events.with_calendar_change(rent(spark, d), ["cell"], "period", "v", 12, "change_calendar").select("cell", "period", r6("change_calendar").alias("change_calendar"))
 
@@ -70,8 +74,10 @@ def rent_sql(p=PICKS) -> str:
     f, m, lt, rc, la = p["first"], p["mid"], p["later"], p["recent"], p["last"]
     e, late = f"(({m} - {f}) / 4)", f"(({la} - {lt}) / 4)"
     vals = "list_filter([" + ", ".join(f"rent_{q}" for q in QUARTERS) + "], lambda x: x IS NOT NULL)"
-    return f"""rf AS (SELECT *, CASE WHEN {f} > 0 THEN ({la} - {f}) / {f} * 100 END AS rent_change_total, CASE WHEN {rc} > 0 THEN ({la} - {rc}) / {rc} * 100 END AS rent_change_recent,
-CASE WHEN {e} > 0 THEN ({late} - {e}) / {e} * 100 END AS rent_acceleration, CASE WHEN len({vals}) >= 3 AND list_avg({vals}) > 0 THEN list_stddev_samp({vals}) / list_avg({vals}) END AS rent_volatility,
+    return f"""rf AS (SELECT *, CASE WHEN {f} > 0 THEN ({la} - {f}) / {f} * 100 END AS rent_change_total, CASE
+WHEN {rc} > 0 THEN ({la} - {rc}) / {rc} * 100 END AS rent_change_recent,
+CASE WHEN {e} > 0 THEN ({late} - {e}) / {e} * 100 END AS rent_acceleration, CASE
+WHEN len({vals}) >= 3 AND list_avg({vals}) > 0 THEN list_stddev_samp({vals}) / list_avg({vals}) END AS rent_volatility,
 {la} AS rent_current, CASE WHEN median_rent > 0 THEN {la} / median_rent END AS rent_level_ratio FROM wide)"""
 
 
@@ -92,8 +98,10 @@ def rent_volatility_row(spark, d):
     return rent_table(spark, d).select("cell", r6("rent_volatility").alias("rent_volatility"))
 
 
-@query("""WITH y AS (SELECT o_custkey % 50 AS cell, year(o_orderdate) AS y, sum(o_totalprice) AS s FROM orders GROUP BY 1, 2), a AS (SELECT cell, list(s ORDER BY y) AS l FROM y GROUP BY cell)
-SELECT CAST(cell AS BIGINT) AS cell, round(CASE WHEN len(l) >= 2 THEN (l[-1] - l[1]) / l[1] * 100 END, 6) AS rate, round(CASE WHEN len(l) >= 3 THEN list_avg([l[i + 2] - 2 * l[i + 1] + l[i] for i in range(1, len(l) - 1)]) END, 4) AS accel,
+@query("""WITH y AS (SELECT o_custkey % 50 AS cell, year(o_orderdate) AS y, sum(o_totalprice) AS s FROM orders GROUP BY 1, 2), a AS (SELECT cell, list(s ORDER BY y) AS l
+FROM y GROUP BY cell)
+SELECT CAST(cell AS BIGINT) AS cell, round(CASE WHEN len(l) >= 2 THEN (l[-1] - l[1]) / l[1] * 100 END, 6) AS rate, round(CASE
+WHEN len(l) >= 3 THEN list_avg([l[i + 2] - 2 * l[i + 1] + l[i] for i in range(1, len(l) - 1)]) END, 4) AS accel,
 round(CASE WHEN len(l) >= 2 THEN list_stddev_samp(l) / list_avg(l) END, 6) AS vol FROM a""")
 def rate_accel_helpers(spark, d):
     y = table(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("cell"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("s"))
@@ -117,7 +125,8 @@ def event_counts_by_year(spark, d):
 
 
 DEMO = f"""{COUNTS}, demo AS (SELECT c_custkey, demo_count_total / 2.5 AS demo_density, demo_count_2000 + demo_count_2001 AS demo_recent,
-CASE WHEN demo_count_1999 > 0 THEN ((demo_count_2000 + demo_count_2001) / 2 - demo_count_1999) / demo_count_1999 END AS demo_trend, CASE WHEN demo_count_2000 + demo_count_2001 > 0 THEN 1 ELSE 0 END AS has_recent_demos FROM counts)"""
+CASE WHEN demo_count_1999 > 0 THEN ((demo_count_2000 + demo_count_2001) / 2 - demo_count_1999) / demo_count_1999 END AS demo_trend, CASE
+WHEN demo_count_2000 + demo_count_2001 > 0 THEN 1 ELSE 0 END AS has_recent_demos FROM counts)"""
 
 
 def demo(spark, d) -> DataFrame:
@@ -140,7 +149,8 @@ def segments(spark, d) -> DataFrame:
     return out.join(tidy.groupBy("cell").agg(F.sum("estimate").alias("total")), "cell")
 
 
-@query(f"WITH {PIVOT} SELECT cell, round(building / nullif(total, 0) * 100, 6) AS pct_building, round((furniture + household) / nullif(total, 0) * 100, 6) AS pct_home, round((total - building) / nullif(total, 0) * 100, 6) AS pct_other FROM p")
+@query(f"""WITH {PIVOT} SELECT cell, round(building / nullif(total, 0) * 100, 6) AS pct_building, round((furniture + household) / nullif(total, 0) * 100, 6) AS pct_home,
+round((total - building) / nullif(total, 0) * 100, 6) AS pct_other FROM p""")
 def tidy_pivot_shares(spark, d):
     s = features.shares(segments(spark, d), PARTS).withColumn("pct_other", nulls.pct(F.col("total") - F.col("building"), "total"))
     return rounded(s, "pct_building", "pct_home", "pct_other").select("cell", "pct_building", "pct_home", "pct_other")
@@ -151,8 +161,11 @@ def unpivot_shares(spark, d):
     return shape.pivot_longer(segments(spark, d), ["cell"], ["building", "household", "machinery"]).withColumn("value", F.round("value", 4))
 
 
-@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders), n AS (SELECT count(*) AS n, count(price) AS a, count(priority) AS b, count(o_orderkey) AS c FROM t)
-SELECT unnest(['o_orderkey', 'price', 'priority']) AS variable, round(unnest([(n - c) * 100.0 / n, (n - a) * 100.0 / n, (n - b) * 100.0 / n]), 6) AS pct_missing FROM n""")
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price, CASE
+WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS priority
+FROM orders), n AS (SELECT count(*) AS n, count(price) AS a, count(priority) AS b, count(o_orderkey) AS c FROM t)
+SELECT unnest(['o_orderkey', 'price', 'priority']) AS variable, round(unnest([(n - c) * 100.0 / n, (n - a) * 100.0 / n, (n - b) * 100.0 / n]), 6) AS pct_missing
+FROM n""")
 def missing_profile(spark, d):
     t = gappy(spark, d)
     return rounded(shape.missing_profile(t, ["o_orderkey", "price", "priority"]), "pct_missing")
@@ -174,8 +187,10 @@ def building_ids(spark, d):
     return events.dense_ids(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name"), ["s_nationkey"], "building_id")
 
 
-@query("""WITH a AS (SELECT DISTINCT s_nationkey AS k FROM supplier), one AS (SELECT n_nationkey AS k, n_nationkey * 1.5 AS x, n_nationkey * 2.0 AS y FROM nation WHERE n_nationkey % 3 <> 0), two AS (SELECT n_nationkey AS k, n_nationkey + 100.0 AS x, n_nationkey + 200.0 AS y FROM nation WHERE n_nationkey % 5 <> 0)
-SELECT s_suppkey, round(CAST(coalesce(one.x, two.x) AS DOUBLE), 6) AS x, round(CAST(coalesce(one.y, two.y) AS DOUBLE), 6) AS y FROM supplier LEFT JOIN one ON s_nationkey = one.k LEFT JOIN two ON s_nationkey = two.k""")
+@query("""WITH a AS (SELECT DISTINCT s_nationkey AS k FROM supplier), one AS (SELECT n_nationkey AS k, n_nationkey * 1.5 AS x, n_nationkey * 2.0 AS y FROM nation
+WHERE n_nationkey % 3 <> 0), two AS (SELECT n_nationkey AS k, n_nationkey + 100.0 AS x, n_nationkey + 200.0 AS y FROM nation WHERE n_nationkey % 5 <> 0)
+SELECT s_suppkey, round(CAST(coalesce(one.x, two.x) AS DOUBLE), 6) AS x, round(CAST(coalesce(one.y, two.y) AS DOUBLE), 6) AS y FROM supplier LEFT
+JOIN one ON s_nationkey = one.k LEFT JOIN two ON s_nationkey = two.k""")
 def geocode_fallback(spark, d):
     places = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
     n = F.col("n_nationkey")
@@ -190,19 +205,24 @@ def geocode_fallback(spark, d):
 TEXT = "CASE WHEN o_orderkey % 11 = 0 THEN 'unknown' ELSE year(o_orderdate) || ' Q' || quarter(o_orderdate) || CASE WHEN o_orderkey % 5 = 0 THEN ' QTD' ELSE '' END END"
 
 
-@query(f"SELECT o_orderkey, CASE WHEN t = 'unknown' THEN NULL ELSE make_date(CAST(substr(t, 1, 4) AS INTEGER), (CAST(substr(t, 7, 1) AS INTEGER) - 1) * 3 + 1, 1) END AS period FROM (SELECT o_orderkey, {TEXT} AS t FROM orders)")
+@query(f"""SELECT o_orderkey, CASE WHEN t = 'unknown' THEN NULL ELSE make_date(CAST(substr(t, 1, 4) AS INTEGER), (CAST(substr(t, 7, 1) AS INTEGER) - 1) * 3 + 1, 1) END AS period
+FROM (SELECT o_orderkey, {TEXT} AS t FROM orders)""")
 def period_parse(spark, d):
     t = table(spark, d, "orders").select("o_orderkey", F.expr(TEXT).alias("t"))
     return t.select("o_orderkey", events.parse_quarter(F.col("t")).alias("period"))
 
 
-CELL = f"""{PIVOT}, {WIDE}, {rent_sql()}, dc AS (SELECT CAST(c_nationkey AS BIGINT) AS cell, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1),
-base AS (SELECT p.cell, total AS income, building / nullif(total, 0) * 100 AS renters, household / nullif(total, 0) * 100 AS poverty, CASE WHEN p.cell % 6 = 0 THEN NULL ELSE machinery / nullif(total, 0) * 100 END AS college, median_rent, rent_change_total, rent_level_ratio, n_orders / 2.5 AS demo_density
+CELL = f"""{PIVOT}, {WIDE}, {rent_sql()}, dc AS (SELECT CAST(c_nationkey AS BIGINT) AS cell, count(o_orderkey) AS n_orders FROM customer LEFT
+JOIN orders ON c_custkey = o_custkey GROUP BY 1),
+base AS (SELECT p.cell, total AS income, building / nullif(total, 0) * 100 AS renters, household / nullif(total, 0) * 100 AS poverty, CASE
+WHEN p.cell % 6 = 0 THEN NULL ELSE machinery / nullif(total, 0) * 100 END AS college, median_rent, rent_change_total, rent_level_ratio, n_orders / 2.5 AS demo_density
 FROM p JOIN dc ON p.cell = dc.cell LEFT JOIN rf ON p.cell = rf.cell),
 mm AS (SELECT *, CASE WHEN income > 0 THEN median_rent * 12 / income END AS rent_burden_proxy, (max(income) OVER () - income) / nullif(max(income) OVER () - min(income) OVER (), 0) * 100 AS vuln_low_income, (renters - min(renters) OVER ()) / nullif(max(renters) OVER () - min(renters) OVER (), 0) * 100 AS vuln_high_rent,
 (poverty - min(poverty) OVER ()) / nullif(max(poverty) OVER () - min(poverty) OVER (), 0) * 100 AS vuln_poverty, (max(college) OVER () - college) / nullif(max(college) OVER () - min(college) OVER (), 0) * 100 AS vuln_low_edu FROM base),
 vul AS (SELECT *, (vuln_low_income + vuln_high_rent + vuln_poverty + vuln_low_edu) / 4 AS vulnerability_index FROM mm),
-spot AS (SELECT cell, ((cell * 7919) % 10007) / 10007.0 AS x, ((cell * 104729) % 10007) / 10007.0 AS y FROM vul), nn AS (SELECT a.cell, b.cell AS other, row_number() OVER (PARTITION BY a.cell ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell) AS k FROM spot a JOIN spot b ON a.cell <> b.cell),
+spot AS (SELECT cell, ((cell * 7919) % 10007) / 10007.0 AS x, ((cell * 104729) % 10007) / 10007.0 AS y
+FROM vul), nn AS (SELECT a.cell, b.cell AS other, row_number() OVER (PARTITION BY a.cell ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell) AS k FROM spot a
+JOIN spot b ON a.cell <> b.cell),
 lg AS (SELECT nn.cell, avg(rent_change_total) AS rent_change_total_lag, avg(demo_density) AS demo_density_lag, avg(income) AS income_lag, avg(vulnerability_index) AS vulnerability_index_lag FROM nn JOIN vul ON other = vul.cell WHERE k <= 6 GROUP BY nn.cell),
 lagged AS (SELECT vul.*, rent_change_total_lag, demo_density_lag, income_lag, vulnerability_index_lag FROM vul LEFT JOIN lg ON vul.cell = lg.cell),
 feat AS (SELECT *, rent_change_total * vulnerability_index AS rent_vuln_interaction, demo_density * rent_level_ratio AS demo_rent_interaction, vuln_low_income * rent_burden_proxy AS income_burden_interaction, (rent_change_total + rent_change_total_lag) / 2 AS neighborhood_rent_pressure FROM lagged)"""
@@ -255,7 +275,8 @@ def feature_lags(spark, d):
 COUNT_MISSING = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in FEATURES)
 
 
-@query(f"WITH {CELL} SELECT cell, CAST(m AS INTEGER) AS missing_feature_count, round(m * 100.0 / {len(FEATURES)}, 6) AS missing_feature_pct, m * 100.0 / {len(FEATURES)} < 50 AS sufficient_data FROM (SELECT cell, {COUNT_MISSING} AS m FROM feat)")
+@query(f"""WITH {CELL} SELECT cell, CAST(m AS INTEGER) AS missing_feature_count,
+round(m * 100.0 / {len(FEATURES)}, 6) AS missing_feature_pct, m * 100.0 / {len(FEATURES)} < 50 AS sufficient_data FROM (SELECT cell, {COUNT_MISSING} AS m FROM feat)""")
 def sufficient_data_flag(spark, d):
     out = shape.with_missing_flags(cell_table(spark, d), FEATURES)
     return rounded(out, "missing_feature_pct").select("cell", F.col("missing_feature_count").cast("int").alias("missing_feature_count"), "missing_feature_pct", "sufficient_data")
@@ -264,14 +285,18 @@ def sufficient_data_flag(spark, d):
 NAMES = [*FEATURES, "rent_change_total_lag", "pct_poc", "demo_trend", "vuln_poverty_lag", "x_interaction"]
 
 
-@query("WITH n AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + """]) AS feature) SELECT feature, CASE WHEN feature LIKE 'rent\\_%' ESCAPE '\\' AND feature NOT LIKE '%\\_lag' ESCAPE '\\' THEN 'Temporal Rent' WHEN feature LIKE 'demo\\_%' ESCAPE '\\' AND feature NOT LIKE '%\\_lag' ESCAPE '\\' THEN 'Demolitions'
-WHEN feature LIKE 'vuln\\_%' ESCAPE '\\' OR feature = 'vulnerability_index' THEN 'Vulnerability' WHEN feature LIKE '%\\_lag' ESCAPE '\\' THEN 'Spatial Lag' WHEN feature LIKE '%\\_interaction' ESCAPE '\\' THEN 'Interactions' ELSE 'Other' END AS category FROM n""")
+@query("WITH n AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + """]) AS feature) SELECT feature, CASE
+WHEN feature LIKE 'rent\\_%' ESCAPE '\\' AND feature NOT LIKE '%\\_lag' ESCAPE '\\' THEN 'Temporal Rent'
+WHEN feature LIKE 'demo\\_%' ESCAPE '\\' AND feature NOT LIKE '%\\_lag' ESCAPE '\\' THEN 'Demolitions'
+WHEN feature LIKE 'vuln\\_%' ESCAPE '\\' OR feature = 'vulnerability_index' THEN 'Vulnerability' WHEN feature LIKE '%\\_lag' ESCAPE '\\' THEN 'Spatial Lag'
+WHEN feature LIKE '%\\_interaction' ESCAPE '\\' THEN 'Interactions' ELSE 'Other' END AS category FROM n""")
 def feature_catalog(spark, d):
     names = spark.createDataFrame([(n,) for n in NAMES], "feature string")
     return names.withColumn("category", features.category(F.col("feature")))
 
 
-@query("WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders) SELECT o_orderkey, price FROM t WHERE price IS NOT NULL")
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders)
+SELECT o_orderkey, price FROM t WHERE price IS NOT NULL""")
 def column_drop_by_missing(spark, d):
     t = gappy(spark, d).drop("o_custkey", "priority").withColumn("mostly_missing", F.when(F.col("o_orderkey") % 3 == 0, F.col("price")))
     out, left = shape.drop_sparse(t, ["price", "mostly_missing"])
@@ -291,14 +316,16 @@ def group_shares(spark, d):
     return n.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy("o_orderstatus"))))
 
 
-@query("SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal, CAST(NULL AS INTEGER) AS size FROM supplier UNION ALL SELECT p_partkey, p_name, CAST(NULL AS DOUBLE), p_size FROM part")
+@query("""SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal, CAST(NULL AS INTEGER) AS size FROM supplier UNION ALL SELECT p_partkey, p_name, CAST(NULL AS DOUBLE), p_size
+FROM part""")
 def bind_rows_by_name(spark, d):
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
     b = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
     return shape.bind_rows(a, b)
 
 
-@query("SELECT c_custkey, coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 4 <> 0, false) AS high, coalesce(CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END, 'NA') || ':' || CAST(c_nationkey AS VARCHAR) AS tag FROM customer")
+@query("""SELECT c_custkey, coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 4 <> 0, false) AS high, coalesce(CASE
+WHEN c_custkey % 4 <> 0 THEN c_mktsegment END, 'NA') || ':' || CAST(c_nationkey AS VARCHAR) AS tag FROM customer""")
 def membership_and_paste(spark, d):
     seg = F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment"))
     return table(spark, d, "customer").select("c_custkey", nulls.is_in(seg, ["BUILDING", "MACHINERY"]).alias("high"), nulls.paste(":", seg, "c_nationkey").alias("tag"))
