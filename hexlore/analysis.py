@@ -197,7 +197,10 @@ class Analysis:
         out = out.withColumn("risk_category", score.categorise(F.col("risk_score"), self.config.category_edges))
         top = [r.feature for r in self.importance().limit(self.config.factor_features).collect()]  # names of a few features
         out = score.factors(out, "cell_id", top, self.config.factors, self.config.factor_percentile)
-        kept = shape.select_as(out, ["hex_id", "cell_id", "risk_score", "risk_category", "contributing_factors"], predicted_cluster="cluster_forest", risk_score_rf="risk_forest", risk_score_xgb="risk_boost", risk_score_elastic="risk_elastic")
+        kept = shape.select_as(
+            out, ["hex_id", "cell_id", "risk_score", "risk_category", "contributing_factors"], predicted_cluster="cluster_forest",
+            risk_score_rf="risk_forest", risk_score_xgb="risk_boost", risk_score_elastic="risk_elastic",
+        )
         clamped = {c: score.clamp(c) for c in ("risk_score_rf", "risk_score_xgb")}
         return checkpointed(joined_to_grid(self.grid, kept.withColumns(clamped)))
 

@@ -135,7 +135,9 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
         return [np.concatenate(c) for c in zip(*out, strict=True)]
 
     tagged = F.coalesce(F.col(label).cast("string"), F.lit("NA"))
-    parts = over_blocks(df, key, vector, sums, "k long, own string, c string, total double, n long", l=tagged).groupBy("k", "own", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    parts = over_blocks(
+        df, key, vector, sums, "k long, own string, c string, total double, n long", l=tagged,
+    ).groupBy("k", "own", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     a = F.max(F.when((F.col("c") == F.col("own")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
     b = F.min(F.when(F.col("c") != F.col("own"), F.col("total") / F.col("n")))
     both = parts.groupBy("k").agg(a.alias("a"), b.alias("b")).join(names, "k")
@@ -312,7 +314,9 @@ def sums_of_squares(df: DataFrame, vector: str, label: str) -> DataFrame:
     flat = df.select(F.col(label).alias("l"), F.posexplode(F.col(vector).cast("array<double>")).alias("d", "x"))
     by = flat.groupBy("l", "d").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     centre = by.groupBy("d").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
-    return by.join(centre, "d").agg(F.sum(F.col("n") * F.col("v")).alias("withinss"), F.sum(F.col("n") * (F.col("m") - F.col("g")) ** 2).alias("betweenss")).select((F.col("withinss") + F.col("betweenss")).alias("totss"), "withinss", "betweenss")
+    return by.join(centre, "d").agg(
+        F.sum(F.col("n") * F.col("v")).alias("withinss"), F.sum(F.col("n") * (F.col("m") - F.col("g")) ** 2).alias("betweenss"),
+    ).select((F.col("withinss") + F.col("betweenss")).alias("totss"), "withinss", "betweenss")
 
 
 def principal(df: DataFrame, features: str, k: int = 2) -> tuple[DataFrame, list[float]]:

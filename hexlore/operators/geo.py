@@ -158,16 +158,22 @@ def nearest(points: DataFrame, key: str, k: int, bucket: float | None = None) ->
     placed = points.select(F.col(key).alias("k"), "x", "y", F.floor(F.col("x") / bucket).alias("bx"), F.floor(F.col("y") / bucket).alias("by"))
     # Of the points at one place the least keys alone can be among anyone's nearest, so a crowded place costs a few rows.
     first = F.row_number().over(Window.partitionBy("x", "y").orderBy("k"))
-    others = placed.withColumn("n_", first).where(F.col("n_") <= k + 1).select(F.col("k").alias("dst"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
+    others = placed.withColumn("n_", first).where(F.col("n_") <= k + 1).select(
+        F.col("k").alias("dst"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("bx").alias("cx"), F.col("by").alias("cy"),
+    )
     reach, todo, done = 1, placed, None
     while True:
-        around = todo.withColumn("cx", F.explode(F.sequence(F.col("bx") - reach, F.col("bx") + reach))).withColumn("cy", F.explode(F.sequence(F.col("by") - reach, F.col("by") + reach)))
+        around = todo.withColumn(
+            "cx", F.explode(F.sequence(F.col("bx") - reach, F.col("bx") + reach)),
+        ).withColumn("cy", F.explode(F.sequence(F.col("by") - reach, F.col("by") + reach)))
         near = around.join(others, ["cx", "cy"]).where("k <> dst").withColumn("d", F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2))
         best = near.groupBy(F.col("k").alias("src")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "dst"))), 1, k).alias("best"))
         last = reach * bucket > extent
         # Everything within reach * bucket of the point has been seen.
         sure = F.lit(True) if last else (F.size("best") >= min(k, max(total - 1, 0))) & (F.get("best", F.size("best") - 1)["d"] <= reach * bucket)
-        settled = best.where(sure).select("src", F.posexplode("best").alias("pos", "b")).select("src", F.col("b.dst").alias("dst"), F.col("b.d").alias("d"), (F.col("pos") + 1).alias("rank"))
+        settled = best.where(sure).select("src", F.posexplode("best").alias("pos", "b")).select(
+            "src", F.col("b.dst").alias("dst"), F.col("b.d").alias("d"), (F.col("pos") + 1).alias("rank"),
+        )
         done = settled if done is None else done.unionByName(settled)
         if last:
             return done

@@ -23,7 +23,10 @@ from hexlore.functions.nulls import complete, safe_div, with_minmax100
 GRIDS = {
     "elastic": {"alpha": [0.0, 0.5, 1.0], "lambda": [float(v) for v in np.linspace(0.001, 1, 20)]},
     "forest": {"mtry": [3, 5, 7, 10]},
-    "boost": {"nrounds": [100, 200, 300], "max_depth": [3, 4, 6], "eta": [0.01, 0.05, 0.1], "gamma": [0, 0.1], "colsample_bytree": [0.6, 0.8], "min_child_weight": [1], "subsample": [0.7, 0.8]},
+    "boost": {
+        "nrounds": [100, 200, 300], "max_depth": [3, 4, 6], "eta": [0.01, 0.05, 0.1], "gamma": [0, 0.1], "colsample_bytree": [0.6, 0.8],
+        "min_child_weight": [1], "subsample": [0.7, 0.8],
+    },
 }
 #: The predictors of a cell's cluster, and the clusters that count as high risk.
 PREDICTORS = [
@@ -103,7 +106,10 @@ def elastic_net(features: str = "features", label: str = "label", folds: int = 5
     return _tuned(Pipeline(stages=[scaled, lr]), params, label, folds, fold_col, seed)
 
 
-def forest(features: str = "features", label: str = "label", trees: int = 500, folds: int = 5, grid: dict | None = None, fold_col: str = "", depth: int = 15, seed: int = 42) -> CrossValidator:
+def forest(
+    features: str = "features", label: str = "label", trees: int = 500, folds: int = 5, grid: dict | None = None, fold_col: str = "", depth: int = 15,
+    seed: int = 42,
+) -> CrossValidator:
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
     params = ParamGridBuilder().addGrid(rf.featureSubsetStrategy, [str(m) for m in (grid or GRIDS["forest"])["mtry"]]).build()
     return _tuned(rf, params, label, folds, fold_col, seed)
@@ -122,11 +128,18 @@ class BoostedClasses:
     models: list[Model] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, df: DataFrame, n_classes: int, *, features: str = "features", label: str = "label", nrounds: int = 20, max_depth: int = 3, eta: float = 0.1, gamma: float = 0.0, subsample: float = 1.0, colsample: float = 1.0, min_child_weight: int = 1, seed: int = 42) -> BoostedClasses:
+    def fit(
+        cls, df: DataFrame, n_classes: int, *, features: str = "features", label: str = "label", nrounds: int = 20, max_depth: int = 3,
+        eta: float = 0.1, gamma: float = 0.0, subsample: float = 1.0, colsample: float = 1.0, min_child_weight: int = 1, seed: int = 42,
+    ) -> BoostedClasses:
         out = cls(features)
         for c in range(n_classes):
             one = df.withColumn("one_", (F.col(label) == c).cast("double"))
-            gbt = GBTClassifier(featuresCol=features, labelCol="one_", maxIter=nrounds, maxDepth=max_depth, stepSize=eta, minInfoGain=gamma, subsamplingRate=subsample, featureSubsetStrategy=str(colsample) if colsample < 1 else "all", minInstancesPerNode=min_child_weight, seed=seed)
+            gbt = GBTClassifier(
+                featuresCol=features, labelCol="one_", maxIter=nrounds, maxDepth=max_depth, stepSize=eta, minInfoGain=gamma,
+                subsamplingRate=subsample, featureSubsetStrategy=str(colsample) if colsample < 1 else "all", minInstancesPerNode=min_child_weight,
+                seed=seed,
+            )
             out.models.append(gbt.fit(one))
         return out
 
@@ -142,14 +155,20 @@ class BoostedClasses:
         return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double")).select(*kept, "probability", "prediction")
 
 
-def tuned_boost(df: DataFrame, n_classes: int, *, features: str = "features", label: str = "label", grid: dict | None = None, folds: int = 5, fold_col: str = "", seed: int = 42, jobs: int = 4) -> tuple[BoostedClasses, list[tuple[dict, float]]]:
+def tuned_boost(
+    df: DataFrame, n_classes: int, *, features: str = "features", label: str = "label", grid: dict | None = None, folds: int = 5, fold_col: str = "",
+    seed: int = 42, jobs: int = 4,
+) -> tuple[BoostedClasses, list[tuple[dict, float]]]:
     """The boosted classes of the best setting, refitted on all rows, and every setting with its mean accuracy over folds.
 
     Folds are those of fold_col, else by a hash of the rows. Settings are fitted side by side, jobs at a time. The first
     of equals is best.
     """
     g = grid or GRIDS["boost"]
-    names = {"nrounds": "nrounds", "max_depth": "max_depth", "eta": "eta", "gamma": "gamma", "colsample_bytree": "colsample", "min_child_weight": "min_child_weight", "subsample": "subsample"}
+    names = {
+        "nrounds": "nrounds", "max_depth": "max_depth", "eta": "eta", "gamma": "gamma", "colsample_bytree": "colsample",
+        "min_child_weight": "min_child_weight", "subsample": "subsample",
+    }
     settings = [{names[k]: v for k, v in zip(g, row, strict=True)} for row in product(*g.values())]
     fold = fold_col or "fold_"
     dealt = df if fold_col else df.withColumn(fold, F.pmod(F.xxhash64(*[c for c in df.columns if c != features], F.lit(seed)), F.lit(folds)).cast("int"))
@@ -222,7 +241,10 @@ def by_class(matrix: DataFrame) -> DataFrame:
 
 def metrics(matrix: DataFrame) -> DataFrame:
     """accuracy, kappa, mean_f1 (classes without an F1 left out) from a confusion table."""
-    sums = by_class(matrix).agg(F.sum("tp").alias("tp"), F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n_predicted")).alias("chance"), F.avg("f1").alias("mean_f1"))
+    sums = by_class(matrix).agg(
+        F.sum("tp").alias("tp"), F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n_predicted")).alias("chance"),
+        F.avg("f1").alias("mean_f1"),
+    )
     po, pe = safe_div("tp", "all"), safe_div(F.col("chance"), F.col("all").cast("double") * F.col("all"))
     return sums.select(po.alias("accuracy"), safe_div(po - pe, 1 - pe).alias("kappa"), "mean_f1")
 
@@ -235,7 +257,13 @@ def performance(df: DataFrame, actual: str, predictions: dict[str, str]) -> Data
 
 def f1_by_model(df: DataFrame, actual: str, predictions: dict[str, str]) -> DataFrame:
     """class, model, f1 of the predictions (model: column)."""
-    tables = [class_names(by_class(confusion(df, actual, c)).select(F.concat(F.lit("Class: "), F.col("class").cast("string")).alias("class"), F.lit(m).alias("model"), "f1"), "class") for m, c in predictions.items()]
+    tables = [
+        class_names(
+            by_class(confusion(df, actual, c)).select(F.concat(F.lit("Class: "), F.col("class").cast("string")).alias("class"), F.lit(m).alias("model"), "f1"),
+            "class",
+        ) for m,
+        c in predictions.items()
+    ]
     return reduce(DataFrame.unionByName, tables)
 
 

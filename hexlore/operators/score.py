@@ -95,10 +95,16 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def dashboard(df: DataFrame, score: str, category: str) -> DataFrame:
     high = F.col(category).isin(*CATEGORIES[2:])
-    return with_quantiles(df, score, {"median_score": 0.5}, F.count(F.lit(1)).alias("n_cells"), F.avg(score).alias("mean_score"), F.count_if(high).alias("n_high"), (F.count_if(high) * 100.0 / F.count(F.lit(1))).alias("pct_high"))
+    return with_quantiles(
+        df, score, {"median_score": 0.5}, F.count(F.lit(1)).alias("n_cells"), F.avg(score).alias("mean_score"), F.count_if(high).alias("n_high"),
+        (F.count_if(high) * 100.0 / F.count(F.lit(1))).alias("pct_high"),
+    )
 
 
 def popup(title: Column, score: Column, category: Column, why: Column) -> Column:
     """The text of a map popup; missing values read NA."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit("NA"))
-    return F.concat(F.lit("<b>Cell "), text(title), F.lit("</b><br>Score: "), F.coalesce(F.format_number(F.bround(score, 1), 1), F.lit("NA")), F.lit("<br>Risk: "), text(category), F.lit("<br>"), F.regexp_replace(text(why), "; ", "<br>"))
+    return F.concat(
+        F.lit("<b>Cell "), text(title), F.lit("</b><br>Score: "), F.coalesce(F.format_number(F.bround(score, 1), 1), F.lit("NA")),
+        F.lit("<br>Risk: "), text(category), F.lit("<br>"), F.regexp_replace(text(why), "; ", "<br>"),
+    )

@@ -182,7 +182,9 @@ SELECT type, class, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PA
 def prediction_distribution(spark, d):
     from pyspark.sql import Window
 
-    u = shape.pivot_longer(predicted(spark, d), ["vec_id"], ["actual", "predicted"], "type", "class").groupBy(F.initcap("type").alias("type"), "class").agg(F.count(F.lit(1)).alias("n"))
+    u = shape.pivot_longer(
+        predicted(spark, d), ["vec_id"], ["actual", "predicted"], "type", "class",
+    ).groupBy(F.initcap("type").alias("type"), "class").agg(F.count(F.lit(1)).alias("n"))
     return u.withColumn("proportion", r6(F.col("n") / F.sum("n").over(Window.partitionBy("type"))))
 
 
@@ -282,7 +284,10 @@ def variable_importance(spark, d):
         names = [f"d{k}" for k in range(df.first().features.size)]
         train = df.where("in_train")
         n_classes = int(train.agg(F.max("label")).first()[0]) + 1
-        fitted = {"elastic": models.linear(0.0, 0.01).fit(train), "forest": models.forest(trees=10, folds=2, grid={"mtry": [3]}, depth=5).fit(train), "boost": models.BoostedClasses.fit(train, n_classes, nrounds=2)}
+        fitted = {
+            "elastic": models.linear(0.0, 0.01).fit(train), "forest": models.forest(trees=10, folds=2, grid={"mtry": [3]}, depth=5).fit(train),
+            "boost": models.BoostedClasses.fit(train, n_classes, nrounds=2),
+        }
         tables = {name: models.importance(m, names, spark) for name, m in fitted.items()}
     finally:
         df.unpersist()
@@ -297,7 +302,10 @@ MEANS = ["mean_rent", "mean_demo", "mean_vuln"]
 
 def segmented(spark, d) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, d, "customer").select(k, F.col("c_mktsegment").alias("cluster"), F.col("c_acctbal").alias("rent"), (k * 7919 % 1000 / 10.0).alias("demo"), F.when(k % 13 != 0, k * 104729 % 1000 / 10.0).alias("vuln"))
+    return table(spark, d, "customer").select(
+        k, F.col("c_mktsegment").alias("cluster"), F.col("c_acctbal").alias("rent"), (k * 7919 % 1000 / 10.0).alias("demo"),
+        F.when(k % 13 != 0, k * 104729 % 1000 / 10.0).alias("vuln"),
+    )
 
 
 def profiled(spark, d) -> DataFrame:
@@ -364,7 +372,10 @@ WHEN risk_score > 75 THEN 'Very High' END AS risk_category FROM es)"""
 
 def ensembled(spark, d) -> DataFrame:
     rows = expected(spark, d).join(predicted(spark, d), "vec_id")
-    rows = rows.select("vec_id", F.when(F.col("vec_id") % 10 != 0, F.col("expected")).alias("el"), (F.col("predicted") * 12.0).alias("rf"), ((F.col("actual") + 1) * 11.0).alias("xg"))
+    rows = rows.select(
+        "vec_id", F.when(F.col("vec_id") % 10 != 0, F.col("expected")).alias("el"), (F.col("predicted") * 12.0).alias("rf"),
+        ((F.col("actual") + 1) * 11.0).alias("xg"),
+    )
     accuracy = spark.createDataFrame([(0.6, 0.65, 0.75)], "elastic double, forest double, boost double")
     out = score.ensemble(rows, accuracy, {"elastic": "el", "forest": "rf", "boost": "xg"}, ("elastic", "forest", "boost"))
     out = rounded(out, "risk_score")

@@ -24,7 +24,13 @@ WEST, SOUTH, SPAN = -97.95, 30.1, 0.3
 ORIGIN = (-97.8, 30.25)
 EDGE = 1500.0
 #: Quick settings: a few of the full grids' values, fewer restarts and trees. Whole runs take Config() as it is.
-QUICK = Config(cell_edge=EDGE, restarts=3, final_restarts=5, k_range=(2, 6), trees=30, depth=6, folds=3, grids={"elastic": {"alpha": [0.0, 1.0], "lambda": [0.001, 0.1]}, "forest": {"mtry": [3, 5]}, "boost": {"nrounds": [5], "max_depth": [3], "eta": [0.1], "gamma": [0], "colsample_bytree": [0.8], "min_child_weight": [1], "subsample": [0.8]}})
+QUICK = Config(
+    cell_edge=EDGE, restarts=3, final_restarts=5, k_range=(2, 6), trees=30, depth=6, folds=3,
+    grids={
+        "elastic": {"alpha": [0.0, 1.0], "lambda": [0.001, 0.1]}, "forest": {"mtry": [3, 5]},
+        "boost": {"nrounds": [5], "max_depth": [3], "eta": [0.1], "gamma": [0], "colsample_bytree": [0.8], "min_child_weight": [1], "subsample": [0.8]},
+    },
+)
 
 CITY = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"NAME":"Elsewhere"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}},{"type":"Feature","properties":{"NAME":"City"},"geometry":{"type":"Polygon","coordinates":[[[-97.95,30.1],[-97.65,30.1],[-97.65,30.4],[-97.95,30.4],[-97.95,30.1]]]}}]}'
 
@@ -71,9 +77,14 @@ ESTIMATES = {
 def raw_tables(spark, d) -> analysis.Raw:
     customers = table(spark, d, "customer")
     wide = customers.groupBy("c_nationkey").agg(*[F.expr(e).alias(c) for c, e in ESTIMATES.items()])
-    tracts = wide.unpivot(["c_nationkey"], list(ESTIMATES), "variable", "estimate").select(F.col("c_nationkey").alias("tract"), tract_ring("c_nationkey").alias("ring"), "variable", "estimate")
+    tracts = wide.unpivot(["c_nationkey"], list(ESTIMATES), "variable", "estimate").select(
+        F.col("c_nationkey").alias("tract"), tract_ring("c_nationkey").alias("ring"), "variable", "estimate",
+    )
     orders = table(spark, d, "orders").select(*lonlat("o_custkey"), F.year("o_orderdate").alias("year"))
-    lines = table(spark, d, "lineitem").select(*lonlat("l_partkey"), F.col("l_partkey").alias("building"), events.quarter_start("l_shipdate").alias("period"), F.col("l_extendedprice").alias("rent"))
+    lines = table(spark, d, "lineitem").select(
+        *lonlat("l_partkey"), F.col("l_partkey").alias("building"), events.quarter_start("l_shipdate").alias("period"),
+        F.col("l_extendedprice").alias("rent"),
+    )
     return analysis.Raw(outline(spark), tracts, orders, lines, ORIGIN, list(ESTIMATES), series.COUNT_YEARS, series.QUARTERS, series.PICKS, (1999, 2000, 2001))
 
 
@@ -109,7 +120,9 @@ round(1.5 * {S3}::DOUBLE * {EDGE}::DOUBLE * {EDGE}::DOUBLE / 1000000, 6) AS area
 def projected_grid(spark, d):
     """Cells of the city's outline, read from GeoJSON and projected, with centres in degrees and areas in km2."""
     g = analysis.grid(outline(spark), ORIGIN, EDGE)
-    return rounded(g, "longitude", "latitude", "area_km2").select(F.col("q").cast("long").alias("q"), F.col("r").cast("long").alias("r"), "hex_id", "longitude", "latitude", "area_km2")
+    return rounded(g, "longitude", "latitude", "area_km2").select(
+        F.col("q").cast("long").alias("q"), F.col("r").cast("long").alias("r"), "hex_id", "longitude", "latitude", "area_km2",
+    )
 
 
 #: Zones of several shapes in the unit square; the first two overlap.
@@ -158,7 +171,10 @@ def tract_totals_on_cells(spark, d):
     return found.agg(F.round(F.sum("total_pop"), 4).alias("total_pop")).join(n).select("n_tracts", "total_pop")
 
 
-LAG_COLUMNS = {"rent_change_total": "v", "demo_density": "k % 17 * 1.5", "median_income": "v + k % 5", "vulnerability_index": "CASE WHEN k % 9 = 0 THEN NULL ELSE k % 101 * 1.0 END"}
+LAG_COLUMNS = {
+    "rent_change_total": "v", "demo_density": "k % 17 * 1.5", "median_income": "v + k % 5",
+    "vulnerability_index": "CASE WHEN k % 9 = 0 THEN NULL ELSE k % 101 * 1.0 END",
+}
 NEAR = f"""{space.POINTS}, lc AS (SELECT k, x, y, {', '.join(f'{e} AS {c}' for c, e in LAG_COLUMNS.items())} FROM pt),
 nn AS (SELECT a.k AS src, b.*, row_number() OVER (PARTITION BY a.k ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.k) AS rank FROM lc a
 JOIN lc b ON a.k <> b.k AND abs(a.x - b.x) < 0.5 AND abs(a.y - b.y) < 0.5)"""
@@ -224,7 +240,9 @@ def nan_is_missing(spark, d):
     t = table(spark, d, "customer").select(k, F.when(k % 11 == 0, None).when(k % 7 == 0, float("nan")).otherwise(F.col("c_acctbal")).alias("v"))
     out = nulls.with_zscores(nulls.with_minmax100(t, {"scaled": "v"}), {"z": "v"})
     gaps = shape.missing_profile(t, ["v"]).select(r6("pct_missing").alias("pct_missing"))
-    return rounded(shape.with_missing_flags(out, ["v"]), "scaled", "z").join(F.broadcast(gaps)).select("c_custkey", "scaled", "z", "pct_missing", F.col("sufficient_data").alias("sufficient"))
+    return rounded(shape.with_missing_flags(out, ["v"]), "scaled", "z").join(F.broadcast(gaps)).select(
+        "c_custkey", "scaled", "z", "pct_missing", F.col("sufficient_data").alias("sufficient"),
+    )
 
 
 @query(f"""WITH {learning.SEG}, t AS (SELECT c_custkey, c_custkey % 6 AS cluster, rent, demo, vuln FROM (SELECT c_custkey, c_acctbal AS rent, c_custkey * 7919 % 1000 / 10.0 AS demo,

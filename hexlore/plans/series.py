@@ -106,7 +106,10 @@ round(CASE WHEN len(l) >= 2 THEN list_stddev_samp(l) / list_avg(l) END, 6) AS vo
 def rate_accel_helpers(spark, d):
     y = table(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("cell"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("s"))
     a = y.groupBy("cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "s"))), lambda x: x["s"]).alias("l"))
-    return a.select("cell", r6(nulls.rate_of_change(F.col("l"))).alias("rate"), F.round(nulls.acceleration(F.col("l")), 4).alias("accel"), r6(nulls.volatility(F.col("l"))).alias("vol"))
+    return a.select(
+        "cell", r6(nulls.rate_of_change(F.col("l"))).alias("rate"), F.round(nulls.acceleration(F.col("l")), 4).alias("accel"),
+        r6(nulls.volatility(F.col("l"))).alias("vol"),
+    )
 
 
 COUNT_YEARS = list(range(1995, 2002))
@@ -173,7 +176,10 @@ def missing_profile(spark, d):
 
 def gappy(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(k % 7 != 0, F.col("o_totalprice")).alias("price"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("priority"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", F.when(k % 7 != 0, F.col("o_totalprice")).alias("price"),
+        F.when(k % 3 != 0, F.col("o_orderpriority")).alias("priority"),
+    )
 
 
 @query("""SELECT s AS l_suppkey, round(CASE WHEN count(e) = count(*) THEN sum(e) END, 2) AS estimate FROM (SELECT l_suppkey AS s, CASE WHEN (l_orderkey * 31 + l_linenumber) % 997 = 0 THEN NULL ELSE l_extendedprice * (1 - l_discount) END AS e FROM lineitem) GROUP BY s""")
@@ -239,7 +245,11 @@ def vulnerable(spark, d) -> DataFrame:
     dc = table(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_nationkey").cast("long").alias("cell")).agg(F.count("o_orderkey").alias("n_orders"))
     pct = lambda c: nulls.pct(c, "total")
     base = seg.join(dc, "cell").join(rent_table(spark, d).select("cell", "median_rent", "rent_change_total", "rent_level_ratio"), "cell", "left")
-    base = base.select("cell", F.col("total").alias("income"), pct("building").alias("renters"), pct("household").alias("poverty"), F.when(F.col("cell") % 6 != 0, pct("machinery")).alias("college"), "median_rent", "rent_change_total", "rent_level_ratio", (F.col("n_orders") / 2.5).alias("demo_density"))
+    base = base.select(
+        "cell", F.col("total").alias("income"), pct("building").alias("renters"), pct("household").alias("poverty"),
+        F.when(F.col("cell") % 6 != 0, pct("machinery")).alias("college"), "median_rent", "rent_change_total", "rent_level_ratio",
+        (F.col("n_orders") / 2.5).alias("demo_density"),
+    )
     return features.vulnerability(base, "income", "renters", "poverty", "college", "median_rent")
 
 

@@ -92,7 +92,10 @@ def overlaps(spark, d) -> DataFrame:
     n, row, at = F.col("n_nationkey"), F.floor(F.col("n_nationkey") / 5), F.col("n_nationkey") % 5
     nation = table(spark, d, "nation")
     a = nation.select(n.alias("a"), (at * 1.0).alias("x0"), (row * 1.0).alias("y0"), (at + 1.0).alias("x1"), (row + 1.0).alias("y1"))
-    b = nation.select(n.alias("b"), (at * 0.9 + 0.25).alias("x0"), (row * 0.8 + 0.5).alias("y0"), (at * 0.9 + 1.25).alias("x1"), (row * 0.8 + 1.0).alias("y1"), F.when(n != 7, n * 10.0).alias("e"))
+    b = nation.select(
+        n.alias("b"), (at * 0.9 + 0.25).alias("x0"), (row * 0.8 + 0.5).alias("y0"), (at * 0.9 + 1.25).alias("x1"), (row * 0.8 + 1.0).alias("y1"),
+        F.when(n != 7, n * 10.0).alias("e"),
+    )
     o = geo.rect_overlap(a, b, 1.0)
     return o.withColumn("w", F.col("shared") / ((F.col("b_x1") - F.col("b_x0")) * (F.col("b_y1") - F.col("b_y0")))).withColumn("variable", F.lit("e"))
 

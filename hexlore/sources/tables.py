@@ -80,7 +80,10 @@ def read_rent_history(spark: SparkSession, path: str) -> DataFrame:
     from hexlore.operators.events import parse_quarter
 
     rows = read_csv(spark, path, SCHEMAS["rent_history"])
-    return rows.select(F.col("Building Address").alias("building_address"), F.col("Building Name").alias("building_name"), F.col("Zip Code").alias("zip"), parse_quarter(F.col("Period")).alias("period"), F.col("Asking Rent Per Unit").alias("rent"))
+    return rows.select(
+        F.col("Building Address").alias("building_address"), F.col("Building Name").alias("building_name"), F.col("Zip Code").alias("zip"),
+        parse_quarter(F.col("Period")).alias("period"), F.col("Asking Rent Per Unit").alias("rent"),
+    )
 
 
 def save(df: DataFrame, path: str, description: str = "") -> None:
