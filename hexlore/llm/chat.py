@@ -59,7 +59,10 @@ def spans_of(blocks: Column, learn_role: str) -> Column:
     return F.aggregate(blocks, state(F.lit(0), F.lit(0), F.array()), step)["out"]
 
 
-def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn_role: str = "assistant") -> DataFrame:
+def format_conversations(
+    turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    learn_role: str = "assistant",
+) -> DataFrame:
     """One row per conversation: its id, formatted (the whole string) and loss, the mask as places in that string.
 
     Rows are ordered by turn, role and text, null turns first, so ties and repeated rows have a fixed place and none
@@ -68,7 +71,10 @@ def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col:
     first_byte, end_byte; ends exclusive) for each text of learn_role, without what the template puts between merged
     turns; further columns are not read.
     """
-    rows = turns.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
+    rows = turns.select(
+        F.col(id_col).alias("id"),
+        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
+    )
     talks = rows.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     escaped = F.transform("t", lambda x: F.struct(x["role"].alias("role"), escape(x["text"]).alias("text")))
     blocks = talks.select("id", merged(escaped).alias("blocks"))
@@ -101,4 +107,8 @@ def digests(formatted: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
     loss = F.concat_ws("", under_mask(F.col("formatted"), F.col("loss")))
     back = formatted.select(id_col, "formatted", read_back(F.col("formatted")).alias("turns"), loss.alias("loss"))
     told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    return back.select(id_col, F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.select(
+        id_col, F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )

@@ -48,7 +48,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], ratio: float, most_copie
     level, n_full = float("-inf"), -1
     while True:
         full = F.col("fill") <= F.lit(level)
-        r = s.agg(F.sum("source_size").alias("all"), F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        r = s.agg(
+            F.sum("source_size").alias("all"), F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap"))).alias("cap"),
+            F.sum(F.when(~full, F.col("w"))).alias("w"),
+        ).first()
         if r.w is None or r.n == n_full:
             break
         n_full, level = r.n, (ratio * r["all"] - (r.cap or 0)) / r.w
@@ -63,7 +66,10 @@ def measure(size: Column) -> Column:
 
 def sized(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, th (hash of the text), source, size and same (a hash of id, text and source), and carry as carry_*."""
-    out = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    out = docs.select(
+        F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(source_col).alias("source"),
+        F.size(words(F.col(text_col))).cast("long").alias("size"), *[F.col(c).alias(f"carry_{c}") for c in carry]
+    )
     return out.withColumn("same", F.xxhash64("id", F.lit("|"), "th", F.lit("|"), "source"))
 
 
@@ -139,7 +145,10 @@ def planned(base: DataFrame, *, weights: tuple[int, ...], ratio: float, most_cop
     classes = cut_lineage(base.groupBy("source", measure(F.col("size")).alias("m")).agg(F.sum("size").alias("class_words")))
     sizes = classes.groupBy("source").agg(F.sum("class_words").alias("source_size"))
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
-    aims = targets(sizes, weights, ratio, most_copies).select(F.col("source").alias("name"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("missing"))
+    aims = targets(sizes, weights, ratio, most_copies).select(
+        F.col("source").alias("name"), "source_size", "target", whole.alias("whole"),
+        (F.col("target") - whole * F.col("source_size")).alias("missing"),
+    )
     aims = cut_lineage(inclusion(aims, classes))
 
     def added(aims: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -148,7 +157,9 @@ def planned(base: DataFrame, *, weights: tuple[int, ...], ratio: float, most_cop
 
     aims = added(aims, cut(ranked(base, aims).withColumn("base", F.lit(0).cast("long")), "bin"), "cut_bin")
     aims = added(aims, cut(ranked(base, aims).where("bin = cut_bin").withColumn("base", F.col("before")), "part"), "cut_part")
-    edge = ranked(base, aims).where("part = cut_part").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.any_value("missing").alias("missing"), F.any_value("before").alias("before"))
+    edge = ranked(base, aims).where("part = cut_part").groupBy("source", "rank").agg(
+        F.sum("size").alias("words"), F.any_value("missing").alias("missing"), F.any_value("before").alias("before"),
+    )
     ahead = F.col("before") + F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = edge.withColumn("ahead", ahead).where(F.col("ahead") + F.col("words") / 2 <= F.col("missing")).groupBy("source").agg(F.max("rank").alias("cut_rank"))
     return cut_lineage(aims.join(last.withColumnRenamed("source", "name_"), F.col("name").eqNullSafe(F.col("name_")), "left").drop("name_", "before"))
@@ -160,7 +171,10 @@ def copies(most_copies: int) -> Column:
     return (F.col("whole") + F.when((F.col("whole") < most_copies) & (F.col("p") > 0) & inside, 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ratio: float = 1.5, most_copies: int = 2, seed: int = 42) -> DataFrame:
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
+    ratio: float = 1.5, most_copies: int = 2, seed: int = 42,
+) -> DataFrame:
     """One row per row of docs: id, size, source_size, target, taken, copies, source.
 
     size is the number of words (null text: 0), copies the whole copies that the mix takes, most_copies at most, and
@@ -173,10 +187,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     base = cut_lineage(sized(docs, id_col=id_col, text_col=text_col, source_col=source_col))
     base = cut_lineage(drawn(base, repeated(base), seed))
     rows = ranked(base, planned(base, weights=weights, ratio=ratio, most_copies=most_copies)).withColumn("copies", copies(most_copies))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", F.col("source").alias(source_col))
+    return rows.select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies",
+        F.col("source").alias(source_col),
+    )
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ratio: float = 1.5, most_copies: int = 2, seed: int = 42) -> DataFrame:
+def mixed(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
+    ratio: float = 1.5, most_copies: int = 2, seed: int = 42,
+) -> DataFrame:
     """The mix itself: each row of docs, with all its columns, as many times as mix() takes it.
 
     Texts are not shuffled, but for those of rows that repeat each other's id, text and source.

@@ -135,7 +135,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                     bands.append(band_keys(least))
                     sketch.append(odd_sketch(least))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs)],
+                names=schema.names,
+            )
 
     return source.mapInArrow(run, schema)
 

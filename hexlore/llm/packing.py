@@ -122,7 +122,10 @@ def pack(
         for batch in batches:
             found = [bins.place(n) for n in batch.column(3).to_pylist()]
             bins.closed.clear()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), batch.columns[-1]], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-3], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), batch.columns[-1]],
+                names=names
+            )
 
     again = left.repartition(groups, "sequence_id").sortWithinPartitions(F.col("length").desc(), "sequence_id", "offset").mapInArrow(second, schema)
     out = packed.where("not open").unionByName(again)

@@ -110,7 +110,10 @@ def slopes(scores: np.ndarray, thresholds: np.ndarray, grades: np.ndarray) -> tu
     return dh - dl, np.bincount(grades, weights=-dh, minlength=k + 1)[:k] + np.bincount(grades, weights=dl, minlength=k + 1)[1:]
 
 
-def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, *, epochs: int = 25, batch: int = 256, rate: float = 0.3, shrink: float = 5e-4, least_rows: int = 5, seed: int = 42) -> Ordinal:
+def fit(
+    flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, *, epochs: int = 25, batch: int = 256, rate: float = 0.3,
+    shrink: float = 5e-4, least_rows: int = 5, seed: int = 42,
+) -> Ordinal:
     """Maximum likelihood with AdaGrad and soft thresholding of weights; a first threshold and positive steps keep the thresholds in order.
 
     Features of fewer than least_rows rows keep the weight zero, as one text would set them.
@@ -173,7 +176,10 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, *, id_col: str, tex
         chosen.append((r.id, r.th, r.grade))
     if not chosen:
         return fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), n_grades)
-    wanted = spark.createDataFrame(chosen, T.StructType([T.StructField("id_", facts.schema["id"].dataType), T.StructField("th_", T.LongType()), T.StructField("grade", T.IntegerType())]))
+    wanted = spark.createDataFrame(
+        chosen,
+        T.StructType([T.StructField("id_", facts.schema["id"].dataType), T.StructField("th_", T.LongType()), T.StructField("grade", T.IntegerType())]),
+    )
     rated = texts.join(F.broadcast(wanted), (F.col("id") == F.col("id_")) & (F.xxhash64("text") == F.col("th_"))).select("id", "th_", "grade", "text")
 
     def run(batches):
@@ -181,7 +187,10 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, *, id_col: str, tex
             for at, part in octets(batch.column(3)):
                 flat, sizes = features(part)
                 cut = np.split(flat.astype(np.int32), np.cumsum(sizes)[:-1])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(3)), pa.array([c.tobytes() for c in cut], pa.binary())], names=["id", "th_", "grade", "features"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).slice(at, len(part)) for k in range(3)), pa.array([c.tobytes() for c in cut], pa.binary())],
+                    names=["id", "th_", "grade", "features"]
+                )
 
     schema = T.StructType([rated.schema["id"], rated.schema["th_"], rated.schema["grade"], T.StructField("features", T.BinaryType())])
     rows = rated.mapInArrow(run, schema).groupBy("id", "th_", "grade").agg(F.any_value("features").alias("features")).collect()
@@ -196,7 +205,10 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), grade.alias("grade")).where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
 
 
-def rate(docs: DataFrame, grades: DataFrame, *, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000, most_bytes: int = 32_000_000, least_tail: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def rate(
+    docs: DataFrame, grades: DataFrame, *, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000,
+    most_bytes: int = 32_000_000, least_tail: float = 0.5, carry: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per row of docs: id, expected_grade, tail_probability (of the top grade), kept (and the columns in carry).
 
     kept is tail_probability >= least_tail. Null texts are empty; null and repeated ids are carried as they are; an

@@ -75,7 +75,10 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     windows = F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)]))
     hashed = hashed.select(*kept, *counts, windows.alias("g"))
     # Sorted only where some window repeats.
-    marked = hashed.select(*kept, *counts, F.when(F.size(F.array_distinct("g")) < F.size("g"), F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"))
+    marked = hashed.select(
+        *kept, *counts,
+        F.when(F.size(F.array_distinct("g")) < F.size("g"), F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"),
+    )
     twin = lambda x, k, step: F.coalesce(F.get("s", k + step)["x"] == x["x"], F.lit(False))
     places = F.sort_array(F.filter(F.transform("s", lambda x, k: F.when(twin(x, k, -1) | twin(x, k, 1), x["i"])), lambda i: i.isNotNull()))
     marked = marked.select(*kept, *counts, places.alias("p"))

@@ -67,7 +67,10 @@ def open_parts(runs: Column, fixed: Column) -> Column:
             return F.when(run["e"] - acc["at"] >= LEAST, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), run["e"].alias("e"))))).otherwise(acc["out"])
 
         left = F.aggregate(met, start, step, end)
-        return F.transform(left, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.substr(run["token"], (p["s"] - run["s"] + 1).cast("int"), (p["e"] - p["s"]).cast("int")).alias("token")))
+        return F.transform(
+            left,
+            lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.substr(run["token"], (p["s"] - run["s"] + 1).cast("int"), (p["e"] - p["s"]).cast("int")).alias("token")),
+        )
 
     return F.flatten(F.transform(runs, parts))
 
@@ -116,7 +119,9 @@ def labelled_samples(docs: DataFrame, *, id_col: str, text_col: str, most_rows:
     bare = F.regexp_replace(F.regexp_replace("text", BASE["assign"][0], " "), r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
     plain = picked.select(F.explode(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))).alias("token")).select("token", F.lit(False).alias("random"))
     digest = F.sha2(F.col("id").cast("string"), 256)
-    made = docs.sparkSession.range(n_random).select(F.explode(F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "[\r\n]", ""))).alias("token"), F.lit(True).alias("random"))
+    made = docs.sparkSession.range(n_random).select(
+        F.explode(F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "[\r\n]", ""))).alias("token"), F.lit(True).alias("random"),
+    )
     return hits.unionByName(plain).unionByName(made)
 
 
@@ -181,7 +186,17 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     out = scan(named, id_col=key, text_col=body, carry=tuple(c for c in named.columns if c != key), **options)
     text, spans = F.col(body), F.col("spans")
     # Overlapping spans count as one: a span begins where none before it reaches.
-    reach = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.array(F.substr(text, acc["at"].cast("int") + 1, (x["s"] - acc["at"]).cast("int")), F.lit(mark)))).otherwise(acc["out"]).alias("out")), lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"].cast("int") + 1)))
+    reach = F.aggregate(
+        spans, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), lambda acc,
+        x: F.struct(
+            F.greatest(acc["at"], x["e"]).alias("at"),
+            F.when(
+                x["s"] >= acc["at"],
+                F.concat(acc["out"], F.array(F.substr(text, acc["at"].cast("int") + 1, (x["s"] - acc["at"]).cast("int")), F.lit(mark))),
+            ).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"].cast("int") + 1)),
+    )
     changed = F.when(F.size(spans) > 0, reach).otherwise(text)
     return out.withColumn(body, changed).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
 

@@ -205,7 +205,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     """
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * least)))
     rows = cut_lineage(packed(vectors, id_col, vector_col))
-    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("label"), F.count(F.lit(1)).alias("copies"), F.any_value("dim").alias("dim"), F.any_value("raw").alias("raw"))
+    classes = rows.where("fp is not null").groupBy("fp").agg(
+        F.min("id").alias("label"), F.count(F.lit(1)).alias("copies"), F.any_value("dim").alias("dim"), F.any_value("raw").alias("raw"),
+    )
     classes = cut_lineage(classes)
     # Fingerprints are random, so the least ones are a sample.
     first = classes.select("fp", "dim").orderBy("fp").limit(SAMPLE).collect()
@@ -267,4 +269,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     labels = cut_lineage(join_hot(labels, firsts, "root", "members").select("fp", "n_links", "component_id", "copies"))
     component = F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = join_hot(rows.select("id", "fp"), labels, "fp", "copies")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"),
+    )
