@@ -20,28 +20,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def windows(octets: np.ndarray, step: int = 1) -> np.ndarray:
-    """The eight bytes from each place (each step bytes) on as numbers; zeros follow the last byte."""
+def windows(octets: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as numbers; zeros follow the last byte."""
     padded = octets.tobytes() + bytes(8)
-    return np.ndarray((len(octets) // step,), np.dtype("<u8"), padded, 0, (step,))
+    return np.ndarray((len(octets),), np.dtype("<u8"), padded, 0, (1,))
 
 
-def hash_runs(octets: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def cut_mask(rest: np.ndarray) -> np.ndarray:
+    """Masks of the bytes that count of eight where rest are left (all of them from eight on)."""
+    return _MASKS[np.minimum(rest, 8)]
+
+
+_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hash_runs(octets: np.ndarray, first: np.ndarray, last: np.ndarray, view: np.ndarray | None = None) -> np.ndarray:
     """The hash of octets[first:last] for each run, a function of the run's bytes and their number alone.
 
     Eight bytes at a time are mixed into the state by steps that can be undone, so runs of up to eight bytes and of one
-    length never collide, and longer ones do as random numbers would: no sums that patterns could cancel.
+    length never collide, and longer ones do as random numbers would: no sums that patterns could cancel. view is
+    windows(octets), where the caller has it.
     """
     size = last - first
     state = mix64(size.astype(np.uint64) * ODD + np.uint64(1))
-    view = windows(octets)
+    view = windows(octets) if view is None else view
     left = np.flatnonzero((size > 0) & (size <= LONG_RUN))
     at = 0
     while len(left):
         rest = size[left] - at
-        part = view[first[left] + at]
-        cut = np.minimum(rest, 8).astype(np.uint64) * np.uint64(8)
-        part &= np.where(cut == 64, np.uint64(2**64 - 1), (np.uint64(1) << (cut & np.uint64(63))) - np.uint64(1))
+        part = view[first[left] + at] & cut_mask(rest)
         state[left] = mix64((state[left] ^ part) * ODD)
         left, at = left[rest > 8], at + 8
     for k in np.flatnonzero(size > LONG_RUN).tolist():

@@ -18,14 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 
-from hexlore.llm.hashing import hash_runs, windows
+from hexlore.llm.hashing import cut_mask, hash_runs, windows
 
 #: Pre-tokens with more symbols than this are merged one by one, with work for the places that a merge touches only.
 LONG_WORD = 4096
-#: Pre-tokens of up to so many characters are remembered in arrays, longer ones by themselves.
-SHORT = 32
-#: Longer pre-tokens are not remembered beyond their slice, and characters that a worker remembers.
-MEMO_LONGEST, MEMO_CHARS = 4096, 30_000_000
+#: Pre-tokens of up to so many bytes are remembered in arrays, longer ones by themselves.
+SHORT = 64
+#: Longer pre-tokens are not remembered beyond their slice, and bytes that a worker remembers of those by themselves.
+MEMO_LONGEST, MEMO_BYTES = 4096, 30_000_000
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 MEMO_WORDS = 1_500_000
 #: The only pre-tokenizer pattern that this module knows, and its contractions.
@@ -92,11 +92,11 @@ class WordBpe:
         self.ids = np.array(list(self.special.values()), np.uint32)
         self.counts = np.ones(len(self.special), np.int64)
         self.starts = np.arange(len(self.special), dtype=np.int64)
-        # The characters behind the numbers, two to an element; none for what is not a short word.
-        self.chars = np.empty(0, np.uint64)
-        self.char_starts, self.sizes = np.zeros(len(self.special), np.int64), np.zeros(len(self.special), np.int64)
-        self.singles: dict[str, int] = {}
-        self.single_chars = 0
+        # The bytes behind the numbers, eight to an element; none for what is not a short word.
+        self.chunks = np.empty(0, np.uint64)
+        self.chunk_starts, self.sizes = np.zeros(len(self.special), np.int64), np.zeros(len(self.special), np.int64)
+        self.singles: dict[bytes, int] = {}
+        self.single_bytes = 0
 
     def kind_of(self, code: int) -> int:
         """The class of a code point that Python's Unicode version does not know, as the library sees it."""
@@ -217,11 +217,10 @@ class WordBpe:
             note(near)
         return symbol[symbol >= 0]
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, raw: list[bytes]) -> None:
         """Encodes words and numbers them on."""
-        if not fresh:
+        if not raw:
             return
-        raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         size = np.array([len(r) for r in raw], np.int64)
         octets = np.frombuffer(b"".join(raw), np.uint8)
         flat = self.inner[octets]
@@ -238,35 +237,39 @@ class WordBpe:
         parts = [done[k] for k in range(len(raw))]
         self.add(np.concatenate(parts), np.array([len(p) for p in parts], np.int64))
 
-    def remember(self, pairs: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
-        """Notes the characters of the short words numbered last."""
-        n = (size + 1) // 2
+    def remember(self, eights: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Notes the bytes of the short words numbered last."""
+        n = (size + 7) // 8
         ends = np.cumsum(n)
-        flat = pairs[np.repeat(first - 2 * (ends - n), n) + 2 * np.arange(ends[-1])]
-        flat[ends[size % 2 == 1] - 1] &= np.uint64(2**32 - 1)
-        self.char_starts = np.concatenate([self.char_starts, len(self.chars) + ends - n])
+        flat = eights[np.repeat(first - 8 * (ends - n), n) + 8 * np.arange(ends[-1])]
+        flat[ends - 1] &= cut_mask(size - 8 * (n - 1))
+        self.chunk_starts = np.concatenate([self.chunk_starts, len(self.chunks) + ends - n])
         self.sizes = np.concatenate([self.sizes, size])
-        self.chars = np.concatenate([self.chars, flat])
+        self.chunks = np.concatenate([self.chunks, flat])
 
-    def same(self, pairs: np.ndarray, first: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Whether words (places, sizes) have the characters of the numbered ones."""
+    def same(self, eights: np.ndarray, first: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether words (places, sizes) that share the hashes of the numbered ones have their bytes too.
+
+        Up to eight bytes the size settles it, as hashes of runs that short and of one size are all different.
+        """
         out = self.sizes[number] == size
-        left, at = np.flatnonzero(out), 0
+        left, at = np.flatnonzero(out & (size > 8)), 0
         while len(left):
-            own, rest = pairs[first[left] + 2 * at], size[left] - 2 * at
-            own = np.where(rest == 1, own & np.uint64(2**32 - 1), own)
-            out[left[own != self.chars[self.char_starts[number[left]] + at]]] = False
-            left, at = left[rest > 2], at + 1
+            own, rest = eights[first[left] + 8 * at], size[left] - 8 * at
+            own &= cut_mask(rest)
+            out[left[own != self.chunks[self.chunk_starts[number[left]] + at]]] = False
+            left, at = left[rest > 8], at + 1
         return out
 
-    def numbers_of(self, joined: str, code: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The numbers of words (places in joined and code), new ones being encoded first."""
+    def numbers_of(self, octets: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The numbers of words (places among the bytes), new ones being encoded first."""
         out, size = np.empty(len(first), np.int64), last - first
         short = np.flatnonzero(size <= SHORT)
         single = size > SHORT
+        word = lambda k: octets[first[k] : last[k]].tobytes()
         if len(short):
-            octets, pairs = code.view(np.uint8), windows(code.view(np.uint8), 4)
-            hashes = hash_runs(octets, 4 * first[short], 4 * last[short])
+            eights = windows(octets)
+            hashes = hash_runs(octets, first[short], last[short], eights)
             uniq, where, back = np.unique(hashes, return_index=True, return_inverse=True)
             at = np.searchsorted(self.hashes, uniq)
             known = np.zeros(len(uniq), bool)
@@ -274,26 +277,26 @@ class WordBpe:
             fresh = np.flatnonzero(~known)
             if len(fresh):
                 base, made = len(self.counts), short[where[fresh]]
-                self.learn([joined[i:j] for i, j in zip(first[made].tolist(), last[made].tolist(), strict=True)])
-                self.remember(pairs, first[made], size[made])
+                self.learn([word(k) for k in made.tolist()])
+                self.remember(eights, first[made], size[made])
                 self.numbers = np.insert(self.numbers, at[fresh], base + np.arange(len(fresh)))
                 self.hashes = np.insert(self.hashes, at[fresh], uniq[fresh])
                 at = np.searchsorted(self.hashes, uniq)
             out[short] = self.numbers[at][back]
             # A word that only shares the hash of another goes by itself.
-            single[short[~self.same(pairs, first[short], size[short], out[short])]] = True
+            single[short[~self.same(eights, first[short], size[short], out[short])]] = True
         rest = np.flatnonzero(single)
         if len(rest):
-            words = [joined[i:j] for i, j in zip(first[rest].tolist(), last[rest].tolist(), strict=True)]
+            words = [word(k) for k in rest.tolist()]
             fresh = [w for w in dict.fromkeys(words) if w not in self.singles]
             base = len(self.counts)
             self.learn(fresh)
-            self.char_starts = np.concatenate([self.char_starts, np.zeros(len(fresh), np.int64)])
+            self.chunk_starts = np.concatenate([self.chunk_starts, np.zeros(len(fresh), np.int64)])
             self.sizes = np.concatenate([self.sizes, np.zeros(len(fresh), np.int64)])
-            numbers = self.singles | {w: base + k for k, w in enumerate(fresh)} if any(len(w) > MEMO_LONGEST for w in fresh) else self.singles
-            self.singles.update((w, base + k) for k, w in enumerate(fresh) if len(w) <= MEMO_LONGEST)
-            self.single_chars += sum(map(len, fresh))
-            out[rest] = [numbers[w] for w in words]
+            now = {w: base + k for k, w in enumerate(fresh)}
+            out[rest] = [now[w] if w in now else self.singles[w] for w in words]
+            self.singles.update((w, n) for w, n in now.items() if len(w) <= MEMO_LONGEST)
+            self.single_bytes += sum(map(len, fresh))
         return out
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +304,7 @@ class WordBpe:
 
         Afterwards counts, starts and ids hold for those numbers; the first numbers are the special tokens.
         """
-        if len(self.hashes) > MEMO_WORDS or self.single_chars > MEMO_CHARS:
+        if len(self.hashes) > MEMO_WORDS or self.single_bytes > MEMO_BYTES:
             self.reset()
         kinds = classes()
         parts: list[str] = []
@@ -340,7 +343,10 @@ class WordBpe:
         stop = start | (kind == SPACE)
         stops = np.flatnonzero(stop)
         last = np.r_[stops, len(code)][np.searchsorted(stops, first, "right")]
-        number = self.numbers_of(joined, code, first, last) if len(first) else np.empty(0, np.int64)
+        octets = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        # Where each code point is among the bytes.
+        spot = np.arange(len(code) + 1) if len(octets) == len(code) else np.r_[0, np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), dtype=np.int64)]
+        number = self.numbers_of(octets, spot[first], spot[last]) if len(first) else np.empty(0, np.int64)
         begin = np.cumsum(sizes) - sizes
         per_part = np.diff(np.r_[np.searchsorted(first, begin), len(first)])
         if marks:

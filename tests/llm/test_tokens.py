@@ -64,10 +64,10 @@ def test_regular_words_keep_their_own_ids(bpe, library):
 
 
 def test_words_that_share_a_hash(library, monkeypatch):
-    """With a hash of a few values only, words are still told apart by their characters."""
-    monkeypatch.setattr(wordbpe, "hash_runs", lambda octets, first, last: (last - first).astype(np.uint64) % np.uint64(3))
+    """With a hash that tells long words apart by their sizes alone, words are still told apart by their characters."""
+    monkeypatch.setattr(wordbpe, "hash_runs", lambda octets, first, last, view: 100 * (last - first).astype(np.uint64) + np.where(last - first > 8, 0, octets[first]).astype(np.uint64))
     bpe = wordbpe.WordBpe(vocabulary())
-    texts = ["the cat and a dog", "one two three four five", "an ox, the cat; 12 owls", "zebra " * 3, "the dog"]
+    texts = ["internationalism counterexamples", "misunderstanding underestimating", "a b c, internationalist; 1 2 3", "counterexamples " * 3, "ééééééééééé èèèèèèèèèèè", "x" * 60 + " " + "y" * 60]
     for _ in range(2):
         assert [i.tolist() for i in bpe.token_ids(texts)] == [ids(library, t) for t in texts]
 
