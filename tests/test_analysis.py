@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hexlore import analysis
 from hexlore.functions import nulls
-from hexlore.operators import cluster, geo, models, score, shape
+from hexlore.operators import cluster, events, geo, models, score, shape
 from hexlore.plans import run
 from hexlore.sources import tables
 from hexlore.streaming import counts
@@ -129,6 +129,15 @@ def test_volatility_of_a_negative_mean_and_large_values(spark):
     assert abs(r.a + math.sqrt(2) / 2) < 1e-12 and r.b is None and abs(r.c - 1) < 1e-9
 
 
+def test_series_by_ranges_are_the_same(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, None]), rng.choice(["p", "q"]), None if rng.random() < 0.1 else round(rng.gauss(5, 2), 1), rng.choice(["a", "b", None])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "cell int, period string, v double, unit string")
+    plain, ranged = (sorted(map(tuple, events.series(df, ["cell"], "period", "v", "unit", r).collect()), key=str) for r in (False, True))
+    assert [r[:2] + r[3:] for r in plain] == [r[:2] + r[3:] for r in ranged]
+    assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(plain, ranged, strict=True))
+
+
 def test_split_takes_the_share_of_every_class(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") < 4000, "big").when(F.col("id") < 4990, "mid").otherwise("few").alias("c"))
     got = {r.c: (r.n, r.t) for r in models.stratified_split(df, "id", "c").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_train").alias("t")).collect()}
