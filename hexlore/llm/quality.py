@@ -195,8 +195,10 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, *, id_col: str, tex
     schema = T.StructType([rated.schema["id"], rated.schema["th_"], rated.schema["grade"], T.StructField("features", T.BinaryType())])
     rows = rated.mapInArrow(run, schema).groupBy("id", "th_", "grade").agg(F.any_value("features").alias("features")).collect()
     rows = sorted(rows, key=lambda r: (r.id, r.features))
-    sets = [np.frombuffer(r.features, np.int32).astype(np.int64) for r in rows]
-    return fit(np.concatenate(sets), np.array([len(s) for s in sets], np.int64), np.array([r.grade for r in rows], np.int64), n_grades)
+    sizes, levels = np.array([len(r.features) // 4 for r in rows], np.int64), np.array([r.grade for r in rows], np.int64)
+    flat = np.frombuffer(b"".join(r.features for r in rows), np.int32)
+    rows.clear()
+    return fit(flat, sizes, levels, n_grades)
 
 
 def graded(labels: DataFrame) -> DataFrame:
