@@ -331,8 +331,9 @@ class WordBpe:
             joined = "".join(parts)
             code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             kind = kinds[code]
-            for c in np.unique(code[kind == UNKNOWN]).tolist():
-                kind[code == c] = self.kind_of(c)
+            odd = np.flatnonzero(kind == UNKNOWN)
+            codes, back = np.unique(code[odd], return_inverse=True)
+            kind[odd] = np.array([self.kind_of(c) for c in codes.tolist()], np.uint8)[back]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         start = kind != SPACE
         same = (kind[1:] == kind[:-1]) & (kind[1:] != NUMBER)
