@@ -40,7 +40,9 @@ SKETCH_SLACK = 0.2
 #: The pivots on which a class is confirmed before the exhaustive step.
 FIRST_PIVOTS = 3
 #: Bytes of a block of a group, a member counting as its set and MEMBER_BYTES; a task compares two blocks.
-BLOCK_BYTES, MEMBER_BYTES = 4_000_000, 1_000
+BLOCK_BYTES, MEMBER_BYTES = 2_000_000, 1_000
+#: Bytes of rows that a task gathers before it looks for whole pairs of blocks among them.
+STREAM_BYTES = 2_000_000
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**32, SAMPLES, np.uint32)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -170,9 +172,12 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sa, sb = (batch.column(k).to_pylist() for k in (2, 3))
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(sa, sb, strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            # A few sets at a time become Python objects.
+            ok: list[bool] = []
+            for at in range(0, batch.num_rows, 64):
+                sa, sb = (batch.column(k).slice(at, 64).to_pylist() for k in (2, 3))
+                ok += [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(sa, sb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return rows.mapInArrow(run, "a binary, b binary")
 
@@ -204,10 +209,10 @@ def by_block_pair(rows: DataFrame, each, schema: str) -> DataFrame:
         size = 0
         for batch in batches:
             held.append(batch)
-            size += batch.num_rows
-            if size >= 4096:
+            size += batch.nbytes
+            if size >= STREAM_BYTES:
                 done, rest = results(pa.Table.from_batches(held), False)
-                # A long run waits for more rows than it has, so that it is looked at a few times only.
+                # What is left of a run waits for more, so that it is looked at a few times only.
                 held, size = (rest.to_batches(), 0) if rest.num_rows else ([], 0)
                 for t in done:
                     yield from t.to_batches()
