@@ -160,9 +160,12 @@ def in_parts(seen: DataFrame, by: list[str], parts: int) -> DataFrame:
     """seen (by, v, n: distinct values of groups with counts) with part, a range of values, and before, the rows in lower ranges.
 
     Ranges are cut at approximate quantiles of each group; totals of ranges are few, so no task orders a whole group.
+    Cuts are written once: their approximation differs between two computations, while totals and rows must agree.
     """
+    from hexlore.sources.tables import checkpointed
+
     cuts = seen.groupBy(*by).agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 10_000).alias("cuts"), F.sum("n").alias("all"))
-    dealt = seen.join(cuts, by).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    dealt = seen.join(checkpointed(cuts), by).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
     totals = dealt.groupBy(*by, "part").agg(F.sum("n").alias("own"))
     before = totals.select(*by, "part", (F.sum("own").over(Window.partitionBy(*by).orderBy("part")) - F.col("own")).alias("before"))
     return dealt.join(before, [*by, "part"])

@@ -55,6 +55,16 @@ def test_ecdf_has_ties_and_nulls(spark):
     assert got == {k: None if x is None else sum(y <= x for y in known) / len(known) for k, x in enumerate(xs)}
 
 
+def test_ecdf_and_quantiles_of_many_values(spark):
+    """More distinct values than approximate quantiles are exact for: totals and rows must still go by the same ranges."""
+    n = 300_000
+    df = spark.range(n, numPartitions=12).select("id", F.pmod(F.col("id") * 104_729, F.lit(n)).cast("double").alias("x"))
+    # The first is 0, so that ranks are numbers plus one.
+    wrong = nulls.with_ecdf(df, {"e": "x", "f": "x"}, "id").where((F.col("e") != (F.col("x") + 1) / n) | (F.col("f") != F.col("e")))
+    assert [wrong.count() for _ in range(2)] == [0, 0]
+    assert nulls.quantiles(df, [], ["x"], {"q": 0.75}).first()["q_x"] == 0.75 * (n - 1)
+
+
 def test_periods_ties_and_gaps(spark):
     t = spark.createDataFrame([("2022 Q4",), ("2023 Q1 QTD",), ("bad",), (None,), ("2022 Q5",)], "t string")
     assert [str(r.p) for r in t.select(events.parse_quarter(F.col("t")).alias("p")).collect()] == ["2022-10-01", "2023-01-01", "None", "None", "None"]
