@@ -64,6 +64,14 @@ def test_sweep_covers_every_k(spark, sf_dir):
     assert [r.k for r in rows if r.chosen] == [max(best.k, 4)]
 
 
+def test_tree_and_means_agree_alike_over_blocks(spark, sf_dir, monkeypatch):
+    from hexlore.operators import cluster
+
+    whole = QUERIES["kmeans_ward_agreement"](spark, sf_dir).collect()
+    monkeypatch.setattr(cluster, "MOST_TREE_ROWS", 100)
+    assert QUERIES["kmeans_ward_agreement"](spark, sf_dir).collect() == whole
+
+
 def test_flagship(spark):
     import __spark_entry__
 
