@@ -134,5 +134,29 @@ def test_rules_of_many_tokens_are_kept(spark):
     assert sorted((r.token, r.n) for r in index) == [(t, 4) for t in whole] and len({r.rule_id for r in index}) == 1
 
 
+def test_rules_of_long_baskets_equal_a_plain_miner(spark):
+    """Baskets of more tokens than FP-growth sees: rules of tokens that have a low share of blocked pages are found too."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(300):
+        case, bad = rng.choices([["p:a", "p:b"], ["p:a"], ["p:b"], []], [1, 2, 2, 5])[0], rng.random()
+        others = rng.sample([f"q:{c}" for c in "abcdefghijklmn"], rng.choice([2, 3, 10, 11]))
+        rows.append((sorted(case + others), len(case) == 2 or not case and bad < 0.8))
+    want = plain_rules(rows, 4)
+    assert frozenset({"p:a", "p:b"}) in want and {len(c) for c in want} >= {6, 7, 8}
+    assert mined(spark, rows, least_support=0.012) == want
+
+
+def test_rules_of_copies_of_long_baskets(spark):
+    """Tokens that always come together are one slot of a rule, however many they are."""
+    x, y = [[f"p:{c}{k}" for k in range(60)] for c in "xy"]
+    rows = [(x + y, True)] * 5 + [(x, False)] * 5 + [(y, False)] * 5
+    index = urls.mine(spark.createDataFrame(rows, "items array<string>, block boolean"))
+    got = [(r.rule_id, r.n, r.slot, r.token) for r in index.collect()]
+    assert len({g[0] for g in got}) == 1 and {g[1] for g in got} == {2} and sorted(g[3] for g in got) == sorted(x + y)
+    sets = spark.createDataFrame([(["p:x3", "p:y9"],), (["p:x3", "p:x4"],), (["p:y1"],)], "items array<string>")
+    assert [r["items"] for r in urls.matched(sets, index).collect()] == [["p:x3", "p:y9"]]
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
